@@ -8,8 +8,9 @@
    much as one.
 3. In every bucket one member is the centre and every other member gets one edge to it: a bucket of n
    makes n - 1 candidates.  The centre is drawn per band, so a group's members meet many centres.
-4. Candidates are confirmed on the full sets of the whole texts.  Buckets that still hold more than one
-   component elect a new centre, round after round, until a round adds no link.
+4. Candidates are confirmed on the full sets of the whole texts.
+5. A bucket's members outside its largest component may be linked to a member that wasn't its centre.  They
+   are compared with eight more centres, then with eight times as many, until a round adds no link.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from cataloom.llm.components import connected_components
 from cataloom.llm.storage import discard, stored
@@ -93,20 +94,23 @@ def _confirmer(k: int, percent: int):
                     held, centre = a[i], next(sets_of(batch.column(2).slice(i, 1), k))
                 both = len(np.intersect1d(centre, members, assume_unique=True))
                 keep[i] = both > 0 and 100 * both >= percent * (len(centre) + len(members) - both)
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in (0, 1, 4, 5)], names=["a", "b", "group_a", "group_b"]).filter(pa.array(keep))
 
     return confirm
 
 
-def _star_edges(members: DataFrame, turn: int) -> DataFrame:
-    """One edge from each bucket's centre to every other member.  ``members``: key, doc_id, group; the
-    centre is the member of least hash for this turn, and members of its own group get no edge."""
-    rank = F.xxhash64("key", "doc_id", F.lit(turn))
-    centres = members.groupBy("key").agg(
-        F.min(F.struct(rank.alias("rank"), "doc_id", "group")).alias("centre"), F.min("group").alias("low"), F.max("group").alias("high")
-    ).where("low <> high").select("key", F.col("centre.doc_id").alias("a"), F.col("centre.group").alias("of"))
-    met = members.join(centres, "key").where("group <> of")
-    return met.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
+def _centres(members: DataFrame, count: int) -> DataFrame:
+    """``count`` members of each bucket in a drawn order.  Every task passes on at most ``count`` rows of a key."""
+    drawn = W.partitionBy("key").orderBy(F.xxhash64("key", "doc_id", F.lit(count)), "doc_id")
+    return members.withColumn("place", F.row_number().over(drawn)).where(F.col("place") <= count).select("key", F.col("doc_id").alias("centre"), F.col("group").alias("group_c"))
+
+
+def _edges(rows: DataFrame, centres: DataFrame) -> DataFrame:
+    """An edge from every row to the centres of its bucket that belong to other groups."""
+    met = rows.join(centres, "key").where("group <> group_c")
+    ends = F.when(F.col("centre") < F.col("doc_id"), F.struct(F.col("centre").alias("a"), F.col("doc_id").alias("b"), F.col("group_c").alias("group_a"), F.col("group").alias("group_b")))
+    ends = ends.otherwise(F.struct(F.col("doc_id").alias("a"), F.col("centre").alias("b"), F.col("group").alias("group_a"), F.col("group_c").alias("group_b")))
+    return met.select(ends.alias("e")).select("e.*").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 4, percent: int = 80) -> DataFrame:
@@ -121,39 +125,42 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, percent: int = 80)
     sketched = stored(texts.mapInArrow(_sketcher(shingle_words), "doc_id long, n_shingles long, low long, high long, keys array<long>"), "sketches")
     usable = sketched.where("doc_id is not null and n_shingles > 0")
     classes = stored(usable.groupBy("n_shingles", "low", "high").agg(F.min("doc_id").alias("rep")), "classes")
-    leaders = stored(
-        usable.join(classes.select(F.col("rep").alias("doc_id"), "n_shingles", "low", "high"), ["doc_id", "n_shingles", "low", "high"], "left_semi").select("doc_id", F.explode("keys").alias("key")), "buckets"
-    )
-    # Only buckets of two or more documents matter from here on.
+    same = ["doc_id", "n_shingles", "low", "high"]
+    leaders = usable.join(classes.withColumnRenamed("rep", "doc_id"), same, "left_semi").select("doc_id", F.explode("keys").alias("key")).distinct()
+    leaders = stored(leaders, "buckets")
+    # Only buckets of two or more documents matter from here on, and only their texts are read again.
     shared = leaders.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("key")
     members = stored(leaders.join(shared, "key").select("key", "doc_id", F.col("doc_id").alias("group")), "members")
     discard(leaders)
-    links, tried, parts, turn = None, None, None, 0
-    while True:
-        edges = _star_edges(members, turn)
-        if tried is not None:
-            edges = edges.join(tried, ["a", "b"], "left_anti")
-        edges = stored(edges, "edges")
-        paired = edges.join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
-        paired = paired.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a").sortWithinPartitions("a")
-        fresh = stored(paired.select("a", "b", "text_a", "text_b").mapInArrow(_confirmer(shingle_words, percent), "a long, b long"), "confirmed")
-        found = not fresh.isEmpty()
-        if not found and parts is not None:
-            break
-        links = fresh if links is None else links.unionByName(fresh)
-        tried = edges if tried is None else tried.unionByName(edges)
-        parts = stored(connected_components(links), "components")
-        if not found:
-            break
-        turn += 1
-        # Buckets that lie in one component, and those of two documents, have nothing left to compare.
-        grouped = members.select("key", "doc_id").join(parts.withColumnsRenamed({"node": "doc_id", "component": "of"}), "doc_id", "left").select("key", "doc_id", F.coalesce("of", "doc_id").alias("group"))
-        open_ = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("key")
-        narrowed = stored(grouped.join(open_, "key"), "members")
-        discard(members)
-        members = narrowed
+    bodies = stored(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "bodies")
+
+    def confirmed(edges: DataFrame) -> DataFrame:
+        paired = edges.join(bodies.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
+        paired = paired.join(bodies.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a").sortWithinPartitions("a")
+        links = paired.select("a", "b", "text_a", "text_b", "group_a", "group_b").mapInArrow(_confirmer(shingle_words, percent), "a long, b long, group_a long, group_b long")
+        return stored(links, "confirmed")
+
+    tried = stored(_edges(members, _centres(members, 1)), "edges")
+    links = confirmed(tried)
+    parts = stored(connected_components(links.select("a", "b")), "components")
+    named = parts.withColumnsRenamed({"node": "doc_id", "component": "of"})
+    members = stored(members.join(named, "doc_id", "left").select("key", "doc_id", F.coalesce("of", "doc_id").alias("group")), "members")
+    merged, count = None, 8
+    while not links.isEmpty():
+        largest = members.groupBy("key", "group").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "group")).alias("top"), F.count("*").alias("groups"))
+        outside = members.join(largest.where("groups > 1").select("key", F.col("top.group").alias("main")), "key").where("group <> main").drop("main")
+        edges = stored(_edges(outside, _centres(members, count)).join(tried, ["a", "b"], "left_anti"), "edges")
+        links = confirmed(edges)
+        pairs = links.select(F.col("group_a").alias("a"), F.col("group_b").alias("b"))
+        merged = pairs if merged is None else merged.union(pairs)
+        tried, count = tried.unionByName(edges), 8 * count
+        moved = links.groupBy(F.greatest("group_a", "group_b").alias("group")).agg(F.min(F.least("group_a", "group_b")).alias("to"))
+        members = stored(members.join(moved, "group", "left").select("key", "doc_id", F.coalesce("to", "group").alias("group")), "members")
     known = sketched.join(classes, ["n_shingles", "low", "high"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-    joined = known.join(parts.withColumnsRenamed({"node": "rep", "component": "of"}), "rep", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("of", "rep")).otherwise(F.col("doc_id"))
+    joined = known.join(parts.withColumnsRenamed({"node": "rep", "component": "of"}), "rep", "left").withColumn("of", F.coalesce("of", "rep"))
+    if merged is not None:
+        final = connected_components(merged).withColumnsRenamed({"node": "of", "component": "to"})
+        joined = joined.join(final, "of", "left").withColumn("of", F.coalesce("to", "of"))
+    component = F.when(F.col("n_shingles") > 0, F.col("of")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

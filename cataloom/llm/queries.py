@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +17,45 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def held_out() -> Column:
+    """Rows that a classifier must not learn from: crc32 of doc_id as text leaves 1 modulo 3."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cataloom.llm.quality import fit, scored
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    out = scored(docs, fit(docs, labels.where(~held_out())))
+    return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cataloom.llm.toxicity import fit, scored
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    out = scored(docs, fit(docs, labels.where(~held_out())))
+    return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cataloom.llm.mixing import mixed
+
+    return mixed(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cataloom.llm.decontaminate import leaks
+
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op3_quality": op3_quality,
+    "op7_toxicity": op7_toxicity,
+    "op9_mixing": op9_mixing,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {}
