@@ -38,6 +38,44 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cataloom.llm.line_dedup import deduplicated
+
+    out = deduplicated(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), "n_near", F.array_join("dropped", ",").alias("dropped"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cataloom.llm.secrets import labelled_samples, secrets, train
+
+    docs = _table(spark, sf_dir, "documents")
+    found = secrets(docs, train(labelled_samples(spark, docs)))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    everything = F.array_sort(F.concat("base", "added"))
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(everything).alias("spans"))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cataloom.llm.licenses import licenses
+
+    found = licenses(_table(spark, sf_dir, "documents"))
+    starts, base_labels = F.transform("base", lambda b: b["start"]), F.transform("base", lambda b: b["label"])
+    every = F.concat(base_labels, F.coalesce(F.transform("notices", lambda n: n["label"]), F.array().cast("array<string>")))
+
+    def joined(labels: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), joined(base_labels).alias("base_labels"), joined(every).alias("labels"), "score"
+    )
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cataloom.llm.mixing import mixed
 
@@ -52,8 +90,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_line_dedup": op2_line_dedup,
     "op3_quality": op3_quality,
+    "op6_secrets": op6_secrets,
     "op7_toxicity": op7_toxicity,
+    "op8_licenses": op8_licenses,
     "op9_mixing": op9_mixing,
     "op10_decontaminate": op10_decontaminate,
 }

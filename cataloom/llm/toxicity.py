@@ -184,7 +184,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_ordinary: int = 2500, max_calibration: int = 2500, lift: float = 20.0, support: float = 0.03) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_ordinary: int = 2500, max_calibration: int = 2500, lift: float = 10.0, support: float = 0.02) -> ToxicityModel:
     """Fits on a bounded sample of labelled rows: at most ``max_toxic`` toxic and ``max_ordinary`` other texts for the
     dictionaries and ``max_calibration`` further ones, of either label in their natural shares, for the calibration,
     all drawn by a hash of doc_id.
