@@ -69,12 +69,14 @@ def notice_spans(words: DataFrame, min_share: float = 0.75, drift: int = 2) -> D
 
 def _phrase_places(words: str) -> Column:
     """(start, label) of every place of every phrase."""
-    found = []
-    for phrase, label in PHRASES:
+    every = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - 1))
+
+    def places(phrase: str, label: str) -> Column:
         parts = phrase.split()
-        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - 1)), lambda i, parts=parts: _all(F.get(words, i + j).eqNullSafe(F.lit(w)) for j, w in enumerate(parts)))
-        found.append(F.transform(starts, lambda i, label=label: F.struct(i.cast("long").alias("start"), F.lit(label).alias("label"))))
-    return F.concat(*found)
+        starts = F.filter(every, lambda i: _all(F.get(words, i + j).eqNullSafe(F.lit(w)) for j, w in enumerate(parts)))
+        return F.transform(starts, lambda i: F.struct(i.cast("long").alias("start"), F.lit(label).alias("label")))
+
+    return F.concat(*[places(*p) for p in PHRASES])
 
 
 def _all(conditions) -> Column:

@@ -52,19 +52,26 @@ def _small(hashed: Column) -> Column:
     return F.shiftrightunsigned(hashed, 24)
 
 
-def _variant_keys(lines: DataFrame) -> DataFrame:
-    """Adds ``substituted`` (keys of all variants with place), ``shortened`` (keys of all variants) and ``entire``."""
-    chars = F.split("line", "")
-    out = lines.withColumn("c", F.filter(chars, lambda x: x != "")).withColumn("n", F.size("c"))
-    out = out.withColumn("p", F.concat(F.array(F.lit("")), "c", F.array(F.lit(""))))
-    out = out.withColumn("at", F.transform("c", lambda x, i: _small(F.xxhash64(x, i))))
-    out = out.withColumn("pairs", F.transform(F.sequence(F.lit(0), F.col("n")), lambda i: _small(F.xxhash64(F.get("p", i), F.get("p", i + 1)))))
-    total = lambda name: F.aggregate(name, F.lit(0).cast("long"), lambda s, x: s + x)
-    out = out.withColumns({"at_sum": total("at"), "pair_sum": total("pairs")})
-    substituted = F.transform("at", lambda x, i: F.xxhash64(F.lit("place"), F.col("at_sum") - x, i, F.col("n")))
-    bridged = lambda i: F.col("pair_sum") - F.get("pairs", i) - F.get("pairs", i + 1) + _small(F.xxhash64(F.get("p", i), F.get("p", i + 2)))
-    shortened = F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.xxhash64(F.lit("whole"), bridged(i), F.col("n") - 1)))
-    return out.select("h1", "h2", "first", "line", substituted.alias("substituted"), shortened.alias("shortened"), F.xxhash64(F.lit("whole"), "pair_sum", "n").alias("entire"))
+def _summed(lines: DataFrame) -> DataFrame:
+    """Per line the hashes of its characters with their places, of adjacent pairs, of the pairs that a deletion
+    joins, and the sums of the first two.  Stored, so that no later expression computes an array again per element."""
+    c = F.filter(F.split("line", ""), lambda x: x != "")
+    hashed = lambda x, y: _small(F.xxhash64(x, y))
+    edge = F.array(F.lit(""))
+    all_but_one = F.length("line") - 1
+    at = F.transform(c, hashed)
+    pairs = F.zip_with(F.concat(edge, c), F.concat(c, edge), hashed)
+    bridges = F.zip_with(F.concat(edge, F.slice(c, F.lit(1), all_but_one)), F.concat(F.slice(c, F.lit(2), all_but_one), edge), hashed)
+    total = lambda values: F.aggregate(values, F.lit(0).cast("long"), lambda s, x: s + x)
+    return stored(lines.select("first", F.length("line").alias("n"), at.alias("at"), pairs.alias("pairs"), bridges.alias("bridges"), total(at).alias("at_sum"), total(pairs).alias("pair_sum")), "sums")
+
+
+def _variant_keys(sums: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(first, key) of all variants with their place, of all variants, and of the lines themselves."""
+    places = F.transform("at", lambda x, i: F.xxhash64(F.col("at_sum") - x, i, F.col("n")))
+    removed = F.zip_with(F.slice("pairs", F.lit(1), F.col("n")), F.slice("pairs", F.lit(2), F.col("n")), lambda x, y: x + y)
+    variants = F.zip_with(removed, "bridges", lambda gone, joined: F.xxhash64(F.col("pair_sum") - gone + joined, F.col("n") - 1))
+    return sums.select("first", F.explode(places).alias("key")), sums.select("first", F.explode(variants).alias("key")), sums.select(F.col("first").alias("other"), F.xxhash64("pair_sum", "n").alias("key"))
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -86,14 +93,12 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     texts = docs.join(by_doc, "doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"), "numbers").where(F.array_contains("numbers", F.col("line_no")))
     known = stored(texts.join(wanted, ["doc_id", "line_no"]).where((F.xxhash64("line") == F.col("h1")) & (F.xxhash64(F.lit(1), "line") == F.col("h2"))).select("h1", "h2", "first", "line").distinct(), "texts")
 
-    keyed = _variant_keys(known)
-    places = keyed.select("h1", "first", F.explode("substituted").alias("key"))
+    places, variants, entire = _variant_keys(_summed(known))
     earliest = places.groupBy("key").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low <> high").select("key", "low")
     swaps = places.join(earliest, "key").where("first <> low").select(F.col("low").alias("a"), F.col("first").alias("b"))
-    shorter = keyed.select(F.col("first").alias("other"), F.col("entire").alias("key"))
-    gaps = keyed.select("first", F.explode("shortened").alias("key")).join(shorter, "key").where("first <> other")
+    gaps = variants.join(entire, "key").where("first <> other")
     gaps = gaps.select(F.least("first", "other").alias("a"), F.greatest("first", "other").alias("b"))
-    edges = swaps.union(gaps).distinct()
+    edges = stored(swaps.union(gaps).distinct(), "edges")
     left, right = known.select(F.col("first").alias("a"), F.col("line").alias("line_a")), known.select(F.col("first").alias("b"), F.col("line").alias("line_b"), "h1", "h2")
     near = edges.join(left, "a").join(right, "b").where(F.levenshtein("line_a", "line_b", 1) == 1).select("h1", "h2").distinct()
 

@@ -6,6 +6,7 @@ ordinary identifiers; a long token whose log-likelihood ratio favours the random
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -59,11 +60,11 @@ class MarkovModels:
     ratios: list[float]
 
     def mean_ratio(self, token: Column) -> Column:
-        table, size = F.lit(self.ratios), len(ALPHABET)
+        table, size = F.from_json(F.lit(json.dumps(self.ratios)), "array<double>"), len(ALPHABET)
         codes = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-        steps = F.sequence(F.lit(0), F.size(codes) - 2)
-        total = F.aggregate(steps, F.lit(0.0), lambda s, i: s + F.get(table, F.get(codes, i) * size + F.get(codes, i + 1)))
-        return total / F.size(steps)
+        n = F.length(token) - 1
+        steps = F.zip_with(F.slice(codes, F.lit(1), n), F.slice(codes, F.lit(2), n), lambda a, b: F.get(table, a * size + b))
+        return F.aggregate(steps, F.lit(0.0), lambda s, x: s + x) / n
 
 
 def labelled_samples(spark: SparkSession, docs: DataFrame, max_docs: int = 2000, random_strings: int = 4000) -> DataFrame:
