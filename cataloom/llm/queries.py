@@ -45,6 +45,18 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), "n_near", F.array_join("dropped", ",").alias("dropped"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cataloom.llm.embedding_dedup import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cataloom.llm.html_text import extracted
+
+    return extracted(_table(spark, sf_dir, "pages"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cataloom.llm.secrets import labelled_samples, secrets, train
 
@@ -92,6 +104,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_quality": op3_quality,
+    "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_html_text": op5_html_text,
     "op6_secrets": op6_secrets,
     "op7_toxicity": op7_toxicity,
     "op8_licenses": op8_licenses,
