@@ -7,10 +7,11 @@
 2. Documents with equal sets form a class; only the class's least id goes on, so a thousand copies cost as
    much as one.
 3. In every bucket one member is the centre and every other member gets one edge to it: a bucket of n
-   makes n - 1 candidates.  The centre is drawn per band, so a group's members meet many centres.
+   makes n - 1 candidates.  The centre is the member that shares buckets with the most others: it differs least
+   from what the group was copied from, so it is the likeliest partner of every member.
 4. Candidates are confirmed on the full sets of the whole texts.
 5. A bucket's members outside its largest component may be linked to a member that wasn't its centre.  They
-   are compared with eight more centres, then with eight times as many, until a round adds no link.
+   are compared with all members of that component, in blocks, and only links leave a block.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from cataloom.llm.components import connected_components
 from cataloom.llm.storage import discard, stored
@@ -28,6 +29,8 @@ from cataloom.llm.words import U64, mix, sets_of, shingle_sets, slices
 #: With 32 bands of 4 bins, two sets of Jaccard similarity 0.8 share no band with probability 5e-8.
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
+#: Rows of a block of the second comparison, and the share of the wanted similarity that its signatures must show.
+BLOCK, LEAST_ALIKE = 512, 0.83
 _BIN_BITS = BINS.bit_length() - 1
 
 _draw = np.random.default_rng(20240607)
@@ -94,23 +97,66 @@ def _confirmer(k: int, percent: int):
                     held, centre = a[i], next(sets_of(batch.column(2).slice(i, 1), k))
                 both = len(np.intersect1d(centre, members, assume_unique=True))
                 keep[i] = both > 0 and 100 * both >= percent * (len(centre) + len(members) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in (0, 1, 4, 5)], names=["a", "b", "group_a", "group_b"]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
     return confirm
 
 
-def _centres(members: DataFrame, count: int) -> DataFrame:
-    """``count`` members of each bucket in a drawn order.  Every task passes on at most ``count`` rows of a key."""
-    drawn = W.partitionBy("key").orderBy(F.xxhash64("key", "doc_id", F.lit(count)), "doc_id")
-    return members.withColumn("place", F.row_number().over(drawn)).where(F.col("place") <= count).select("key", F.col("doc_id").alias("centre"), F.col("group").alias("group_c"))
-
-
-def _edges(rows: DataFrame, centres: DataFrame) -> DataFrame:
-    """An edge from every row to the centres of its bucket that belong to other groups."""
-    met = rows.join(centres, "key").where("group <> group_c")
-    ends = F.when(F.col("centre") < F.col("doc_id"), F.struct(F.col("centre").alias("a"), F.col("doc_id").alias("b"), F.col("group_c").alias("group_a"), F.col("group").alias("group_b")))
-    ends = ends.otherwise(F.struct(F.col("doc_id").alias("a"), F.col("centre").alias("b"), F.col("group").alias("group_a"), F.col("group_c").alias("group_b")))
-    return met.select(ends.alias("e")).select("e.*").distinct()
+def _edges(members: DataFrame) -> DataFrame:
+    """An edge from every member of a bucket to the bucket's centre, the member of most weight."""
+    centres = members.groupBy("key").agg(F.max(F.struct("weight", F.xxhash64("doc_id").alias("draw"), "doc_id")).alias("top")).select("key", F.col("top.doc_id").alias("centre"))
+    met = members.join(centres, "key").where("doc_id <> centre")
+    return met.select(F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b")).distinct()
+
+
+def _outsider_comparer(k: int, percent: int):
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, group, kind, block = (table.column(n).to_numpy(zero_copy_only=False) for n in ("doc_id", "group", "outside", "block"))
+        low, high, mixed = (table.column(n)[0].as_py() for n in ("low", "high", "mixed"))
+        sets = list(sets_of(table.column("text"), k))
+        signed = signatures(sets)
+        left = np.flatnonzero(kind & (block == low))
+        right = np.flatnonzero(~kind & (block == high)) if mixed else np.flatnonzero(kind & (block == high))
+        alike = np.zeros((len(left), len(right)), np.int16)
+        for b in range(BINS):
+            alike += signed[left, b][:, None] == signed[right, b][None, :]
+        found = []
+        for i, j in zip(*np.nonzero((alike >= LEAST_ALIKE * percent / 100 * BINS) & (group[left][:, None] != group[right][None, :])), strict=True):
+            a, b = sets[left[i]], sets[right[j]]
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            if 100 * both >= percent * (len(a) + len(b) - both):
+                found.append((left[i], right[j]))
+        a, b = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        return pa.table({"a": group[a], "b": group[b]})
+
+    return compare
+
+
+def _missed(members: DataFrame, bodies: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b: groups) that the stars passed over.
+
+    A pair that shares a bucket and lies in two groups has at least one document outside the bucket's largest
+    group.  For every group these outsiders are compared with its members and with each other, in blocks of at most
+    ``BLOCK`` rows: by signature first (a pair of the wanted similarity falls below the threshold with a
+    chance of some 1 in 10,000), then on the full sets.  Only links leave a block.
+    """
+    largest = members.groupBy("key", "group").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "group")).alias("top"), F.count("*").alias("groups"))
+    opened = largest.where("groups > 1").select("key", F.col("top.group").alias("main"))
+    outsiders = stored(members.join(opened, "key").where("group <> main").select("main", "doc_id", "group").distinct(), "outsiders")
+    insiders = members.select(F.col("group").alias("main"), "doc_id", "group").distinct().join(outsiders.select("main").distinct(), "main", "left_semi")
+    rows = stored(outsiders.withColumn("outside", F.lit(True)).unionByName(insiders.withColumn("outside", F.lit(False))), "compared")
+    # An outsider and a group of one have met as a bucket's centre and member unless there are more outsiders.
+    sizes = rows.groupBy("main").agg(F.count_if("outside").alias("o"), F.count_if(~F.col("outside")).alias("m")).where("o > 1 or m > 1")
+    sizes = sizes.select("main", F.ceil(F.col("o") / BLOCK).cast("int").alias("out_blocks"), F.ceil(F.col("m") / BLOCK).cast("int").alias("in_blocks"))
+    placed = rows.join(sizes, "main").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.when(F.col("outside"), F.col("out_blocks")).otherwise(F.col("in_blocks"))).cast("int"))
+    among = F.sequence(F.lit(0), F.col("out_blocks") - 1)
+    unit = lambda low, high, mixed: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"), F.lit(mixed).alias("mixed"))
+    mine = F.col("block")
+    own = F.concat(F.transform(among, lambda x: unit(F.least(mine, x), F.greatest(mine, x), False)), F.transform(F.sequence(F.lit(0), F.col("in_blocks") - 1), lambda y: unit(mine, y, True)))
+    units = F.when(F.col("outside"), own).otherwise(F.transform(among, lambda x: unit(x, mine, True)))
+    spread = placed.join(bodies, "doc_id").select("main", "doc_id", "group", "outside", "block", "text", F.explode(units).alias("u")).select("*", "u.*").drop("u")
+    return spread.groupBy("main", "mixed", "low", "high").applyInArrow(_outsider_comparer(k, percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 4, percent: int = 80) -> DataFrame:
@@ -129,37 +175,30 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, percent: int = 80)
     leaders = usable.join(classes.withColumnRenamed("rep", "doc_id"), same, "left_semi").select("doc_id", F.explode("keys").alias("key")).distinct()
     leaders = stored(leaders, "buckets")
     # Only buckets of two or more documents matter from here on, and only their texts are read again.
-    shared = leaders.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("key")
-    members = stored(leaders.join(shared, "key").select("key", "doc_id", F.col("doc_id").alias("group")), "members")
+    shared = leaders.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = stored(leaders.join(shared, "key"), "members")
+    weights = members.groupBy("doc_id").agg(F.sum("size").alias("weight"))
+    members = stored(members.join(weights, "doc_id").select("key", "doc_id", F.col("doc_id").alias("group"), "weight"), "members")
     discard(leaders)
     bodies = stored(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "bodies")
 
     def confirmed(edges: DataFrame) -> DataFrame:
         paired = edges.join(bodies.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
         paired = paired.join(bodies.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a").sortWithinPartitions("a")
-        links = paired.select("a", "b", "text_a", "text_b", "group_a", "group_b").mapInArrow(_confirmer(shingle_words, percent), "a long, b long, group_a long, group_b long")
+        links = paired.select("a", "b", "text_a", "text_b").mapInArrow(_confirmer(shingle_words, percent), "a long, b long")
         return stored(links, "confirmed")
 
-    tried = stored(_edges(members, _centres(members, 1)), "edges")
-    links = confirmed(tried)
+    links = confirmed(stored(_edges(members), "edges"))
     parts = stored(connected_components(links.select("a", "b")), "components")
     named = parts.withColumnsRenamed({"node": "doc_id", "component": "of"})
-    members = stored(members.join(named, "doc_id", "left").select("key", "doc_id", F.coalesce("of", "doc_id").alias("group")), "members")
-    merged, count = None, 8
-    while not links.isEmpty():
-        largest = members.groupBy("key", "group").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "group")).alias("top"), F.count("*").alias("groups"))
-        outside = members.join(largest.where("groups > 1").select("key", F.col("top.group").alias("main")), "key").where("group <> main").drop("main")
-        edges = stored(_edges(outside, _centres(members, count)).join(tried, ["a", "b"], "left_anti"), "edges")
-        links = confirmed(edges)
-        pairs = links.select(F.col("group_a").alias("a"), F.col("group_b").alias("b"))
-        merged = pairs if merged is None else merged.union(pairs)
-        tried, count = tried.unionByName(edges), 8 * count
-        moved = links.groupBy(F.greatest("group_a", "group_b").alias("group")).agg(F.min(F.least("group_a", "group_b")).alias("to"))
-        members = stored(members.join(moved, "group", "left").select("key", "doc_id", F.coalesce("to", "group").alias("group")), "members")
+    members = stored(members.join(named, "doc_id", "left").select("key", "doc_id", F.coalesce("of", "doc_id").alias("group"), "weight"), "members")
+    final = None
+    if not links.isEmpty():
+        missed = stored(_missed(members, bodies, shingle_words, percent), "missed")
+        final = connected_components(missed).withColumnsRenamed({"node": "of", "component": "to"})
     known = sketched.join(classes, ["n_shingles", "low", "high"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     joined = known.join(parts.withColumnsRenamed({"node": "rep", "component": "of"}), "rep", "left").withColumn("of", F.coalesce("of", "rep"))
-    if merged is not None:
-        final = connected_components(merged).withColumnsRenamed({"node": "of", "component": "to"})
+    if final is not None:
         joined = joined.join(final, "of", "left").withColumn("of", F.coalesce("to", "of"))
     component = F.when(F.col("n_shingles") > 0, F.col("of")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
