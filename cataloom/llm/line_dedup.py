@@ -83,9 +83,10 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     distinct = lines.select(where.alias("at"), *_hashes(), _half_keys(F.col("line")).alias("halves"))
     distinct = stored(distinct.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.any_value("halves").alias("halves")), "lines")
 
-    halves = distinct.select("h1", "h2", "first", F.explode("halves").alias("key"))
-    shared = halves.groupBy("key").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low <> high").select("key")
-    likely = stored(halves.join(shared, "key").select("h1", "h2", "first").distinct(), "likely")
+    halves = distinct.select("h1", F.explode("halves").alias("key"))
+    shared = halves.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("key")
+    sharing = halves.join(shared, "key").select("h1").distinct()
+    likely = stored(distinct.select("h1", "h2", "first").join(sharing, "h1", "left_semi"), "likely")
 
     # The texts of these lines, read again at their first occurrence.
     wanted = likely.select(F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "h1", "h2", "first")
