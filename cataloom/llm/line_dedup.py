@@ -63,15 +63,15 @@ def _summed(lines: DataFrame) -> DataFrame:
     pairs = F.zip_with(F.concat(edge, c), F.concat(c, edge), hashed)
     bridges = F.zip_with(F.concat(edge, F.slice(c, F.lit(1), all_but_one)), F.concat(F.slice(c, F.lit(2), all_but_one), edge), hashed)
     total = lambda values: F.aggregate(values, F.lit(0).cast("long"), lambda s, x: s + x)
-    return stored(lines.select("first", F.length("line").alias("n"), at.alias("at"), pairs.alias("pairs"), bridges.alias("bridges"), total(at).alias("at_sum"), total(pairs).alias("pair_sum")), "sums")
+    return stored(lines.select("h1", F.length("line").alias("n"), at.alias("at"), pairs.alias("pairs"), bridges.alias("bridges"), total(at).alias("at_sum"), total(pairs).alias("pair_sum")), "sums")
 
 
 def _variant_keys(sums: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(first, key) of all variants with their place, of all variants, and of the lines themselves."""
+    """(h1, key) of all variants with their place, of all variants, and of the lines themselves."""
     places = F.transform("at", lambda x, i: F.xxhash64(F.col("at_sum") - x, i, F.col("n")))
     removed = F.zip_with(F.slice("pairs", F.lit(1), F.col("n")), F.slice("pairs", F.lit(2), F.col("n")), lambda x, y: x + y)
     variants = F.zip_with(removed, "bridges", lambda gone, joined: F.xxhash64(F.col("pair_sum") - gone + joined, F.col("n") - 1))
-    return sums.select("first", F.explode(places).alias("key")), sums.select("first", F.explode(variants).alias("key")), sums.select(F.col("first").alias("other"), F.xxhash64("pair_sum", "n").alias("key"))
+    return sums.select("h1", F.explode(places).alias("key")), sums.select("h1", F.explode(variants).alias("key")), sums.select(F.col("h1").alias("other"), F.xxhash64("pair_sum", "n").alias("key"))
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -95,10 +95,15 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     known = stored(texts.join(wanted, ["doc_id", "line_no"]).where((F.xxhash64("line") == F.col("h1")) & (F.xxhash64(F.lit(1), "line") == F.col("h2"))).select("h1", "h2", "first", "line").distinct(), "texts")
 
     places, variants, entire = _variant_keys(_summed(known))
-    earliest = places.groupBy("key").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low <> high").select("key", "low")
-    swaps = places.join(earliest, "key").where("first <> low").select(F.col("low").alias("a"), F.col("first").alias("b"))
-    gaps = variants.join(entire, "key").where("first <> other")
-    gaps = gaps.select(F.least("first", "other").alias("a"), F.greatest("first", "other").alias("b"))
+    # Few variants are shared: they are found by narrow rows first, and only they meet their lines' places.
+    met_places = stored(places.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("key"), "places")
+    firsts = known.select("h1", "first")
+    swapped = places.join(met_places, "key").join(firsts, "h1")
+    earliest = swapped.groupBy("key").agg(F.min("first").alias("low"))
+    swaps = swapped.join(earliest, "key").where("first <> low").select(F.col("low").alias("a"), F.col("first").alias("b"))
+    gaps = stored(variants.join(entire, "key").where("h1 <> other").select("h1", "other").distinct(), "gaps")
+    gaps = gaps.join(firsts, "h1").join(firsts.withColumnsRenamed({"h1": "other", "first": "second"}), "other")
+    gaps = gaps.select(F.least("first", "second").alias("a"), F.greatest("first", "second").alias("b"))
     edges = stored(swaps.union(gaps).distinct(), "edges")
     left, right = known.select(F.col("first").alias("a"), F.col("line").alias("line_a")), known.select(F.col("first").alias("b"), F.col("line").alias("line_b"), "h1", "h2")
     near = edges.join(left, "a").join(right, "b").where(F.levenshtein("line_a", "line_b", 1) == 1).select("h1", "h2").distinct()
