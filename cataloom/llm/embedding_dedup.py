@@ -155,8 +155,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
 
 def _forest(leaders: DataFrame, n: int, length: int, threshold: float) -> DataFrame:
     """(vec_id, links, least) of the blocks in which a vector has links."""
-    sample = leaders.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding")
-    rows = np.array([r[0] for r in sample.toLocalIterator()], np.float64).reshape(-1, length)
+    chosen = leaders.select("vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE)
+    sample = leaders.join(F.broadcast(chosen), "vec_id", "left_semi").select("vec_id", "embedding")  # bounded by SAMPLE
+    rows = np.array([r[1] for r in sorted(sample.toLocalIterator())], np.float64).reshape(-1, length)
     rows /= np.linalg.norm(rows, axis=1, keepdims=True)
     depth = int(max(0, min(np.ceil(np.log2(max(n, 1) / LEAF)), np.floor(np.log2(max(len(rows), 1) / 16)))))
     draw = np.random.default_rng(5)

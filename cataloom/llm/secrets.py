@@ -73,7 +73,8 @@ def labelled_samples(spark: SparkSession, docs: DataFrame, max_docs: int = 2000,
     digest = F.sha2(F.col("id").cast("string"), 256)
     packed = F.base64(F.unhex(digest))
     drawn = spark.range(random_strings).select(F.explode(F.array(packed, F.translate(packed, "+/", "-_"), digest, F.upper(F.substring(F.regexp_replace(packed, "[^A-Za-z0-9]", ""), 1, 30)))).alias("token"), F.lit(True).alias("random"))
-    sample = docs.select("doc_id", "text").where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+    chosen = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id", "left_semi")  # bounded by max_docs
     words = F.regexp_extract_all("text", F.lit(r"\b([A-Za-z][a-z]{3,})\b"), F.lit(1))
     named = sample.select(F.slice(words, 1, 300).alias("w"))
     joined = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - 3)), lambda i: F.concat_ws("_", F.lower(F.get("w", i)), F.lower(F.get("w", i + 1)), F.lower(F.get("w", i + 2))))
