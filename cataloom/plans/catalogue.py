@@ -4,7 +4,490 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from cataloom.functions import constants as K, rules, text as T, units
+from cataloom.operators import attributes as A, metrics as M, rows as R, store as S
+from cataloom.plans.fixtures import CATALOG_SQL, COMPETING_SQL, catalog, competing, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _sql_list(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+# ---- rows -----------------------------------------------------------------------------------------
+
+_MAKER = "case when s_suppkey % 5 = 0 then '-- Unbranded --' when s_suppkey % 5 = 1 then concat(s_name, ' (', s_suppkey, ')') when s_suppkey % 7 = 0 then ' N/A ' else concat('  ', s_name) end"
+
+
+@query(f"""
+with x as (select s_suppkey as row_id, {_MAKER} as maker, concat(' PN ', s_suppkey) as part from supplier),
+y as (select row_id, part, case when lower(trim(maker)) in ({_sql_list(K.PLACEHOLDERS)}) then null else trim(maker) end as m from x),
+z as (select row_id, part, coalesce(nullif(trim(regexp_replace(m, '\\s*\\([^)]*\\)$', '')), ''), 'Unknown') as manufacturer from y)
+select row_id, manufacturer, trim(part) as mfg_part_number, '' as raw_description, 'General' as category, replace(trim(manufacturer), ' ', '_') || '-' || replace(trim(part), ' ', '_') as sku_id, 'ROW_READY' as status from z""")
+def catalog_normalize(spark: SparkSession, d: str) -> DataFrame:
+    raw = table(spark, d, "supplier").selectExpr("s_suppkey as row_id", f"{_MAKER} as `Part_Manuf`", "concat(' PN ', s_suppkey) as `Mfg Part Num`")
+    return R.normalized_rows(raw).drop("raw_headers")
+
+
+@query("""
+with x as (select c_custkey as row_id, case when c_custkey % 2 = 0 then c_name else '  ' end as a, case when c_custkey % 3 = 0 then c_mktsegment end as b from customer)
+select row_id, coalesce(nullif(trim(a), ''), nullif(trim(b), ''), 'UNKNOWN') as manufacturer from x""")
+def header_coalesce(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "customer").selectExpr("c_custkey as row_id", "case when c_custkey % 2 = 0 then c_name else '  ' end as a", "case when c_custkey % 3 = 0 then c_mktsegment end as b")
+    return x.select("row_id", R.first_filled([F.col("a"), F.col("b")], "UNKNOWN").alias("manufacturer"))
+
+
+# ---- rules ----------------------------------------------------------------------------------------
+
+
+def _rule(field: str, group: int) -> str:
+    return f"nullif(regexp_extract(raw_description, '{K.RULES[field]}', {group}, 'i'), '')"
+
+
+_MATERIAL = "case lower(m) " + " ".join(f"when '{k}' then '{v}'" for k, v in K.MATERIALS.items()) + " end"
+_WIDE = f"""
+with c as ({CATALOG_SQL}), w as (
+select row_id, category, manufacturer, mfg_part_number, {_rule("voltage", 1)} as voltage, upper({_rule("voltage", 2)}) as vu, {_rule("power", 1)} as power, upper({_rule("power", 2)}) as pu, upper({_rule("grit", 1)}) as grit,
+  {_rule("frequency", 1)} as frequency, {_rule("dimensions", 1)} as d1, {_rule("dimensions", 2)} as d2, lower({_rule("dimensions", 3)}) as du, {_rule("material", 1)} as m from c),
+wide as (select row_id, category, manufacturer, mfg_part_number, voltage, case when vu in ('V', 'VAC', 'VDC') then vu when vu is not null then 'V' end as voltage_unit, power, case when pu in ('W', 'KW', 'HP') then pu when pu is not null then 'W' end as power_unit,
+  grit, frequency, case when frequency is not null then 'Hz' end as frequency_unit, d1 || ' x ' || d2 as dimensions, case when d1 is not null then coalesce(nullif(du, '"'), 'in') end as dimensions_unit, {_MATERIAL} as material from w)"""
+_PRESENT = {f: f"cast({f} is not null as int)" for f, _ in rules.FIELDS}
+_COVER = (
+    "round(case category when 'Abrasives' then (" + " + ".join(_PRESENT[f] for f in ("grit", "dimensions", "material")) + ") / 3.0 when 'Electrical' then (" + " + ".join(_PRESENT[f] for f in ("voltage", "power", "frequency"))
+    + ") / 3.0 when 'Fittings' then (" + " + ".join(_PRESENT[f] for f in ("dimensions", "material")) + ") / 3.0 else (" + " + ".join(_PRESENT[f] for f in ("voltage", "dimensions", "material", "power")) + ") / 4.0 end, 2)"
+)
+_GATED = f"{_WIDE}, gated as (select *, cast({_COVER} as double) as coverage_ratio, case when {_COVER} >= 0.8 then 'COMPLETED' else 'CACHE_CHECK' end as status from wide)"
+_LONG = f"{_WIDE}, long as (" + " union all ".join(f"select row_id, category, {i} as pos, '{f}' as field_name, {f} as normalized_value, {u or 'null'} as unit from wide where {f} is not null" for i, (f, u) in enumerate(rules.FIELDS)) + ")"
+
+
+@query(f"{_WIDE} select row_id, voltage, voltage_unit, power, power_unit, grit, frequency, frequency_unit, dimensions, dimensions_unit, material from wide")
+def rule_extract_wide(spark: SparkSession, d: str) -> DataFrame:
+    return rules.extract_wide(catalog(spark, d)).select("row_id", *rules.rule_columns(F.lit("")))
+
+
+@query(f"{_LONG} select row_id, pos, field_name, normalized_value, unit, cast(0.99 as double) as confidence, 'regex' as source from long")
+def rule_extract_long(spark: SparkSession, d: str) -> DataFrame:
+    return rules.extract_long(catalog(spark, d))
+
+
+@query(f"{_GATED} select row_id, category, coverage_ratio, status from gated")
+def coverage_gate(spark: SparkSession, d: str) -> DataFrame:
+    return rules.gated(catalog(spark, d)).select("row_id", "category", "coverage_ratio", "status")
+
+
+@query(f"{_GATED} select category, status, cast(count(*) as bigint) as n from gated group by all")
+def status_by_category(spark: SparkSession, d: str) -> DataFrame:
+    return rules.gated(catalog(spark, d)).groupBy("category", "status").agg(F.count("*").alias("n"))
+
+
+@query(f"{_WIDE} select material, cast(count(*) as bigint) as n from wide group by 1")
+def material_canonical(spark: SparkSession, d: str) -> DataFrame:
+    return rules.extract_wide(catalog(spark, d)).groupBy("material").agg(F.count("*").alias("n"))
+
+
+# ---- units ----------------------------------------------------------------------------------------
+
+_PLAIN = "regexp_replace(cast(cast(round({x}, 4) as decimal(30, 4)) as varchar), '\\.?0+$', '')"
+
+
+def _grammar(spark: SparkSession, d: str, raw: str) -> DataFrame:
+    x = table(spark, d, "part").selectExpr("p_partkey as row_id", f"{raw} as raw_value")
+    return units.normalized(x).select("row_id", "raw_value", "value", "unit")
+
+
+def _unit_sql(raw: str, value: str, unit: str) -> str:
+    return f"select p_partkey as row_id, {raw} as raw_value, {value} as value, {unit} as unit from part"
+
+
+_SCALAR = "concat(p_size, case p_partkey % 4 when 0 then ' ft' when 1 then ' cm' when 2 then ' psi' else ' inches' end)"
+
+
+@query(_unit_sql(_SCALAR, "case p_partkey % 4 when 0 then concat(p_size * 12, '') when 1 then concat(p_size * 10, '') else concat(p_size, '') end", "case p_partkey % 4 when 0 then 'in' when 1 then 'mm' when 2 then 'psi' else 'in' end"))
+def unit_scalar(spark: SparkSession, d: str) -> DataFrame:
+    return _grammar(spark, d, _SCALAR)
+
+
+_RANGE = "concat(p_size, case p_partkey % 3 when 0 then ' to ' else '-' end, p_size + 10, case p_partkey % 2 when 0 then ' m' else ' deg F' end)"
+
+
+@query(_unit_sql(_RANGE, "case p_partkey % 2 when 0 then concat(p_size * 1000, '-', (p_size + 10) * 1000) else concat(p_size, '-', p_size + 10) end", "case p_partkey % 2 when 0 then 'mm' else '°F' end"))
+def unit_range(spark: SparkSession, d: str) -> DataFrame:
+    return _grammar(spark, d, _RANGE)
+
+
+_FRACTION = "concat(p_size, ' 1/4', case p_partkey % 2 when 0 then ' in' else ' ft' end)"
+
+
+@query(_unit_sql(_FRACTION, "case p_partkey % 2 when 0 then concat(p_size, '.25') else concat(p_size * 12 + 3, '') end", "'in'"))
+def unit_fraction(spark: SparkSession, d: str) -> DataFrame:
+    return _grammar(spark, d, _FRACTION)
+
+
+_VOLTAGE = "concat(p_size * 10, case p_partkey % 3 when 0 then '/240' when 1 then '-277' else '' end, case p_partkey % 2 when 0 then ' VAC' else 'V' end)"
+
+
+@query(_unit_sql(_VOLTAGE, "concat(p_size * 10, case p_partkey % 3 when 0 then '/240' when 1 then '-277' else '' end)", "'V'"))
+def unit_voltage(spark: SparkSession, d: str) -> DataFrame:
+    return _grammar(spark, d, _VOLTAGE)
+
+
+_THREAD = "case p_partkey % 2 when 0 then concat('1/2-', p_size, ' npt') else concat(p_size, ' tons') end"
+
+
+@query(_unit_sql(_THREAD, "case p_partkey % 2 when 0 then concat('0.5-', p_size, ' NPT') else concat(p_size * 12000, '') end", "case p_partkey % 2 when 0 then null else 'BTU/h' end"))
+def unit_thread_tonnage(spark: SparkSession, d: str) -> DataFrame:
+    return _grammar(spark, d, _THREAD)
+
+
+_AREA = "concat(p_size, case p_partkey % 4 when 0 then ' sq in' when 1 then ' square feet' when 2 then ' SQ M' else ' sq cm' end)"
+
+
+@query(_unit_sql(_AREA, "concat(p_size, '')", "case p_partkey % 4 when 0 then 'sq in' when 1 then 'sq ft' when 2 then 'sq m' else 'sq cm' end"))
+def unit_area(spark: SparkSession, d: str) -> DataFrame:
+    return _grammar(spark, d, _AREA)
+
+
+_FUZZY = "concat(p_size, case p_partkey % 3 when 0 then ' psig' when 1 then ' millmeters' else ' khz' end)"
+
+
+@query(_unit_sql(_FUZZY, "concat(p_size, '')", "case p_partkey % 3 when 0 then 'psi' when 1 then 'mm' else 'khz' end"))
+def unit_fuzzy(spark: SparkSession, d: str) -> DataFrame:
+    return _grammar(spark, d, _FUZZY)
+
+
+@query(f"""select cast(l_orderkey as bigint) as row_id, cast(l_linenumber as int) as line, {_PLAIN.format(x="l_quantity * 12")} as value, 'in' as unit, cast(count(*) as bigint) as n from lineitem group by all""")
+def unit_full_grammar(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "lineitem").selectExpr("l_orderkey as row_id", "l_linenumber as line", "concat(cast(l_quantity as string), ' ft') as raw_value")
+    return units.normalized(x).groupBy("row_id", "line", "value", "unit").agg(F.count("*").alias("n"))
+
+
+# ---- text -----------------------------------------------------------------------------------------
+
+_CLEAN = """
+with a as (select page_id, regexp_replace(regexp_replace(coalesce(html, ''), '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis') as t from pages),
+b as (select page_id, replace(replace(replace(replace(regexp_replace(t, '<[^>]+>', ' ', 'gs'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>') as t from a),
+c as (select page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), chr(10)) as t from b)"""
+_SCORE = f"""
+s as (select doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(10) || '+', chr(1), 'g'), chr(1))) as sentence, generate_subscripts(string_split(regexp_replace(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(10) || '+', chr(1), 'g'), chr(1)), 1) - 1 as idx from documents where text is not null),
+scored as (select doc_id, idx, sentence, cast(case when length(trim(sentence)) < 10 then 0 when regexp_matches(lower(sentence), '{K.BOILERPLATE}') then -5
+  else 3 * len(regexp_extract_all(lower(sentence), '{K.SPEC_UNITS}')) + 2 * cast(contains(sentence, ':') as int) + len(list_intersect(regexp_extract_all(lower(sentence), '[\\p{{L}}\\p{{N}}_]+'), [{_sql_list(K.SPEC_KEYWORDS)}])) end as double) as score from s)"""
+
+
+@query(f"{_CLEAN} select page_id, length(t) as n_chars, md5(t) as text_md5 from c")
+def html_clean(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "pages").select("page_id", T.html_clean(F.col("html")).alias("t"))
+    return x.select("page_id", F.length("t").cast("long").alias("n_chars"), F.md5(F.col("t").cast("binary")).alias("text_md5"))
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("idx", "sentence"))
+    return x.withColumn("score", T.sentence_score(F.col("sentence"), F.lit(""), F.lit("")))
+
+
+@query(f"with {_SCORE.strip()} select doc_id, cast(count(*) as bigint) as sentences, sum(score) as total, max(score) as best from scored group by 1")
+def sentence_score(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).groupBy("doc_id").agg(F.count("*").alias("sentences"), F.sum("score").alias("total"), F.max("score").alias("best"))
+
+
+@query(f"""with {_SCORE.strip()}, r as (select *, sum(length(sentence) + 1) over w as used, row_number() over w as rank from scored where score > 0 window w as (partition by doc_id order by score desc, idx rows unbounded preceding))
+select doc_id, string_agg(sentence, ' ' order by idx) as reduced from r where used <= 1500 or rank = 1 group by 1""")
+def context_reduce(spark: SparkSession, d: str) -> DataFrame:
+    return A.budgeted(_scored(spark, d), "doc_id")
+
+
+_HOST = "lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1))"
+
+
+@query(f"select page_id, {_HOST} as host, not (" + " or ".join(f"{_HOST} = '{x}' or ends_with({_HOST}, '.{x}')" for x in (*K.BLOCKED_DOMAINS, "example.net")) + ") as allowed from pages")
+def domain_policy(spark: SparkSession, d: str) -> DataFrame:
+    name = T.host(F.col("url"))
+    return table(spark, d, "pages").select("page_id", name.alias("host"), T.allowed_host(name, (*K.BLOCKED_DOMAINS, "example.net")).alias("allowed"))
+
+
+@query("select page_id, ends_with(lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)), '.pdf') or contains(lower(url), 'blog') or contains(lower(url), concat('/', page_id)) as relevant from pages")
+def url_relevance(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", T.relevant_url(F.col("url"), F.lit(" Blog "), F.concat(F.lit("/"), "page_id")).alias("relevant"))
+
+
+@query("select doc_id, cast(floor(length(text) / 4) + 150 as bigint) as small, cast(floor(length(text) / 4) + 200 as bigint) as large, cast(floor(least(length(text), 25000) / 3) + 400 as bigint) as api from documents")
+def token_estimate(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", M.tokens_small(t).alias("small"), M.tokens_large(t).alias("large"), M.tokens_api(t).alias("api"))
+
+
+@query("select doc_id, cast(floor(length(text) / 4) * 6e-7 as double) as cost from documents")
+def cost_estimate(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", (F.floor(F.length("text") / 4) * 6e-7).cast("double").alias("cost"))
+
+
+# ---- caches and resuming --------------------------------------------------------------------------
+
+_KEY = "md5(lower(trim(manufacturer)) || '|' || lower(trim(mfg_part_number)) || '|' || lower(trim(raw_description)) || '|1.0.0')"
+
+
+def _keyed(spark: SparkSession, d: str) -> DataFrame:
+    x = catalog(spark, d)
+    return x.withColumn("cache_key", T.cache_key(F.col("manufacturer"), F.col("mfg_part_number"), F.col("raw_description"), F.lit("1.0.0")))
+
+
+@query(f"with c as ({CATALOG_SQL}) select row_id, {_KEY} as cache_key from c")
+def enrichment_cache_key(spark: SparkSession, d: str) -> DataFrame:
+    return _keyed(spark, d).select("row_id", "cache_key")
+
+
+@query(f"with c as ({CATALOG_SQL}) select row_id, case when row_id % 3 = 0 then 'hit' else 'miss' end as outcome from c")
+def cache_hit_miss(spark: SparkSession, d: str) -> DataFrame:
+    rows = _keyed(spark, d)
+    hit, miss = S.probe(rows, rows.where("row_id % 3 = 0"), "cache_key")
+    return hit.select("row_id", F.lit("hit").alias("outcome")).unionByName(miss.select("row_id", F.lit("miss").alias("outcome")))
+
+
+@query("select o_orderkey as row_id, case when o_orderstatus = 'F' then 'restored' else 'new' end as origin from orders")
+def resume_union(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").selectExpr("o_orderkey as row_id", "case when o_orderstatus = 'F' then 'COMPLETED' else 'LLM_PENDING' end as status")
+    done, todo = S.resumed(rows.select("row_id"), rows)
+    return done.select("row_id", F.lit("restored").alias("origin")).unionByName(todo.select("row_id", F.lit("new").alias("origin")))
+
+
+@query("select page_id, case when page_id % 2 = 0 then length(url) else 0 end as cached_chars from pages")
+def scrape_cache_join(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages").withColumn("url_hash", F.md5(F.trim("url").cast("binary")))
+    cache = pages.where("page_id % 2 = 0").select("page_id", "url_hash", "url").withColumnsRenamed({"page_id": "p", "url": "text"})
+    return pages.join(cache, (pages["url_hash"] == cache["url_hash"]) & (pages["page_id"] == cache["p"]), "left").select("page_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("cached_chars"))
+
+
+@query("select c_custkey as k, case when c_custkey % 2 = 0 then 'new' else 'old' end as v from customer union all select c_custkey + 1000000, 'new' from customer where c_custkey % 2 = 0")
+def checkpoint_upsert(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "customer")
+    old = x.selectExpr("c_custkey as k", "'old' as v")
+    new = x.where("c_custkey % 2 = 0").select(F.explode(F.array(F.col("c_custkey"), F.col("c_custkey") + 1000000)).alias("k"), F.lit("new").alias("v"))
+    return S.upserted(old, new, ["k"])
+
+
+# ---- attributes -----------------------------------------------------------------------------------
+
+_RANKED = f"""
+with a as ({COMPETING_SQL}), r as (select *, row_number() over (partition by row_id, field_name order by case source when 'regex' then 4 when 'enrichment_cache' then 3 else 1 end desc, confidence desc, pos, raw_value desc, price desc) as n from a)"""
+
+
+@query(f"{_RANKED} select row_id, field_name, source, confidence from r where n = 1")
+def conflict_resolution(spark: SparkSession, d: str) -> DataFrame:
+    return A.resolved_conflicts(competing(spark, d)).select("row_id", "field_name", "source", "confidence")
+
+
+@query(f"with a as ({COMPETING_SQL}) select row_id, field_name, min(pos) as pos, max(pos) as last_pos from a group by 1, 2")
+def attribute_last_wins(spark: SparkSession, d: str) -> DataFrame:
+    x = competing(spark, d).withColumn("last_pos", F.col("pos"))
+    return A.last_wins(x).select("row_id", "field_name", "pos", "last_pos")
+
+
+@query(f"""with c as ({CATALOG_SQL}) select row_id, 'voltage' as field_name, case when row_id % 11 = 0 then 'large' when row_id % 3 = 0 then 'cache' when row_id % 2 = 0 then case when row_id % 4 = 0 and row_id % 5 = 0 then 'small' else 'rule' end else 'small' end as value
+from c where row_id % 11 = 0 or row_id % 3 = 0 or row_id % 2 = 0 or row_id % 5 = 0""")
+def merge_precedence(spark: SparkSession, d: str) -> DataFrame:
+    x = catalog(spark, d).select("row_id", F.lit("voltage").alias("field_name"))
+    side = lambda where, v, sure: x.where(where).select("row_id", "field_name", F.lit(v).alias("value"), sure.alias("confidence"), F.lit(v).alias("source"))
+    low = F.when(F.col("row_id") % 4 == 0, 0.5).otherwise(0.99)
+    return A.merged_by_stage(side("row_id % 2 = 0", "rule", low), side("row_id % 3 = 0", "cache", F.lit(0.9)), side("row_id % 5 = 0", "small", F.lit(0.9)), side("row_id % 11 = 0", "large", F.lit(0.95))).select("row_id", "field_name", "value")
+
+
+_ATTR = f"{_LONG}, attr as (select row_id, category, pos, field_name, case when field_name = 'voltage' and row_id % 10 = 0 then '-' || normalized_value when field_name = 'grit' and row_id % 15 = 0 then 'fine' else normalized_value end as normalized_value, unit, cast(case when row_id % 6 = 0 then 0.5 else 0.9 end as double) as confidence from long)"
+_FLAG = "case when field_name = 'voltage' and starts_with(normalized_value, '-') then 'INVALID_VOLTAGE_NEGATIVE: ' || normalized_value when field_name = 'grit' and not regexp_matches(normalized_value, '^P?[0-9]{2,4}$') then 'INVALID_GRIT_FORMAT: ' || normalized_value end"
+
+
+def _attributes(spark: SparkSession, d: str) -> DataFrame:
+    x = rules.extract_long(catalog(spark, d))
+    value = F.when((F.col("field_name") == "voltage") & (F.col("row_id") % 10 == 0), F.concat(F.lit("-"), "normalized_value")).when((F.col("field_name") == "grit") & (F.col("row_id") % 15 == 0), F.lit("fine")).otherwise(F.col("normalized_value"))
+    return x.withColumns({"normalized_value": value, "raw_value": value, "confidence": F.when(F.col("row_id") % 6 == 0, 0.5).otherwise(0.9)})
+
+
+@query(f"{_ATTR} select row_id, field_name, {_FLAG} as flag from attr where {_FLAG} is not null")
+def validation_flags(spark: SparkSession, d: str) -> DataFrame:
+    x = _attributes(spark, d).select("row_id", "field_name", A.validation_flags(F.col("field_name"), F.col("normalized_value")).alias("flag"))
+    return x.where(F.col("flag").isNotNull())
+
+
+_QUALITY = f"""{_ATTR}, cov as (select row_id, cast({_COVER} as double) as completeness from wide), q as (
+select w.row_id, c.completeness, coalesce(max(a.confidence), 0) as overall_confidence, coalesce(string_agg({_FLAG}, '; ' order by {_FLAG}), '') as flags from wide w join cov c using (row_id) left join attr a using (row_id) group by 1, 2),
+judged as (select *, flags = '' as validity, case when flags = '' and completeness >= 0.75 and overall_confidence >= 0.8 then 'PROVENANCE_MERGE' else '70B_PENDING' end as status from q)"""
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    return A.quality_gate(catalog(spark, d), _attributes(spark, d))
+
+
+@query(f"{_QUALITY} select row_id, completeness, overall_confidence, flags, validity, status from judged")
+def tri_signal_gate(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d).withColumn("flags", F.array_join("validation_flags", "; ")).drop("validation_flags")
+
+
+@query(f"{_QUALITY} select row_id, status from judged where not validity")
+def manual_review_queue(spark: SparkSession, d: str) -> DataFrame:
+    return A.review_queue(_judged(spark, d)).select("row_id", "status")
+
+
+@query(f"{_LONG} select c.row_id, " + ", ".join(f"max(case when field_name = '{f}' then normalized_value end) as attr_{f}_value, max(case when field_name = '{f}' then cast(0.99 as double) end) as attr_{f}_confidence, max(case when field_name = '{f}' then 'regex' end) as attr_{f}_source" for f in ("voltage", "material")) + " from c left join long l on l.row_id = c.row_id group by 1")
+def lineage_pivot(spark: SparkSession, d: str) -> DataFrame:
+    rows = catalog(spark, d)
+    attrs = rules.extract_long(rows).withColumn("raw_value", F.col("normalized_value"))
+    return A.lineage(rows.select("row_id"), attrs, ["voltage", "material"])
+
+
+def _delivery(spark: SparkSession, d: str) -> DataFrame:
+    rows = catalog(spark, d).withColumn("sku_id", R.sku(F.col("manufacturer"), F.col("mfg_part_number")))
+    found = rules.extract_long(rows).select("row_id", "pos", "field_name", F.col("normalized_value").alias("value"), "unit", F.concat(F.lit("http://x.example/"), (F.col("pos") % 3).cast("string")).alias("source_url"))
+    return A.delivery(A.nested(rows, found, "row_id", ["pos"]))
+
+
+@query(f"""{_WIDE} select row_id, manufacturer || ' ' || mfg_part_number as product_name, coalesce(voltage, '') as voltage, coalesce(voltage_unit, '') as voltage_uom, coalesce(power, '') as wattage, coalesce(power_unit, '') as wattage_uom,
+coalesce(frequency, '') as frequency, coalesce(frequency_unit, '') as frequency_uom, coalesce(material, '') as material, 'Industrial & Commercial > ' || category as classpath from wide""")
+def delivery_slots(spark: SparkSession, d: str) -> DataFrame:
+    names = {"Product Name": "product_name", "VOLTAGE": "voltage", "VOLTAGE_UOM": "voltage_uom", "WATTAGE": "wattage", "WATTAGE_UOM": "wattage_uom", "FREQUENCY": "frequency", "FREQUENCY_UOM": "frequency_uom", "MATERIAL": "material", "Classpath": "classpath"}
+    return _delivery(spark, d).select("row_id", *[F.col(f"`{a}`").alias(b) for a, b in names.items()])
+
+
+_NUMBERED = f"{_LONG}, num as (select *, row_number() over (partition by row_id order by pos) as k from long)"
+
+
+@query(f"""{_NUMBERED} select w.row_id, {", ".join(f"coalesce(max(case when k = {k} then upper(field_name[1]) || field_name[2:] end), '') as label_{k}, coalesce(max(case when k = {k} then normalized_value end), '') as value_{k}, coalesce(max(case when k = {k} then unit end), '') as uom_{k}" for k in (1, 2, 3))}
+from wide w left join num n using (row_id) group by 1""")
+def delivery_triplets(spark: SparkSession, d: str) -> DataFrame:
+    return _delivery(spark, d).select("row_id", *[F.col(f"ATTRIBUTE_{a} {k}").alias(f"{a.lower()}_{k}") for k in (1, 2, 3) for a in ("LABEL", "VALUE", "UOM")])
+
+
+@query(f"{_LONG} select w.row_id, coalesce(string_agg(upper(field_name[1]) || field_name[2:] || ': ' || normalized_value || coalesce(' ' || unit, ''), '; ' order by pos), '') as long_desc from wide w left join long l using (row_id) group by 1")
+def long_desc(spark: SparkSession, d: str) -> DataFrame:
+    return _delivery(spark, d).select("row_id", F.col("LONG_DESC1").alias("long_desc"))
+
+
+@query(f"""{_LONG}, u as (select row_id, 'http://x.example/' || (pos % 3) as url, min(pos) as pos from long group by 1, 2), k as (select row_id, url, row_number() over (partition by row_id order by pos) as k from u)
+select w.row_id, coalesce(max(case when k = 1 then url end), '') as mfr_url, coalesce(max(case when k = 2 then url end), '') as ref_url_2, coalesce(max(case when k = 3 then url end), '') as ref_url_3 from wide w left join k using (row_id) group by 1""")
+def ref_urls(spark: SparkSession, d: str) -> DataFrame:
+    return _delivery(spark, d).select("row_id", F.col("MFR URL").alias("mfr_url"), F.col("Ref URL 2").alias("ref_url_2"), F.col("Ref URL 3").alias("ref_url_3"))
+
+
+@query("select o_orderkey as sku, coalesce(string_agg(cast(l_partkey as varchar), ',' order by l_partkey), '') as parts, cast(count(l_partkey) as bigint) as n from orders left join lineitem on l_orderkey = o_orderkey group by 1")
+def product_attribute_nest(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").selectExpr("l_orderkey as sku", "l_partkey as part", "l_linenumber as line")
+    out = A.nested(table(spark, d, "orders").selectExpr("o_orderkey as sku"), lines, "sku", ["part", "line"])
+    return out.select("sku", F.array_join(F.transform("attrs", lambda a: a["part"].cast("string")), ",").alias("parts"), F.size("attrs").cast("long").alias("n"))
+
+
+# ---- metrics --------------------------------------------------------------------------------------
+
+
+@query(f"""{_GATED}, t as (select row_id, status, row_id % 5 as r, row_id * 3 as tokens, cast(row_id % 7 as double) as ms from gated), x as (select *, status = 'COMPLETED' as done from t)
+select cast(count(distinct row_id) as bigint) as total_rows, cast(count(*) filter (done) as bigint) as completed, cast(0 as bigint) as failed, cast(0 as bigint) as manual_review, cast(count(*) filter (done and r not in (1, 2, 3)) as bigint) as deterministic,
+cast(count(*) filter (done and r = 3) as bigint) as cache_hits, cast(count(*) filter (done and r = 2) as bigint) as small_model, cast(count(*) filter (done and r = 1) as bigint) as large_model, cast(sum(tokens) as bigint) as tokens,
+round((count(*) filter (done and r not in (1, 2))) / greatest(count(*) filter (done), 1), 4) as bypass_rate, round(sum(ms) / greatest(count(*) filter (done), 1), 2) as average_ms from x""")
+def metrics_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    x = rules.gated(catalog(spark, d))
+    r = F.col("row_id") % 5
+    sources = F.when(r == 1, F.array(F.lit("regex"), F.lit("llm_70b_fallback"))).when(r == 2, F.array(F.lit("llm_8b"))).otherwise(F.array(F.lit("regex")))
+    return M.snapshot(x.select("row_id", "status", sources.alias("sources"), (r == 3).alias("cache_hit"), (F.col("row_id") * 3).alias("tokens"), (F.col("row_id") % 7).cast("double").alias("ms")))
+
+
+@query(f"with a as ({COMPETING_SQL}) select case when source = 'llm_8b' then 'unknown' else source end as source, cast(count(*) as bigint) as n from a group by 1")
+def source_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    return M.source_breakdown(competing(spark, d).withColumn("enrichment_source", F.nullif("source", F.lit("llm_8b"))))
+
+
+@query("select o_custkey as job_id, cast(count(*) as bigint) as completed, cast(count(*) filter (o_orderstatus = 'F') as bigint) as succeeded, cast(count(*) filter (o_orderstatus <> 'F') as bigint) as failed, round(coalesce(avg(case when o_orderstatus = 'F' then 0.5 end), 0), 4)::double as avg_confidence from orders group by 1")
+def job_rollup(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "orders").selectExpr("o_custkey as job_id", "case when o_orderstatus = 'F' then 'success' else 'error' end as status", "cast(0.5 as double) as confidence")
+    return M.job_rollup(x)
+
+
+@query("select o_orderkey as row_id, cast((o_orderkey - 1) // 4 as bigint) as chunk, cast(((o_orderkey - 1) // 4) % 3 as bigint) as key_index from orders where o_orderkey > 0")
+def microchunk_progress(spark: SparkSession, d: str) -> DataFrame:
+    return M.chunked(table(spark, d, "orders").where("o_orderkey > 0").selectExpr("o_orderkey as row_id"))
+
+
+@query("select p_partkey as row_id, cast((p_partkey - 1) // ceil((select count(*) from part where p_partkey > 0) / 7.0) as bigint) as shard from part where p_partkey > 0")
+def contiguous_shards(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "part").where("p_partkey > 0").selectExpr("p_partkey as row_id")
+    return M.contiguous_shards(x, "row_id", x.count(), 7)
+
+
+@query("select key_index, cast(count(*) as bigint) as rows, cast(count(distinct chunk) as bigint) as chunks from (select (o_orderkey - 1) // 4 as chunk, cast(((o_orderkey - 1) // 4) % 3 as bigint) as key_index from orders where o_orderkey > 0) group by 1")
+def round_robin_keys(spark: SparkSession, d: str) -> DataFrame:
+    x = M.chunked(table(spark, d, "orders").where("o_orderkey > 0").selectExpr("o_orderkey as row_id"))
+    return x.groupBy("key_index").agg(F.count("*").alias("rows"), F.countDistinct("chunk").alias("chunks"))
+
+
+_LOAD = "select event_id, cast(count(*) over w as bigint) as rpm, cast(sum(event_id % 100) over w as bigint) as tpm from events window w as ({part} order by epoch_us(ts) range between 59999999 preceding and current row)"
+
+
+@query(_LOAD.format(part=""))
+def sliding_rpm_tpm(spark: SparkSession, d: str) -> DataFrame:
+    return M.sliding_load(table(spark, d, "events"), "ts", F.col("event_id") % 100).select("event_id", "rpm", "tpm")
+
+
+@query(_LOAD.format(part="partition by user_id"))
+def sliding_rpm_tpm_by_key(spark: SparkSession, d: str) -> DataFrame:
+    return M.sliding_load(table(spark, d, "events"), "ts", F.col("event_id") % 100, within="user_id").select("event_id", "rpm", "tpm")
+
+
+@query("""with a as (select *, cast(event_type = 'error' as int) as f from events), b as (select *, sum(1 - f) over (partition by user_id order by ts, event_id rows unbounded preceding) as run from a)
+select event_id, cast(sum(f) over (partition by user_id, run order by ts, event_id rows unbounded preceding) as bigint) as failures, case when f = 1 then 2.0::double * pow(2, sum(f) over (partition by user_id, run order by ts, event_id rows unbounded preceding) - 1) else 0 end as wait from b""")
+def backoff_islands(spark: SparkSession, d: str) -> DataFrame:
+    return M.backoff(table(spark, d, "events"), ["ts", "event_id"], F.col("event_type") == "error", "user_id").select("event_id", "failures", "wait")
+
+
+@query("""with x as (select event_id, event_id % 4 as k, event_id % 50 as s from events), y as (select event_id, case k when 0 then s * 1.0 + 0.5 when 1 then 120 + s when 2 then s else 0 end as seconds from x)
+select event_id, seconds::double as seconds, case when seconds <= 0 then 0 else least(seconds * 1.25 + 0.5, 30) end::double as wait from y""")
+def retry_after_parse(spark: SparkSession, d: str) -> DataFrame:
+    message = F.expr("case event_id % 4 when 0 then concat('Please try again in ', event_id % 50, '.5s') when 1 then concat('retry in 2m', event_id % 50, 's') when 2 then concat('wait, in ', event_id % 50, 's') else 'tokens per day (TPD)' end")
+    seconds = T.retry_seconds(message)
+    return table(spark, d, "events").select("event_id", seconds.alias("seconds"), T.buffered_wait(seconds).alias("wait"))
+
+
+@query()
+def admission_control(spark: SparkSession, d: str) -> DataFrame:
+    from cataloom.streaming.jobs import admitted
+
+    calls = table(spark, d, "events").select("user_id", F.col("event_id").alias("call_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), (F.col("event_id") % 200).alias("tokens"))
+    return admitted(calls)
+
+
+# ---- responses ------------------------------------------------------------------------------------
+
+
+@query(f"with c as ({CATALOG_SQL}) select row_id, 'voltage' as field_name, concat(row_id, ' V') as raw_value, cast(case when row_id % 3 = 0 then 0.95 when row_id % 3 = 1 then 1.0 else 0.5 end as double) as confidence from c where row_id % 4 <> 3")
+def llm_response_parse(spark: SparkSession, d: str) -> DataFrame:
+    body = F.expr("""concat('{"field_name": "voltage", "raw_value": "', row_id, ' V", "unit": "n/a", "confidence": ', case when row_id % 3 = 0 then '"high"' when row_id % 3 = 1 then '7' else '0.5' end, '}')""")
+    answer = F.when(F.col("row_id") % 4 == 0, F.concat(F.lit('<think>{"attributes": []}</think>\n```json\n{"attributes": ['), body, F.lit(', {"field_name": " ", "raw_value": "x"}]}\n```'))).when(F.col("row_id") % 4 == 1, F.concat(F.lit("["), body, F.lit("]"))).when(F.col("row_id") % 4 == 2, F.concat(F.lit('{"tasks": ['), body, F.lit("]}"))).otherwise("not json")
+    return catalog(spark, d).select("row_id", F.inline(T.parsed_attributes(answer))).select("row_id", "field_name", "raw_value", "confidence")
+
+
+@query(f"with c as ({CATALOG_SQL}) select row_id, 'voltage' as field_name, cast(row_id as varchar) as raw_value from c")
+def json_repair(spark: SparkSession, d: str) -> DataFrame:
+    broken = F.expr("""case row_id % 3 when 0 then concat('<function=x>{"attributes": [{field_name: "voltage", raw_value: "', row_id, '",},]}</function>') when 1 then concat('Here: {"attributes"=[{"field_name"="voltage", "raw_value"="', row_id, '"}]} done') else concat('```json\n{"attributes": [{"field_name": "voltage", "raw_value": "', row_id, '"}]}\n```') end""")
+    return catalog(spark, d).select("row_id", F.inline(T.parsed_attributes(T.json_repaired(broken)))).select("row_id", "field_name", "raw_value")
+
+
+@query(f"with c as ({CATALOG_SQL}), f as (select row_id, manufacturer, mfg_part_number from c where contains(lower(manufacturer || ' ' || mfg_part_number || ' ' || category), 'pn-1')) select row_id, mfg_part_number from f order by row_id limit 20 offset 20")
+def catalog_search_page(spark: SparkSession, d: str) -> DataFrame:
+    found = catalog(spark, d).where(F.lower(F.concat_ws(" ", "manufacturer", "mfg_part_number", "category")).contains("pn-1"))
+    return found.select("row_id", "mfg_part_number").orderBy("row_id").offset(20).limit(20)
+
+
+@query("select p_partkey as row_id, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as slug from part")
+def slugs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), T.slug(F.col("p_name")).alias("slug"))
+
+
