@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder below the session's ``spark.checkpoint.dir``, which all executors share; a temporary one only where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="cataloom-")
+    return f"{base.rstrip('/')}/cataloom/{uuid.uuid4().hex}"
+
+
 def probe(rows: DataFrame, cache: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Rows whose key the cache holds, and the rest."""
     keys = cache.select(key)

@@ -417,7 +417,7 @@ def microchunk_progress(spark: SparkSession, d: str) -> DataFrame:
     return M.chunked(table(spark, d, "orders").where("o_orderkey > 0").selectExpr("o_orderkey as row_id"))
 
 
-@query("select p_partkey as row_id, cast((p_partkey - 1) // ceil((select count(*) from part where p_partkey > 0) / 7.0) as bigint) as shard from part where p_partkey > 0")
+@query("select p_partkey as row_id, cast((p_partkey - 1) // cast(ceil((select count(*) from part where p_partkey > 0) / 7.0) as bigint) as bigint) as shard from part where p_partkey > 0")
 def contiguous_shards(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "part").where("p_partkey > 0").selectExpr("p_partkey as row_id")
     return M.contiguous_shards(x, "row_id", x.count(), 7)
@@ -491,3 +491,15 @@ def slugs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), T.slug(F.col("p_name")).alias("slug"))
 
 
+@query()
+def stream_batch_job(spark: SparkSession, d: str) -> DataFrame:
+    """Three files through the streaming job; the rows of the result table."""
+    from cataloom.streaming.jobs import run_batch_job
+
+    folder = S.work_folder(spark)
+    rows = catalog(spark, d).select("row_id", "raw_description", "category")
+    for i in range(3):
+        rows.where(F.col("row_id") % 3 == i).write.mode("append").parquet(f"{folder}/in")
+    results, jobs = S.Table(spark, f"{folder}/results"), S.Table(spark, f"{folder}/jobs")
+    run_batch_job(spark, f"{folder}/in", "row_id long, raw_description string, category string", "job-1", results, jobs, f"{folder}/progress", 8).awaitTermination()
+    return results.read()
