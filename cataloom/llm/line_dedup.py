@@ -118,15 +118,17 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with all its columns; text without its redundant lines, and the numbers of the lines that went.
 
-    Adds n_lines, dropped (line numbers from 0, ascending, as array) and n_near (those with an edit's difference).  Lines are cut at
-    newlines.  Null texts stay null with no lines; an empty text has one empty line, which stays; rows without
-    doc_id stay as they are.  Rows that repeat a doc_id lose the same line numbers.  A document that loses every line has an empty text.
+    Adds n_lines, dropped (line numbers from 0, ascending, as array) and n_near (those with an edit's difference), in place of
+    columns of these names.  Lines are cut at newlines.  Null texts stay null with no lines; an empty text has one empty line,
+    which stays; rows without doc_id stay as they are.  Rows that repeat a doc_id lose the same line numbers.  A document that
+    loses every line has an empty text.
     """
-    gone = dropped_lines(docs, min_chars).distinct().groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list("line_no")).alias("_gone"), F.sum(F.col("near").cast("long")).alias("_near"))
-    joined = docs.join(gone, docs["doc_id"].cast("long") == F.col("_id"), "left")
-    gone_list = F.coalesce("_gone", F.array().cast("array<int>"))
+    own = "_" * (1 + max((len(c) for c in docs.columns), default=0))  # longer than any name of docs
+    gone = dropped_lines(docs, min_chars).distinct().groupBy(F.col("doc_id").alias(f"{own}id")).agg(F.sort_array(F.collect_list("line_no")).alias(f"{own}gone"), F.sum(F.col("near").cast("long")).alias(f"{own}near"))
+    joined = docs.join(gone, docs["doc_id"].cast("long") == F.col(f"{own}id"), "left")
+    gone_list = F.coalesce(f"{own}gone", F.array().cast("array<int>"))
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(gone_list, i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
-    n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
-    extra = {"n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(n_lines).cast("long"), "dropped": gone_list, "n_near": F.coalesce("_near", F.lit(0)).cast("long")}
-    return joined.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns], *[v.alias(k) for k, v in extra.items()])
+    text = F.when(F.col(f"{own}gone").isNull(), F.col("text")).otherwise(kept)
+    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    extra = {"n_lines": n_lines, "dropped": gone_list, "n_near": F.coalesce(f"{own}near", F.lit(0)).cast("long")}
+    return joined.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns if c not in extra], *[v.alias(k) for k, v in extra.items()])

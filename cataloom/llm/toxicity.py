@@ -106,6 +106,8 @@ def _stretches(toxic: list[str], ordinary: list[str], lift: float, support: floa
 
 
 def _trained(samples: list[bytes], size: int) -> bytes:
+    if not samples:
+        return b""
     try:
         return zstd.train_dictionary(size, samples).as_bytes().rpartition(_OFFSETS)[2]
     except zstd.ZstdError:  # too few or too uniform samples to train on
@@ -157,7 +159,7 @@ class ToxicityModel:
             return np.array([1.0, 0, 0, 0, 0, 0])
         if not self._tools:
             for content in (self.ordinary, self.toxic + self.ordinary):
-                dictionary = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+                dictionary = zstd.ZstdCompressionDict(content.rjust(16), dict_type=zstd.DICT_TYPE_RAWCONTENT)
                 level = zstd.ZstdCompressionParameters.from_level(5, source_size=WINDOW, dict_size=len(content), min_match=5, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstd.FORMAT_ZSTD1_MAGICLESS)
                 dictionary.precompute_compress(compression_params=level)
                 self._tools.append(zstd.ZstdCompressor(dict_data=dictionary, compression_params=level))
