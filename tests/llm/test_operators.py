@@ -1,5 +1,6 @@
 """The ten operators on small tables, against plain Python, and on nulls, empty and long texts, repeated rows and clashing names."""
 
+import base64
 import hashlib
 import random
 import re
@@ -202,11 +203,9 @@ def test_html(spark):
 def test_secrets(spark):
     texts = [f'My token = "{hashlib.sha1(b"x").hexdigest()}" é password:abc; API_KEY: abcdef', "AKIA" + "A" * 16 + " akia AKIAB", "token=token: abcdefgh", "é" + "0123456789abcdef" * 2, prose(1), "thiscouldbeanordinarylongword and another_ordinary_name_in_code"]
     rows = table(spark, [(100 + i, t, "s") for i, t in enumerate(texts)] + ODD)
-    rows_random = hashlib.sha512(b"q").digest()
-    import base64
-
-    blob = base64.b64encode(rows_random).decode().strip("=")
-    models = train(labelled_samples(spark, table(spark, [(i, " ".join(w.capitalize() for w in prose(i).split()), "s") for i in range(50)])))
+    blob = base64.b64encode(hashlib.sha512(b"q").digest()).decode().strip("=")
+    plain = "this could be another ordinary long word that names something in the code while other words name what users read about every day when they open some page with many lines and would like to know more about it".split()
+    models = train(labelled_samples(spark, table(spark, [(i, " ".join(random.Random(i).choices(plain, k=200)), "s") for i in range(30)])))
     got = {r.doc_id: r for r in secrets(rows.unionByName(table(spark, [(200, f"see  {blob} here", "s")])), models).collect()}
     kinds = lambda i: [(s.kind, s.start, s.end) for s in got[i].base]
     t = texts[0]
