@@ -503,3 +503,31 @@ def stream_batch_job(spark: SparkSession, d: str) -> DataFrame:
     results, jobs = S.Table(spark, f"{folder}/results"), S.Table(spark, f"{folder}/jobs")
     run_batch_job(spark, f"{folder}/in", "row_id long, raw_description string, category string", "job-1", results, jobs, f"{folder}/progress", 8).awaitTermination()
     return results.read()
+
+
+_AFTER = "select *, coalesce(voltage, s) is not null as v, coalesce(power, s) is not null as p, coalesce(dimensions, s) is not null as dim, coalesce(material, s) is not null as mat from (select *, case when row_id % 2 = 0 then 'x' end as s from gated)"
+_NEED = "case category when 'Abrasives' then (cast({g} as int) + cast(dim as int) + cast(mat as int)) / 3.0 when 'Electrical' then (cast(v as int) + cast(p as int) + cast({f} as int)) / 3.0 when 'Fittings' then (cast(dim as int) + cast(mat as int) + cast({c} as int)) / 3.0 else (cast(v as int) + cast(dim as int) + cast(mat as int) + cast(p as int)) / 4.0 end >= 0.75"
+
+
+@query(f"""{_GATED}, present as ({_AFTER}), tried as (select *, {_NEED.format(g="(grit is not null)", f="(frequency is not null)", c="false")} as passed from present),
+again as (select *, passed or {_NEED.format(g="(grit is not null or row_id % 3 = 0)", f="(frequency is not null or row_id % 3 = 0)", c="(row_id % 3 = 0)")} as final from tried)
+select row_id, case when status = 'COMPLETED' or row_id % 7 = 0 or final then 'COMPLETED' else 'MANUAL_REVIEW' end as status, case when status = 'COMPLETED' then 'rules' when row_id % 7 = 0 then 'cache' else 'model' end as via from again""")
+def enrich_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """The whole enrichment over the derived catalog, with answers for half of the rows and repairs for a third."""
+    from cataloom.plans.enrichment import enriched
+
+    rows = catalog(spark, d)
+    told = lambda names: F.lit('{"attributes": [' + ", ".join(f'{{"field_name": "{n}", "raw_value": "{v}", "confidence": 0.9}}' for n, v in names) + "]}")
+    small = rows.where("row_id % 2 = 0").select("row_id", told([("voltage", "24"), ("power", "5"), ("dimensions", "1 x 2"), ("material", "Brass")]).alias("response"))
+    large = rows.where("row_id % 3 = 0").select("row_id", told([("grit", "P120"), ("frequency", "60"), ("connection_type", "NPT")]).alias("response"))
+    cache = _keyed(spark, d).where("row_id % 7 = 0").select("cache_key", F.lit("voltage").alias("field_name"), F.lit("24").alias("value"), F.lit(0.9).alias("confidence"), F.lit("llm_8b").alias("source"))
+    return enriched(rows, cache, small, large)[0].select("row_id", "status", "via")
+
+
+@query("select p_partkey as row_id, concat(p_size, ' 1/2 in by ', p_size, ' ft') as units, concat(p_size, ' 1/2 in by ', p_size, ' ft') as bare, case p_partkey % 3 when 0 then 'HVAC' when 1 then 'Electrical' else 'General' end as category, case when p_size % 10 >= 9 then 'high' when p_size % 10 >= 7 then 'medium' else 'low' end as tone from part")
+def quotes_and_categories(spark: SparkSession, d: str) -> DataFrame:
+    from cataloom.functions import display as D
+
+    marked = F.expr("""concat(p_size, ' 1/2" by ', p_size, "'")""")
+    words = F.expr("case p_partkey % 3 when 0 then 'Thermostat relay' when 1 then 'a RELAY' else 'none' end")
+    return table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), D.quotes_as_units(marked).alias("units"), D.without_quotes(marked).alias("bare"), D.category_of(words).alias("category"), D.tone((F.col("p_size") % 10) / 10).alias("tone"))
