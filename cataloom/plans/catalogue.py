@@ -531,3 +531,23 @@ def quotes_and_categories(spark: SparkSession, d: str) -> DataFrame:
     marked = F.expr("""concat(p_size, ' 1/2" by ', p_size, "'")""")
     words = F.expr("case p_partkey % 3 when 0 then 'Thermostat relay' when 1 then 'a RELAY' else 'none' end")
     return table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), D.quotes_as_units(marked).alias("units"), D.without_quotes(marked).alias("bare"), D.category_of(words).alias("category"), D.tone((F.col("p_size") % 10) / 10).alias("tone"))
+
+
+@query("""with x as (select p_partkey as pos, 'S' || (p_partkey % 500) as sku_id, p_type as category, case when p_partkey % 4 = 0 then 0 else 0.5 end as c from part),
+one as (select sku_id, min(pos) as first_pos, max(pos) as pos from x group by 1), n as (select 'S' || (l_partkey % 700) as sku_id, count(*) as n from lineitem group by 1)
+select sku_id, first_pos as pos, x.category, case when x.c = 0 then 0.95 else 0.5 end::double as overall_confidence, cast(coalesce(n, 0) as bigint) as n_attributes from one join x using (sku_id, pos) left join n using (sku_id)""")
+def related_products(spark: SparkSession, d: str) -> DataFrame:
+    from cataloom.operators.delivery import related
+
+    products = table(spark, d, "part").selectExpr("p_partkey as pos", "concat('S', p_partkey % 500) as sku_id", "p_type as category", "p_brand as manufacturer_name", "p_name as part_number", "case when p_partkey % 4 = 0 then 0 else 0.5 end as overall_confidence")
+    attributes = table(spark, d, "lineitem").selectExpr("l_orderkey as pos", "concat('S', l_partkey % 700) as sku_id", "'weight' as field_name", "'1' as raw_value", "cast(null as string) as normalized_value", "'lb' as unit", "cast(null as string) as source_url")
+    return related(products, attributes).select("sku_id", "pos", "category", "overall_confidence", F.size("attrs").cast("long").alias("n_attributes"))
+
+
+@query(f"with c as ({CATALOG_SQL}) select row_id, row_id % 3 as n from c where row_id % 4 <> 3 and row_id % 3 > 0")
+def export_payload(spark: SparkSession, d: str) -> DataFrame:
+    from cataloom.operators.delivery import payload_items
+
+    body = F.expr("""case when row_id % 4 = 3 then '{"sku_id": "x"}' else concat(' [', array_join(transform(sequence(1, 3), i -> if(i <= row_id % 3, concat('{"sku_id": "', i, '"},'), '')), ''), '{"sku_id": null}]') end""")
+    items = catalog(spark, d).select("row_id", F.explode(payload_items(body, "struct<sku_id:string>")).alias("p")).where(F.col("p.sku_id").isNotNull())
+    return items.groupBy("row_id").agg(F.count("*").alias("n"))

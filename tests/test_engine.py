@@ -2,8 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from cataloom.functions import rules, text as T
-from cataloom.operators import attributes as A, metrics as M, rows as R, store as S
-from cataloom.sources.readers import read_catalog, read_workbook
+from cataloom.operators import attributes as A, delivery as D, metrics as M, rows as R, store as S
+from cataloom.plans.enrichment import answered
+from cataloom.sources.readers import read_catalog, read_workbook, sheet_rows
 from cataloom.sources.writers import workbook_bytes
 from cataloom.streaming.jobs import admitted
 
@@ -101,3 +102,31 @@ def test_shards(spark):
     rows = spark.range(1, 11).selectExpr("id as p")
     assert [r.shard for r in M.contiguous_shards(rows, "p", 10, 4).orderBy("p").collect()] == [0, 0, 0, 1, 1, 1, 2, 2, 2, 3]
     assert M.contiguous_shards(rows, "p", 10, 0).count() == 0
+
+
+def test_workbook_of_four_tabs(spark):
+    products = spark.createDataFrame([(1, "S1", "HVAC", "Omron", "MY4", None), (2, " ", "HVAC", "x", "y", 0.9), (3, "S1", "General", "Omron", "MY4N", 0.0)], "pos int, sku_id string, category string, manufacturer_name string, part_number string, overall_confidence double")
+    attributes = spark.createDataFrame([(2, "S1", "voltage", "24V", "24", "V", "https://a"), (1, "S1", "color", "red", None, None, None), (1, "S9", "color", "x", None, None, None)], "pos int, sku_id string, field_name string, raw_value string, normalized_value string, unit string, source_url string")
+    nested = D.related(products, attributes)
+    row = nested.first()
+    assert nested.count() == 1 and (row.pos, row.category, row.part_number, row.overall_confidence) == (1, "General", "MY4N", 0.95) and [a.value for a in row.attrs] == ["red", "24"]
+    transitions = spark.createDataFrame([(1, "COMPLETED", ["regex"], False, 10, 5.0), (1, "COMPLETED", ["regex"], False, 10, 5.0)], "row_id int, status string, sources array<string>, cache_hit boolean, tokens long, ms double")
+    records = spark.createDataFrame([(1, "COMPLETED", True), (2, "MANUAL_REVIEW", True), (3, "COMPLETED", False)], "row_id int, status string, validity boolean")
+    data = D.workbook(D.catalog_sheet(nested), spark.range(1), transitions, records)
+    sheets = [sheet_rows(data, i) for i in range(4)]
+    assert len(sheets[0][0]) == 252 and ["total_rows", "1"] in sheets[2] and ["completed", "2"] in sheets[2] and [r[0] for r in sheets[3]] == ["row_id", "2", "3"]
+
+
+def test_first_seen_columns_and_preflight(spark):
+    maps = spark.createDataFrame([(2, {"c": "1", "a": "2"}), (1, {"b": "1"}), (3, {"a": "1"})], "n int, m map<string,string>")
+    assert set(D.first_seen_columns(maps, "m", "n")) == {"a", "b", "c"} and D.first_seen_columns(maps, "m", "n")[0] == "b"
+    assert D.preflight(["Mfg. Part-Num", "Vendor", "x"]) == ["manufacturer", "mfg_part_number"] and D.preflight(["x"]) == []
+
+
+def test_failed_batches_answer_nothing(spark):
+    class Broken:
+        def extract(self, prompts):
+            raise RuntimeError("no service")
+
+    rows = spark.createDataFrame([(1, "p")], "row_id long, prompt string")
+    assert [tuple(r) for r in answered(rows, Broken()).collect()] == [(1, "")]
