@@ -95,6 +95,11 @@ def retry_seconds(message: Column) -> Column:
     return minutes * 60 + F.coalesce(F.nullif(F.regexp_extract(message, pattern, 2), F.lit("")).cast("double"), F.lit(0.0))
 
 
+def daily_limit(message: Column) -> Column:
+    """Whether a message says that the day's tokens are used up."""
+    return F.lower(message).contains("tokens per day") | F.lower(message).contains("tpd")
+
+
 def buffered_wait(seconds: Column) -> Column:
     return F.when(seconds <= 0, 0.0).otherwise(F.least(seconds * 1.25 + 0.5, F.lit(30.0)))
 

@@ -77,3 +77,14 @@ def tokens_api(text: Column) -> Column:
 
 def cost(text: Column, attributes: Column) -> Column:
     return F.round((F.length(text) / 4 + 40 * attributes) * 6e-7, 6)
+
+
+def usable_keys(keys: Column, depleted: Column) -> Column:
+    """Keys that aren't depleted; all of them when none is left."""
+    left = F.array_except(keys, depleted)
+    return F.when(F.size(left) == 0, keys).otherwise(left)
+
+
+def depleted_keys(failures: DataFrame, now: Column) -> DataFrame:
+    """Keys whose latest expiry lies ahead, from (api_key, expires)."""
+    return failures.groupBy("api_key").agg(F.max("expires").alias("expires")).where(F.col("expires") > now)

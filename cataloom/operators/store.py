@@ -41,6 +41,12 @@ def resumed(rows: DataFrame, checkpoints: DataFrame) -> tuple[DataFrame, DataFra
     return done.join(rows.select("row_id"), "row_id", "left_semi"), rows.join(done.select("row_id"), "row_id", "left_anti")
 
 
+def decoded(checkpoints: DataFrame, schema: str, column: str = "record_json") -> DataFrame:
+    """The records of completed checkpoints; those whose JSON is broken are passed over."""
+    done = checkpoints.where("status = 'COMPLETED'").select("row_id", F.from_json(column, schema + ", _broken string", {"columnNameOfCorruptRecord": "_broken"}).alias("r"))
+    return done.where(F.col("r").isNotNull() & F.col("r._broken").isNull()).select("row_id", "r.*").drop("_broken")
+
+
 class Table:
     """A Parquet table of numbered versions under one folder; a pointer file names the current one, so a reader never sees a half-written state."""
 

@@ -551,3 +551,22 @@ def export_payload(spark: SparkSession, d: str) -> DataFrame:
     body = F.expr("""case when row_id % 4 = 3 then '{"sku_id": "x"}' else concat(' [', array_join(transform(sequence(1, 3), i -> if(i <= row_id % 3, concat('{"sku_id": "', i, '"},'), '')), ''), '{"sku_id": null}]') end""")
     items = catalog(spark, d).select("row_id", F.explode(payload_items(body, "struct<sku_id:string>")).alias("p")).where(F.col("p.sku_id").isNotNull())
     return items.groupBy("row_id").agg(F.count("*").alias("n"))
+
+
+@query("select o_orderkey as row_id, o_orderpriority as sku_id from orders where o_orderstatus = 'F' and o_orderkey % 5 <> 0")
+def checkpoint_scan(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").selectExpr("o_orderkey as row_id", "case when o_orderstatus = 'F' then 'COMPLETED' else 'FAILED' end as status", """case when o_orderkey % 5 = 0 then '{"sku_id": ' else concat('{"sku_id": "', o_orderpriority, '"}') end as record_json""")
+    return S.decoded(rows, "sku_id string")
+
+
+@query("""with x as (select user_id % 7 as api_key, max(event_id) as expires from events where event_type = 'error' group by 1) select cast(api_key as bigint) as api_key, expires from x where expires > (select count(*) from events) * 0.99""")
+def depleted_keys(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "events")
+    limit = x.count() * 0.99
+    return M.depleted_keys(x.where("event_type = 'error'").selectExpr("user_id % 7 as api_key", "event_id as expires"), F.lit(limit))
+
+
+@query()
+def delivery_export(spark: SparkSession, d: str) -> DataFrame:
+    """All 252 delivery columns."""
+    return _delivery(spark, d)

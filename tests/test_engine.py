@@ -130,3 +130,10 @@ def test_failed_batches_answer_nothing(spark):
 
     rows = spark.createDataFrame([(1, "p")], "row_id long, prompt string")
     assert [tuple(r) for r in answered(rows, Broken()).collect()] == [(1, "")]
+
+
+def test_keys_and_daily_limit(spark):
+    keys = F.array(*map(F.lit, "abc"))
+    one = spark.range(1)
+    assert one.select(M.usable_keys(keys, F.array(F.lit("b")))).first()[0] == ["a", "c"] and one.select(M.usable_keys(keys, keys)).first()[0] == ["a", "b", "c"]
+    assert [one.select(T.daily_limit(F.lit(m))).first()[0] for m in ("Limit: tokens per day (TPD)", "rate limit")] == [True, False]
