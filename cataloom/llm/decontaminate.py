@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cataloom.llm.words import rolling, sets_of, slices, word_hashes
+from cataloom.llm.words import rolling, slices, word_hashes
 
 #: The bound of what a pass ships to every task: 8 MB of hashes.
 BLOCK_HASHES = 1_000_000
