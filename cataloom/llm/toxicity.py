@@ -23,6 +23,8 @@ from cataloom.llm.words import U64, mix
 
 GRAM, CONTEXT, WINDOW = 5, 6, 64
 ORDINARY_BYTES = 4096
+#: Windows that the ordinary dictionary is trained on, and passes that bound the memory of counting contexts.
+TRAINING_WINDOWS, CONTEXT_PASSES = 30_000, 8
 #: zstd writes its three start offsets just before a dictionary's content.
 _OFFSETS = b"\x01\x00\x00\x00\x04\x00\x00\x00\x08\x00\x00\x00"
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -62,13 +64,19 @@ def _padded(text: str | None) -> np.ndarray:
 
 def _contexts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
     """5-grams, the number of distinct contexts each occurs in (so copies count once), and that of all contexts."""
-    parts = [_grams(_padded(t))[:2] for t in texts]
-    if not parts:
-        return np.zeros(0, U64), np.zeros(0, np.int64), 0
-    bare, framed = (np.concatenate(x) for x in zip(*parts, strict=True))
-    _, one_each = np.unique(framed, return_index=True)
-    grams, counts = np.unique(bare[one_each], return_counts=True)
-    return grams, counts, len(one_each)
+    found, total = [], 0
+    for share in range(CONTEXT_PASSES):  # by hash, so that a pass holds a part of all contexts
+        parts = []
+        for text in texts:
+            bare, framed, _ = _grams(_padded(text))
+            mine = framed % U64(CONTEXT_PASSES) == U64(share)
+            parts.append((bare[mine], framed[mine]))
+        bare, framed = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, U64),) * 2
+        _, one_each = np.unique(framed, return_index=True)
+        found.append(np.unique(bare[one_each], return_counts=True))
+        total += len(one_each)
+    grams, place = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
+    return grams, np.bincount(place, np.concatenate([n for _, n in found]), len(grams)).astype(np.int64), total
 
 
 def _stretches(toxic: list[str], ordinary: list[str], lift: float, support: float) -> list[bytes]:
@@ -138,6 +146,19 @@ def _windows(data: np.ndarray) -> np.ndarray:
     return np.stack((starts, np.diff(np.append(starts, len(data)))), 1).astype(np.uint64)
 
 
+def _drawn_windows(texts: list[str]) -> list[bytes]:
+    """TRAINING_WINDOWS windows of the texts, drawn evenly; all of them if there are fewer."""
+    draw = np.random.default_rng(7)
+    total = sum(len(_windows(_normal(t))) for t in texts if t)
+    out = []
+    for text in texts:
+        data = _normal(text)
+        if len(data):
+            for a, n in _windows(data)[draw.random(len(_windows(data))) < TRAINING_WINDOWS / max(total, 1)]:
+                out.append(data[int(a) : int(a + n)].tobytes())
+    return out
+
+
 @dataclass
 class ToxicityModel:
     """Both dictionaries and the calibration of the bytes saved."""
@@ -204,9 +225,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_ordinary:
     base = np.mean([r.toxic == 1 for r in held]) if held else 0.0
     toxic = [r.text for r in held if not r.calibrates and r.toxic == 1]
     ordinary = [r.text for r in held if not r.calibrates and r.toxic != 1]
-    windows = [data[int(a) : int(a + n)].tobytes() for t in ordinary for data in [_normal(t)] if len(data) for a, n in _windows(data)]
-    picked = np.random.default_rng(7).permutation(len(windows))[:30_000]
-    model = ToxicityModel(_trained([windows[i] for i in picked], ORDINARY_BYTES), _toxic_dictionary(_stretches(toxic, ordinary, lift, support)), np.zeros(6))
+    windows = _drawn_windows(ordinary)
+    model = ToxicityModel(_trained(windows, ORDINARY_BYTES), _toxic_dictionary(_stretches(toxic, ordinary, lift, support)), np.zeros(6))
     tried = [r for r in held if r.calibrates] or held
     y = np.array([r.toxic == 1 for r in tried], float)
     if model.toxic and 0 < y.sum() < len(y):
