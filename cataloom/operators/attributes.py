@@ -77,10 +77,12 @@ def lineage(records: DataFrame, attributes: DataFrame, fields: list[str]) -> Dat
 def delivery(records: DataFrame) -> DataFrame:
     """The 252 delivery columns in order.  ``records``: manufacturer, mfg_part_number, category, sku_id and attrs, an array of
     (field_name, value, unit, source_url) in order."""
+    # Labels once per attribute: fifty columns and a text refer to them.
+    records = records.withColumn("labels", F.transform("attrs", lambda a: label(a["field_name"])))
     attrs, none = F.col("attrs"), F.lit("")
     maker, part, category = F.col("manufacturer"), F.col("mfg_part_number"), F.col("category")
     urls = F.slice(F.array_distinct(F.filter(F.transform(attrs, lambda a: a["source_url"]), lambda u: u.rlike("^https?://"))), 1, 5)
-    shown = F.transform(attrs, lambda a: F.rtrim(F.concat(label(a["field_name"]), F.lit(": "), a["value"], F.lit(" "), F.coalesce(a["unit"], none))))
+    shown = F.zip_with(attrs, "labels", lambda a, name: F.rtrim(F.concat(name, F.lit(": "), a["value"], F.lit(" "), F.coalesce(a["unit"], none))))
     columns = {
         "SKU - MY_PART_NUMBER": F.col("sku_id"), "MANUFACTURER_NAME": maker, "MANUFACTURER_PART_NUMBER": part, "Mfg_Part_Num": part, "PART_NUMBER": part,
         "Product Name": F.concat_ws(" ", maker, part), "Classpath": F.concat(F.lit("Industrial & Commercial > "), category), "BRAND": maker, "CATEGORY": category, "STATUS": F.lit("Active"),
@@ -98,7 +100,7 @@ def delivery(records: DataFrame) -> DataFrame:
             columns[unit_name] = F.when(filled.isNotNull(), F.coalesce(F.nullif(filled["unit"], none), F.lit(default)))
     for n in range(K.TRIPLETS):
         one = F.get(attrs, n)
-        columns |= {f"ATTRIBUTE_LABEL {n + 1}": label(one["field_name"]), f"ATTRIBUTE_VALUE {n + 1}": one["value"], f"ATTRIBUTE_UOM {n + 1}": one["unit"]}
+        columns |= {f"ATTRIBUTE_LABEL {n + 1}": F.get("labels", n), f"ATTRIBUTE_VALUE {n + 1}": one["value"], f"ATTRIBUTE_UOM {n + 1}": one["unit"]}
     order = [*K.CORE_COLUMNS, *[f"ATTRIBUTE_{x} {n + 1}" for n in range(K.TRIPLETS) for x in ("LABEL", "VALUE", "UOM")]]
     return records.select("row_id", *[F.coalesce(columns.get(c, none), none).alias(c) for c in order])
 
