@@ -25,8 +25,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier line makes redundant go; n_chars follows the text.  Every document stays."""
-    out = deduplicated(docs)
+    """Lines that an earlier line makes redundant go, of every length but empty ones; n_chars follows the text.  Every document stays."""
+    out = deduplicated(docs, min_chars=1)
     shorter = F.when(F.size("dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", shorter).select(docs.columns)
 

@@ -136,6 +136,23 @@ def test_line_dedup_equals_brute_force(spark):
         assert got[i].text == "\n".join(x for n, x in enumerate(text.split("\n")) if n not in want[i])
 
 
+def test_line_dedup_of_short_lines_equals_brute_force(spark):
+    draw, docs = random.Random(9), []
+    pool = ["".join(draw.choices("abé", k=n)) for n in (1, 1, 1, 2, 2, 3, 4, 5, 6, 8) for _ in range(2)] + [prose(i, 6)[:n] for i in range(4) for n in (30, 31, 32, 33)]
+    for i in range(60):
+        docs.append((i, "\n".join(draw.choice([*pool, "", prose(1000 + i, 3)]) for _ in range(draw.randint(1, 5))), "s"))
+    seen, want = [], {}
+    for i, text, _ in docs:
+        want[i] = []
+        for n, line in enumerate(text.split("\n")):
+            if line:
+                if any(line == o or one_edit(line, o) for o in seen):
+                    want[i].append(n)
+                seen.append(line)
+    got = {r.doc_id: r.dropped for r in deduplicated(table(spark, docs), min_chars=1).collect()}
+    assert got == want and sum(map(len, want.values())) > 30
+
+
 def test_line_dedup_odd_rows(spark):
     got = deduplicated(table(spark, [*ODD, (8, prose(5) + "\n", "s")])).collect()
     assert len(got) == len(ODD) + 1

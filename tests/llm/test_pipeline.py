@@ -60,6 +60,15 @@ def test_stages(spark, folder):
     assert {r.doc_id for r in pipeline.run(spark, folder).collect()} == kept["mix"]
 
 
+def test_line_dedup_takes_short_lines(spark):
+    """Exact repeats under 32 characters, and a pair of 31 and 32 characters, go as well; empty lines stay."""
+    line = prose(3, 12)[:32]
+    texts = ["Share this page\n\n" + line, "Share this page\n" + line[:31], "other text here\n\nShare this page"]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in pipeline.line_dedup(spark, docs, "").collect()}
+    assert [got[i].text for i in range(3)] == [texts[0], "", "other text here\n"] and got[1].n_chars == 0 and got[2].n_chars == 16
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
