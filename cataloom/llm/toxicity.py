@@ -25,6 +25,8 @@ GRAM, CONTEXT, WINDOW = 5, 6, 64
 ORDINARY_BYTES = 4096
 #: Windows that the ordinary dictionary is trained on, and passes that bound the memory of counting contexts.
 TRAINING_WINDOWS, CONTEXT_PASSES = 30_000, 8
+#: 5-grams that may pass the test by chance alone in one fit.
+FALSE_GRAMS = 10.0
 #: zstd writes its three start offsets just before a dictionary's content.
 _OFFSETS = b"\x01\x00\x00\x00\x04\x00\x00\x00\x08\x00\x00\x00"
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -79,20 +81,39 @@ def _contexts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
     return grams, np.bincount(place, np.concatenate([n for _, n in found]), len(grams)).astype(np.int64), total
 
 
-def _stretches(toxic: list[str], ordinary: list[str], lift: float, support: float) -> list[bytes]:
-    """The shortest distinct stretches of words that are typical of toxic texts."""
-    grams, counts, total = _contexts(toxic)
-    other, other_counts, other_total = _contexts(ordinary)
-    known = np.zeros(len(grams), np.int64)
-    if len(other):
-        place = np.minimum(np.searchsorted(other, grams), len(other) - 1)
-        known = np.where(other[place] == grams, other_counts[place], 0)
-    ratio = counts / max(total, 1) / ((known + 1) / max(other_total, 1))
-    typical = np.sort(grams[(counts >= max(5, support * len(toxic))) & (ratio >= lift)])
+def _excess(toxic: dict[str, list[str]], ordinary: dict[str, list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """5-grams of toxic texts, the number of distinct contexts each has there, and the number that ordinary texts of
+    the same languages would give it.  Each language counts against its own ordinary texts, so that the words of
+    a language with many toxic texts are no sign; one without ordinary texts counts against those of all languages.
+    The last value is what a single ordinary context counts for."""
+    every = [t for texts in ordinary.values() for t in texts]
+    parts, size, other_size = [], 0, 0
+    for group, texts in toxic.items():
+        grams, counts, total = _contexts(texts)
+        other, other_counts, other_total = _contexts(ordinary.get(group) or every)
+        known = np.zeros(len(grams), np.int64)
+        if len(other):
+            place = np.minimum(np.searchsorted(other, grams), len(other) - 1)
+            known = np.where(other[place] == grams, other_counts[place], 0)
+        parts.append((grams, counts, known * (total / max(other_total, 1))))
+        size, other_size = size + total, other_size + other_total
+    if not parts:
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0), 1.0
+    grams, place = np.unique(np.concatenate([g for g, _, _ in parts]), return_inverse=True)
+    counts, expected = (np.bincount(place, np.concatenate([x[k] for x in parts]), len(grams)) for k in (1, 2))
+    return grams, counts, expected, size / max(other_size, 1)
+
+
+def _stretches(toxic: dict[str, list[str]], ordinary: dict[str, list[str]], lift: float, least: int) -> list[bytes]:
+    """The shortest distinct stretches of words that are typical of toxic texts, given by language."""
+    grams, counts, expected, one = _excess(toxic, ordinary)
+    mean = expected + one  # one context more than seen
+    surprise = np.where(counts > mean, counts * np.log(np.maximum(counts, 1) / mean) - counts + mean, 0)  # bounds -log of the Poisson tail
+    typical = np.sort(grams[(counts >= least) & (counts >= lift * expected) & (surprise >= np.log(max(len(grams), 1) / FALSE_GRAMS))])
     if not len(typical):
         return []
     found: Counter[bytes] = Counter()
-    for text in toxic:
+    for text in (t for texts in toxic.values() for t in texts):
         padded = _padded(text)
         bare, _, places = _grams(padded)
         hits = places[typical[np.minimum(np.searchsorted(typical, bare), len(typical) - 1)] == bare]
@@ -107,7 +128,7 @@ def _stretches(toxic: list[str], ordinary: list[str], lift: float, support: floa
             if b - a >= GRAM:
                 found[padded[a:b].tobytes()] += 1
     out: list[bytes] = []
-    for stretch in sorted((s for s, n in found.items() if n >= max(4, 0.01 * len(toxic))), key=lambda s: (len(s), s)):
+    for stretch in sorted((s for s, n in found.items() if n >= least - 1), key=lambda s: (len(s), s)):
         if not any(shorter in stretch for shorter in out):
             out.append(stretch)
     return out
@@ -207,26 +228,41 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_ordinary: int = 2500, max_calibration: int = 2500, lift: float = 10.0, support: float = 0.02) -> ToxicityModel:
+def _even(rows: DataFrame, n: int) -> DataFrame:
+    """``n`` rows, drawn by a hash of doc_id so that every stratum gives as many, or all it has."""
+    sizes = rows.groupBy(F.col("stratum").alias("_cell")).agg(F.count("*").alias("_size"))
+    turn = F.shiftrightunsigned("turn", 1).cast("double") * F.col("_size")
+    sized = rows.join(sizes, F.col("stratum").eqNullSafe(F.col("_cell")))
+    return sized.select(*rows.columns, turn.alias("_turn")).orderBy("_turn", "doc_id").limit(n).drop("_turn")
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_ordinary: int = 2500, max_calibration: int = 2500, lift: float = 10.0, least: int = 5) -> ToxicityModel:
     """Fits on a bounded sample of labelled rows: at most ``max_toxic`` toxic and ``max_ordinary`` other texts for the
-    dictionaries and ``max_calibration`` further ones, of either label in their natural shares, for the calibration,
-    all drawn by a hash of doc_id.
+    dictionaries, drawn evenly over the languages and sources that docs has columns for, and ``max_calibration`` further
+    ones, of either label in their natural shares, for the calibration, all drawn by a hash of doc_id.  A 5-gram is
+    learned from ``least`` contexts on, however large the sample, if chance does not explain them.
 
     ``labels`` needs doc_id and toxic; rows that lack either, and labels without a document, are passed over.  Without
     toxic or ordinary samples every text scores the share of toxic labels (0 if there are none).
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.withColumn("turn", F.xxhash64("doc_id")).withColumn("calibrates", F.pmod("turn", F.lit(5)) < 2)
+    lang, source = (F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string") for c in ("lang", "source"))
+    strata = docs.where("doc_id is not null").select("doc_id", F.struct(lang.alias("lang"), source.alias("source")).alias("stratum")).groupBy("doc_id").agg(F.min("stratum").alias("stratum"))
+    known = known.join(strata, "doc_id")
     chosen = known.where("calibrates").orderBy("turn", "doc_id").limit(max_calibration)
-    chosen = chosen.unionByName(known.where("not calibrates and toxic = 1").orderBy("turn", "doc_id").limit(max_toxic))
-    chosen = chosen.unionByName(known.where("not calibrates and toxic <> 1").orderBy("turn", "doc_id").limit(max_ordinary))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic", "calibrates")  # its size is bounded by the three limits
+    chosen = chosen.unionByName(_even(known.where("not calibrates and toxic = 1"), max_toxic))
+    chosen = chosen.unionByName(_even(known.where("not calibrates and toxic <> 1"), max_ordinary))
+    chosen = chosen.select("doc_id", "toxic", "calibrates", F.col("stratum.lang").alias("language"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic", "calibrates", "language")  # its size is bounded by the three limits
     held = sorted(rows.toLocalIterator(), key=lambda r: r.doc_id)
     base = np.mean([r.toxic == 1 for r in held]) if held else 0.0
-    toxic = [r.text for r in held if not r.calibrates and r.toxic == 1]
-    ordinary = [r.text for r in held if not r.calibrates and r.toxic != 1]
-    windows = _drawn_windows(ordinary)
-    model = ToxicityModel(_trained(windows, ORDINARY_BYTES), _toxic_dictionary(_stretches(toxic, ordinary, lift, support)), np.zeros(6))
+    toxic, ordinary = {}, {}
+    for r in held:
+        if not r.calibrates:
+            (toxic if r.toxic == 1 else ordinary).setdefault(r.language, []).append(r.text)
+    windows = _drawn_windows([r.text for r in held if not r.calibrates and r.toxic != 1])
+    model = ToxicityModel(_trained(windows, ORDINARY_BYTES), _toxic_dictionary(_stretches(toxic, ordinary, lift, least)), np.zeros(6))
     tried = [r for r in held if r.calibrates] or held
     y = np.array([r.toxic == 1 for r in tried], float)
     if model.toxic and 0 < y.sum() < len(y):

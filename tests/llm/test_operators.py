@@ -177,6 +177,26 @@ def test_classifiers(spark, module, label):
     assert module.scored(table(spark, ODD), flat).count() == len(ODD)
 
 
+def test_a_rare_languages_toxic_words_are_learned(spark):
+    """Some ten toxic training texts of a small language among 700 hold a word that only they have."""
+    def bad(i, word):
+        return f"{prose(i, 30)} {word} {prose(i + 1, 20)}"
+
+    docs = [(i, bad(i, "grumblefoo") if i % 2 else prose(i, 50), "s", "en") for i in range(2400)]
+    docs += [(3000 + i, bad(3000 + i, "zwietrachtig") if i % 2 else prose(3000 + i, 50), "s", "xx") for i in range(36)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string")
+    model = toxicity.fit(rows, spark.createDataFrame([(r[0], r[0] % 2) for r in docs], "doc_id long, toxic int"))
+    assert b" zwiet" in model.toxic and b" grumb" in model.toxic
+    fresh = spark.createDataFrame([(i, bad(9000 + i, "zwietrachtig") if i % 2 else prose(9000 + i, 50)) for i in range(40)], "doc_id long, text string")
+    assert sum(r.predicted == r.doc_id % 2 for r in toxicity.scored(fresh, model).collect()) >= 36
+
+
+def test_samples_are_even_over_strata(spark):
+    rows = spark.range(2000).selectExpr("id as doc_id", "if(id < 20, null, struct('en' as lang)) as stratum").withColumn("turn", F.xxhash64("doc_id"))
+    drawn = [r.doc_id for r in toxicity._even(rows, 200).collect()]
+    assert len(drawn) == len(set(drawn)) == 200 and set(range(20)) <= set(drawn)
+
+
 def test_toxic_rows_go(spark):
     model = toxicity.ToxicityModel(b"", b"", np.array([5.0, 0, 0, 0, 0, 0]))
     assert toxicity.civil(table(spark, ODD), model).count() == 0
