@@ -42,16 +42,17 @@ def apportioned(cells: DataFrame, within: Sequence[str], order: str, weight: Col
     return out.select(*cells.columns, (F.col("_base") + F.coalesce("_won", F.lit(0))).alias("quota"))
 
 
-def mixed(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block_words: int = 16, shard_words: int = 250_000, seed: int = 20240607) -> DataFrame:
-    """How many words of each document a mix of ``share`` times all words takes.
+def _laid(docs: DataFrame, weights: Sequence[float], share: float, cap: float, block_words: int, shard_words: int, seed: int, with_text: bool) -> DataFrame:
+    """One row per input row: doc_id, source, size, source_size, target, key, shard, and ``pieces``, the parts of blocks
+    that the mix takes of it; with its text if ``with_text``.
 
-    ``docs`` needs doc_id, source and text; other columns are left out.  Sources in code point order, null
-    last, weigh ``weights`` in turn.  Returns doc_id, source, size (words), source_size, target (the source's, in words) and
-    taken (repeats counted, at most ``cap`` times size), one row per input row.  Null and empty texts have
-    size 0 and nothing is taken; a source without words has target 0.  Repeated rows count each for itself.
+    A shard's documents in their order, repeated, are one stream of words.  Block b is the words from b * ``block_words`` on;
+    a piece is what a document gives to a block: block, place (its first word's in the block), first_word (its first
+    word's number in the document, from 0), words.
     """
     text, key = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("~"))
-    sized = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), key.alias("key")), "sizes")
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), key.alias("key"), *([text.alias("text")] if with_text else []))
+    sized = sized if with_text else stored(sized, "sizes")
 
     # One row per source from here: '~' sorts after every 's...', so null is last.
     sources = sized.groupBy("key").agg(F.sum("size").alias("source_size"))
@@ -75,7 +76,50 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float =
     shards = shards.select("key", "shard", "shard_size", words.alias("words"))
     laid = W.partitionBy("key", "shard").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     out = placed.withColumn("start", F.sum("size").over(laid) - F.col("size")).join(shards, ["key", "shard"])
-    rounds = F.coalesce(F.floor(F.try_divide(F.col("words"), F.col("shard_size"))), F.lit(0))
-    out = out.withColumn("rounds", rounds).withColumn("over", F.col("words") - F.col("rounds") * F.col("shard_size") - F.col("start"))
-    taken = F.col("rounds") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("over")))
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    # What of each round of the stream falls on the document, as [low, high), then cut at the blocks' ends.
+    n, begin = F.col("shard_size"), F.col("start")
+    last = F.when((F.col("size") > 0) & (F.col("words") > begin), F.floor((F.col("words") - begin - 1) / n).cast("int"))
+    rounds = F.coalesce(F.sequence(F.lit(0), last), F.array().cast("array<int>"))
+    runs = F.transform(rounds, lambda r: F.struct((r * n + begin).alias("low"), F.least(r * n + begin + F.col("size"), F.col("words")).alias("high")))
+
+    def cut(run: Column) -> Column:
+        def piece(block: Column) -> Column:
+            low = F.greatest(run["low"], block * block_words)
+            words = F.least(run["high"], (block + 1) * block_words) - low
+            return F.struct(block.alias("block"), (low - block * block_words).alias("place"), (low - run["low"]).alias("first_word"), words.alias("words"))
+
+        return F.transform(F.sequence(F.floor(run["low"] / block_words), F.floor((run["high"] - 1) / block_words)), piece)
+
+    out = out.withColumn("pieces", F.flatten(F.transform(runs, cut)))
+    return out.select("doc_id", "source", "size", "source_size", "target", "key", "shard", "pieces", *(["text"] if with_text else []))
+
+
+def mixed(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block_words: int = 16, shard_words: int = 250_000, seed: int = 20240607) -> DataFrame:
+    """The blocks that a mix of ``share`` times all words takes of each document.
+
+    ``docs`` needs doc_id, source and text; other columns are left out.  Sources in code point order, null
+    last, weigh ``weights`` in turn.  Returns doc_id, source, size (words), source_size, target (the source's, in words),
+    taken (words, repeats counted, at most ``cap`` times size), shard and pieces (block, place, first_word, words: see _laid),
+    one row per input row.  Null and empty texts have size 0 and nothing is taken; a source without words has
+    target 0.  Repeated rows count each for itself.  :func:`mixed_texts` has the words themselves.
+    """
+    out = _laid(docs, weights, share, cap, block_words, shard_words, seed, False)
+    taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda s, p: s + p["words"])
+    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "shard", "pieces")
+
+
+def mixed_texts(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block_words: int = 16, shard_words: int = 250_000, seed: int = 20240607) -> DataFrame:
+    """The mix itself: source, shard, block, words and text, one row per selected block; repeats are blocks of their own.
+
+    Takes what :func:`mixed` takes.  White space within a document stays as it was; documents in one block are parted
+    by a newline.  Texts are shuffled once, to their shards.
+    """
+    out = _laid(docs, weights, share, cap, block_words, shard_words, seed, True)
+    gap = r"\x20\x09-\x0D"
+    words = F.regexp_extract_all("text", F.lit(f"(?:^[{gap}]+)?[^{gap}]+[{gap}]*"), F.lit(0))
+    out = out.select("source", "key", "shard", F.when(F.size("pieces") > 0, words).alias("tokens"), "pieces").where("size(pieces) > 0")
+    cut = F.transform("pieces", lambda p: F.struct(p["block"].alias("block"), p["place"].alias("place"), p["words"].alias("words"), F.array_join(F.slice(F.col("tokens"), (p["first_word"] + 1).cast("int"), p["words"].cast("int")), "").alias("text")))
+    rows = out.select("source", "key", "shard", F.explode(cut).alias("p")).select("source", "key", "shard", "p.*")
+    parts = F.sort_array(F.collect_list(F.struct("place", "text")))  # a block has at most block_words parts
+    whole = rows.groupBy("key", "shard", "block").agg(F.any_value("source").alias("source"), F.sum("words").alias("words"), parts.alias("parts"))
+    return whole.select("source", "shard", "block", "words", F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("text"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cataloom.llm.decontaminate import decontaminated
 from cataloom.llm.line_dedup import deduplicated
-from cataloom.llm.mixing import mixed
+from cataloom.llm.mixing import mixed, mixed_texts
 from cataloom.llm.near_dedup import near_duplicates
 from cataloom.llm.storage import stored
 from cataloom.llm.toxicity import civil, fit
@@ -43,8 +43,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
-    return mixed(docs)
+    """Writes the mix, block by block, as table pipeline-mix; returns how many words of each document it takes."""
+    stored(mixed_texts(docs), "pipeline-mix")
+    return mixed(docs).drop("shard", "pieces")
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix)]

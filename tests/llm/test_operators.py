@@ -16,7 +16,7 @@ from cataloom.llm.embedding_dedup import near_vectors
 from cataloom.llm.html_text import extracted, main_text
 from cataloom.llm.licenses import licenses
 from cataloom.llm.line_dedup import deduplicated
-from cataloom.llm.mixing import apportioned, mixed
+from cataloom.llm.mixing import apportioned, mixed, mixed_texts
 from cataloom.llm.near_dedup import near_duplicates
 from cataloom.llm.secrets import labelled_samples, secrets, train
 from cataloom.llm.words import sets_of, slices, word_hashes
@@ -303,6 +303,27 @@ def test_mixing(spark):
     assert len(odd) == len(ODD) and mixed(table(spark, [])).count() == 0 and mixed(table(spark, [(1, None, None)])).first().taken == 0
 
 
+def test_mixed_texts_are_the_selected_blocks(spark):
+    draw = random.Random(7)
+    rows = [(i, " " * (i % 3) + prose(i, draw.randint(0, 60)).replace(" ", "\n", 3), draw.choice(["a", "b", "b", None])) for i in range(150)] + [(900, None, "a"), (901, " \t", "b")]
+    words, want, taken = {i: (t or "").split() for i, t, _ in rows}, {}, 0
+    for r in mixed(table(spark, rows), shard_words=900).collect():
+        assert r.taken == sum(p.words for p in r.pieces) <= 2 * r.size
+        taken += r.taken
+        for p in r.pieces:
+            assert 0 < p.words <= 16 - p.place and p.first_word + p.words <= r.size
+            want.setdefault((r.source, r.shard, p.block), []).append((p.place, words[r.doc_id][p.first_word : p.first_word + p.words]))
+    got = {(r.source, r.shard, r.block): r for r in mixed_texts(table(spark, rows), shard_words=900).collect()}
+    assert set(got) == set(want) and sum(r.words for r in got.values()) == taken > 0
+    for k, parts in want.items():
+        assert got[k].text.split() == [w for _, part in sorted(parts) for w in part] and len(got[k].text.split()) == got[k].words
+    by_shard = {}
+    for source, shard, block in got:
+        by_shard.setdefault((source, shard), []).append(block)
+    assert len(by_shard) > 3 and all(sorted(b) == list(range(len(b))) for b in by_shard.values())
+    assert all(r.words == 16 or r.block == len(by_shard[k[:2]]) - 1 for k, r in got.items())
+
+
 def test_contamination(spark):
     item = prose(77, 30)
     part = " ".join(item.split()[:27])
