@@ -23,9 +23,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cataloom.llm.storage import stored
 
-#: Lines of fewer characters are left alone by default, as in the SQL of the query.  With 1 every line but the empty
-#: ones takes part, in exact and near matches alike; the pipeline asks for that.
-MIN_CHARS = 32
+#: Lines of fewer characters are left alone: by default only the empty ones, which are layout.
+MIN_CHARS = 1
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:

@@ -22,7 +22,7 @@ select doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, component_id, doc_i
 _HALF = "substr(line, 1, m // 2)", "right(line, m // 2)"
 OP2 = f"""
 with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as no from documents where text is not null),
-d as (select line, min((doc_id, no)) as first, length(line) as n from l where length(line) >= 32 group by line),
+d as (select line, min((doc_id, no)) as first, length(line) as n from l where line <> '' group by line),
 h as (select line, first, n, m, side, case side when 0 then {_HALF[0]} else {_HALF[1]} end as half from (select *, unnest([n, n - 1]) as m from d) cross join (values (0), (1)) s(side)),
 cand as (select distinct a.line as x, a.n as nx, b.line as y, b.n as ny from h a join h b on a.m = b.m and a.side = b.side and a.half = b.half and a.first < b.first where abs(a.n - b.n) <= 1),
 near as (select distinct y as line from cand where case when nx = ny then len(list_filter(range(1, nx + 1), lambda i: substr(x, 1, i - 1) = substr(y, 1, i - 1) and substr(x, i + 1) = substr(y, i + 1))) > 0

@@ -125,7 +125,7 @@ def test_line_dedup_equals_brute_force(spark):
     for i, text, _ in docs:
         gone = []
         for n, line in enumerate(text.split("\n")):
-            if len(line) >= 32:
+            if line:
                 if any(line == o or one_edit(line, o) for o in seen):
                     gone.append(n)
                 seen.append(line)
@@ -149,7 +149,7 @@ def test_line_dedup_of_short_lines_equals_brute_force(spark):
                 if any(line == o or one_edit(line, o) for o in seen):
                     want[i].append(n)
                 seen.append(line)
-    got = {r.doc_id: r.dropped for r in deduplicated(table(spark, docs), min_chars=1).collect()}
+    got = {r.doc_id: r.dropped for r in deduplicated(table(spark, docs)).collect()}
     assert got == want and sum(map(len, want.values())) > 30
 
 
@@ -162,6 +162,14 @@ def test_line_dedup_odd_rows(spark):
     assert deduplicated(table(spark, [])).count() == 0
 
 
+def test_line_dedup_of_a_text_of_many_lines(spark):
+    lines = [f"line {i // 2} {prose(i // 2, 3)} of a long text" for i in range(60_000)]
+    got = {r.doc_id: r for r in deduplicated(table(spark, [(1, "\n".join(lines), "s"), (2, lines[7], "s")])).collect()}
+    gone = set(got[1].dropped)
+    assert got[1].n_lines == 60_000 and set(range(1, 60_000, 2)) <= set(got[1].dropped) and got[2].dropped == [0] and got[2].text == ""
+    assert got[1].text == "\n".join(x for i, x in enumerate(lines) if i not in gone)
+
+
 @pytest.mark.parametrize("module,label", [(quality, "quality"), (toxicity, "toxic")])
 def test_classifiers(spark, module, label):
     bad = {"quality": lambda i: "!! ".join(prose(i).upper().split()), "toxic": lambda i: prose(i, 60) + " grumblefoo " + prose(i + 1, 20) + " snarkbarr grumblefoo " + prose(i + 2, 20)}[label]
