@@ -14,14 +14,17 @@ the hashes of adjacent pairs) are summed once per line, and a variant's sum foll
 one edge per line to its earliest line, and edges are verified by edit distance on the texts.
 
 Lines within one edit agree on their first or last half, so only lines that share a half with another line of
-about their length emit variants; this leaves out no pair.
+about their length emit variants; this leaves out no pair.  Few lines do: their texts are read again
+at their first occurrence, and key filters keep all other lines and keys out of the shuffles.  Whole texts are
+shuffled once, to meet the numbers of the lines that they lose.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cataloom.llm.storage import stored
+from cataloom.llm.filters import KeyFilter
+from cataloom.llm.storage import discard, stored
 
 #: Lines of fewer characters are left alone: by default only the empty ones, which are layout.
 MIN_CHARS = 1
@@ -37,14 +40,18 @@ def _hashes() -> list[Column]:
 
 
 def _half_keys(line: Column) -> Column:
-    """Keys of the first and last half of a line, for a partner of equal length, one shorter or one longer."""
-    n = F.length(line)
+    """Keys of the first and last half of a line.
 
-    def pair(shorter: Column) -> list[Column]:
-        half = F.floor(shorter / 2).cast("int")
-        return [F.xxhash64(shorter, F.lit("first"), F.substring(line, F.lit(1), half)), F.xxhash64(shorter, F.lit("last"), F.substring(line, n - half + 1, half))]
+    Lines of 2k and 2k + 1 characters have keys for halves of k, and one of 2k also for halves of k - 1, to meet
+    those of 2k - 1.  So any two lines whose lengths differ by one or not at all have keys for the same length of half,
+    which is half the shorter one's.
+    """
+    n, k = F.length(line), F.floor(F.length(line) / 2).cast("int")
+
+    def pair(half: Column) -> list[Column]:
+        return [F.xxhash64(half, F.lit("first"), F.substring(line, F.lit(1), half)), F.xxhash64(half, F.lit("last"), F.substring(line, n - half + 1, half))]
 
-    return F.array(*pair(n), *pair(n - 1))
+    return F.when(n % 2 == 0, F.array(*pair(k), *pair(k - 1))).otherwise(F.array(*pair(k)))
 
 
 def _small(hashed: Column) -> Column:
@@ -84,17 +91,19 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     distinct = stored(distinct.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.any_value("halves").alias("halves")), "lines")
 
     halves = distinct.select("h1", F.explode("halves").alias("key"))
-    shared = halves.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("key")
-    sharing = halves.join(shared, "key").select("h1").distinct()
+    # A line has a key once, so a key that counts twice has two lines (or two of equal h1).
+    shared = stored(halves.groupBy("key").agg(F.count("*").alias("lines")).where("lines > 1").select("key"), "shared")
+    sharing = KeyFilter(shared).may_hold(halves, F.col("key")).join(shared, "key").select("h1").distinct()
     likely = stored(distinct.select("h1", "h2", "first").join(sharing, "h1", "left_semi"), "likely")
 
     # The texts of these lines, read again at their first occurrence.
+    spot = F.xxhash64("doc_id", "line_no")
     wanted = likely.select(F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "h1", "h2", "first")
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_set("line_no").alias("numbers"))  # at most a document's own lines
-    texts = docs.join(by_doc, "doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"), "numbers").where(F.array_contains("numbers", F.col("line_no")))
-    known = stored(texts.join(wanted, ["doc_id", "line_no"]).where((F.xxhash64("line") == F.col("h1")) & (F.xxhash64(F.lit(1), "line") == F.col("h2"))).select("h1", "h2", "first", "line").distinct(), "texts")
+    texts = KeyFilter(wanted.select(spot.alias("spot"))).may_hold(_lines(docs, min_chars), spot).select("doc_id", "line_no", "line", *_hashes())
+    known = stored(texts.join(wanted, ["doc_id", "line_no", "h1", "h2"]).select("h1", "h2", "first", "line").distinct(), "texts")
 
-    places, variants, entire = _variant_keys(_summed(known))
+    sums = _summed(known)
+    places, variants, entire = _variant_keys(sums)
     # Few variants are shared: they are found by narrow rows first, and only they meet their lines' places.
     met_places = stored(places.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("key"), "places")
     firsts = known.select("h1", "first")
@@ -102,15 +111,15 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     earliest = swapped.groupBy("key").agg(F.min("first").alias("low"))
     swaps = swapped.join(earliest, "key").where("first <> low").select(F.col("low").alias("a"), F.col("first").alias("b"))
     gaps = stored(variants.join(entire, "key").where("h1 <> other").select("h1", "other").distinct(), "gaps")
-    gaps = gaps.join(firsts, "h1").join(firsts.withColumnsRenamed({"h1": "other", "first": "second"}), "other")
-    gaps = gaps.select(F.least("first", "second").alias("a"), F.greatest("first", "second").alias("b"))
-    edges = stored(swaps.union(gaps).distinct(), "edges")
+    met_gaps = gaps.join(firsts, "h1").join(firsts.withColumnsRenamed({"h1": "other", "first": "second"}), "other")
+    edges = stored(swaps.union(met_gaps.select(F.least("first", "second").alias("a"), F.greatest("first", "second").alias("b"))).distinct(), "edges")
     left, right = known.select(F.col("first").alias("a"), F.col("line").alias("line_a")), known.select(F.col("first").alias("b"), F.col("line").alias("line_b"), "h1", "h2")
-    near = edges.join(left, "a").join(right, "b").where(F.levenshtein("line_a", "line_b", 1) == 1).select("h1", "h2").distinct()
+    near = edges.join(left, "a").join(right, "b").where(F.levenshtein("line_a", "line_b", 1) == 1).select("h1", "h2", F.col("b").alias("first"), F.lit(True).alias("near"))
 
     repeated = distinct.where("first <> last").select("h1", "h2", "first", F.lit(False).alias("near"))
-    gone = near.join(distinct, ["h1", "h2"]).select("h1", "h2", "first", F.lit(True).alias("near"))
-    judged = stored(repeated.unionByName(gone).groupBy("h1", "h2").agg(F.min("first").alias("first"), F.max("near").alias("near")), "judged")
+    judged = stored(repeated.unionByName(near).groupBy("h1", "h2").agg(F.min("first").alias("first"), F.max("near").alias("near")), "judged")
+    for done in (distinct, shared, likely, known, sums, met_places, gaps, edges):
+        discard(done)
     met = lines.select("doc_id", "line_no", *_hashes()).join(judged, ["h1", "h2"])
     return met.where(F.col("near") | (F.struct("doc_id", "line_no") != F.col("first"))).select("doc_id", "line_no", "near")
 
@@ -124,11 +133,13 @@ def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     loses every line has an empty text.
     """
     own = "_" * (1 + max((len(c) for c in docs.columns), default=0))  # longer than any name of docs
-    gone = dropped_lines(docs, min_chars).distinct().groupBy(F.col("doc_id").alias(f"{own}id")).agg(F.sort_array(F.collect_list("line_no")).alias(f"{own}gone"), F.sum(F.col("near").cast("long")).alias(f"{own}near"))
-    joined = docs.join(gone, docs["doc_id"].cast("long") == F.col(f"{own}id"), "left")
-    gone_list = F.coalesce(f"{own}gone", F.array().cast("array<int>"))
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(gone_list, i)), "\n")
-    text = F.when(F.col(f"{own}gone").isNull(), F.col("text")).otherwise(kept)
-    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    gone = dropped_lines(docs, min_chars).groupBy(F.col("doc_id").alias(f"{own}id"))
+    gone = gone.agg(F.sort_array(F.collect_set("line_no")).alias(f"{own}gone"), F.size(F.collect_set(F.when(F.col("near"), F.col("line_no")))).alias(f"{own}near"))
+    joined = docs.join(gone, docs["doc_id"].cast("long") == F.col(f"{own}id"), "left").withColumn(f"{own}lines", F.split("text", "\n"))
+    lines, gone_list = F.col(f"{own}lines"), F.coalesce(f"{own}gone", F.array().cast("array<int>"))
+    # What stays are the runs between the lines that go; each is cut out once, so a text costs time in proportion to its lines.
+    runs = F.zip_with(F.concat(F.array(F.lit(-1)), f"{own}gone"), F.concat(f"{own}gone", F.array(F.size(lines))), lambda a, b: F.slice(lines, a + 2, F.greatest(F.lit(0), b - a - 1)))
+    text = F.when(F.col(f"{own}gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(runs), "\n"))
+    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
     extra = {"n_lines": n_lines, "dropped": gone_list, "n_near": F.coalesce(f"{own}near", F.lit(0)).cast("long")}
     return joined.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns if c not in extra], *[v.alias(k) for k, v in extra.items()])
