@@ -1,34 +1,47 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on windows of ordinary text, one on the stretches that set
-toxic texts apart (byte 5-grams whose number of distinct contexts in toxic text is many times that in ordinary
-text, extended along their word).  A text is cut at word starts into windows of about 64 bytes, and every
-window is compressed twice: knowing ordinary text only, and knowing both.  Bytes saved by the toxic
-dictionary, over all windows of the text, are calibrated to a probability on held-back samples.
+Two zstandard dictionaries are trained by zstandard's own trainer: one on windows of ordinary text, one on short
+windows of toxic texts.  The latter are cut where a toxic text says what ordinary text doesn't: around byte 5-grams whose number
+of distinct contexts in toxic text is many times that in ordinary text of the language, by a significance test.  (Whole
+windows of toxic texts are nearly all ordinary words; a dictionary trained on them found 4 % of the toxic texts.)
+
+To score, a text is cut at word starts into windows of about 96 bytes, and every window is compressed twice:
+with the ordinary dictionary, and with the toxic one before it.  The lengths are compared window by window, and
+how many windows the toxic dictionary shortens, and by how much, is calibrated to a probability on labelled texts that neither
+dictionary was trained on.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard as zstd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from cataloom.llm.words import U64, mix
 
-GRAM, CONTEXT, WINDOW = 5, 6, 64
-ORDINARY_BYTES = 4096
+GRAM, CONTEXT, WINDOW = 5, 6, 96
+#: Bytes of the dictionaries.  The ordinary one is large, so that what the toxic one saves on ordinary words is little.
+ORDINARY_BYTES, TOXIC_BYTES = 300_000, 4096
+#: zstandard's level; lower ones overlook matches in so short a window.
+LEVEL = 13
 #: Windows that the ordinary dictionary is trained on, and passes that bound the memory of counting contexts.
-TRAINING_WINDOWS, CONTEXT_PASSES = 30_000, 8
+TRAINING_WINDOWS, CONTEXT_PASSES = 120_000, 8
+#: Texts are scored together up to so many bytes; a longer text is scored alone and whole.
+SCORED_BYTES = 2_000_000
+#: Savings of a window that are counted, in bytes.
+STEPS = (2, 3, 4)
+FEATURES = 4 + len(STEPS)
 #: 5-grams that may pass the test by chance alone in one fit.
 FALSE_GRAMS = 10.0
 #: zstd writes its three start offsets just before a dictionary's content.
 _OFFSETS = b"\x01\x00\x00\x00\x04\x00\x00\x00\x08\x00\x00\x00"
+#: zstd doesn't index a dictionary's last bytes.
+_END = b" " * 16
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[:33] = 32
@@ -104,55 +117,38 @@ def _excess(toxic: dict[str, list[str]], ordinary: dict[str, list[str]]) -> tupl
     return grams, counts, expected, size / max(other_size, 1)
 
 
-def _stretches(toxic: dict[str, list[str]], ordinary: dict[str, list[str]], lift: float, least: int) -> list[bytes]:
-    """The shortest distinct stretches of words that are typical of toxic texts, given by language."""
+def _telling_windows(toxic: dict[str, list[str]], ordinary: dict[str, list[str]], lift: float, least: int) -> list[bytes]:
+    """The windows of toxic texts (given by language) that set them apart, one for each distinct context."""
     grams, counts, expected, one = _excess(toxic, ordinary)
     mean = expected + one  # one context more than seen
     surprise = np.where(counts > mean, counts * np.log(np.maximum(counts, 1) / mean) - counts + mean, 0)  # bounds -log of the Poisson tail
     typical = np.sort(grams[(counts >= least) & (counts >= lift * expected) & (surprise >= np.log(max(len(grams), 1) / FALSE_GRAMS))])
-    if not len(typical):
-        return []
-    found: Counter[bytes] = Counter()
-    for text in (t for texts in toxic.values() for t in texts):
+    out, seen = [], set()
+    for text in (t for texts in toxic.values() for t in texts) if len(typical) else ():
         padded = _padded(text)
         bare, _, places = _grams(padded)
         hits = places[typical[np.minimum(np.searchsorted(typical, bare), len(typical) - 1)] == bare]
-        covered = np.zeros(len(padded) + 1, bool)
+        covered = np.zeros(len(padded) + 2, np.int8)
         for j in range(GRAM):
-            covered[hits + j] = True
-        starts = np.flatnonzero(covered[:-1] & (padded == 32))
-        for a in starts:
-            b = a + 1
-            while covered[b] and padded[b] != 32:
-                b += 1
-            if b - a >= GRAM:
-                found[padded[a:b].tobytes()] += 1
-    out: list[bytes] = []
-    for stretch in sorted((s for s, n in found.items() if n >= least - 1), key=lambda s: (len(s), s)):
-        if not any(shorter in stretch for shorter in out):
-            out.append(stretch)
+            covered[hits + j + 1] = 1
+        change = np.diff(covered)
+        for a, b in zip(np.flatnonzero(change == 1), np.flatnonzero(change == -1), strict=True):
+            context = padded[max(0, a - CONTEXT) : b + CONTEXT].tobytes()
+            if context not in seen:
+                seen.add(context)
+                out.append(padded[a - 1 : b].tobytes())
     return out
 
 
 def _trained(samples: list[bytes], size: int) -> bytes:
-    if not samples:
-        return b""
-    try:
-        return zstd.train_dictionary(size, samples).as_bytes().rpartition(_OFFSETS)[2]
-    except zstd.ZstdError:  # too few or too uniform samples to train on
-        return b""
-
-
-def _toxic_dictionary(stretches: list[bytes]) -> bytes:
-    """Trained in rounds, each on the stretches that the dictionary so far lacks."""
-    out, rest = b"", stretches
-    while rest:
-        part = _trained([s for s in rest for _ in range(30)], 2048)
-        left = [s for s in rest if s not in part]
-        if len(left) == len(rest):
-            part, left = b"".join(left), []
-        out, rest = part + out, left
-    return out
+    """The content of a dictionary of at most ``size`` bytes; few samples are given to the trainer repeatedly, and make a smaller one."""
+    total = sum(map(len, samples))
+    while samples and size >= 256:
+        try:
+            return zstd.train_dictionary(size, samples * int(np.ceil(20 * size / total))).as_bytes().rpartition(_OFFSETS)[2]
+        except zstd.ZstdError:  # too few or too uniform samples for a dictionary of this size
+            size //= 2
+    return b""
 
 
 def _windows(data: np.ndarray) -> np.ndarray:
@@ -194,25 +190,59 @@ class ToxicityModel:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "_tools"} | {"_tools": []}
 
-    def features(self, text: str | None) -> np.ndarray:
-        """1, greatest saving, total saving, windows that save 2 and 3 bytes, and log of the number of windows."""
-        data = _normal(text)
-        if not len(data):
-            return np.array([1.0, 0, 0, 0, 0, 0])
+    def lengths(self, windows: zstd.BufferWithSegments) -> tuple[np.ndarray, np.ndarray]:
+        """Compressed lengths of windows with the ordinary dictionary, and with the toxic one before it."""
         if not self._tools:
-            for content in (self.ordinary, self.toxic + self.ordinary):
-                dictionary = zstd.ZstdCompressionDict(content.rjust(16), dict_type=zstd.DICT_TYPE_RAWCONTENT)
-                level = zstd.ZstdCompressionParameters.from_level(5, source_size=WINDOW, dict_size=len(content), min_match=5, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstd.FORMAT_ZSTD1_MAGICLESS)
+            for content in (self.ordinary + _END, self.toxic + self.ordinary + _END):
+                dictionary = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+                level = zstd.ZstdCompressionParameters.from_level(LEVEL, source_size=WINDOW, dict_size=len(content), min_match=GRAM, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstd.FORMAT_ZSTD1_MAGICLESS)
                 dictionary.precompute_compress(compression_params=level)
                 self._tools.append(zstd.ZstdCompressor(dict_data=dictionary, compression_params=level))
-        cut = zstd.BufferWithSegments(data.tobytes(), _windows(data).tobytes())
-        plain, informed = (np.fromiter(map(len, t.multi_compress_to_buffer(cut, threads=1)), np.int64, len(cut)) for t in self._tools)
-        saved = np.maximum(plain - informed, 0)
-        return np.array([1.0, saved.max(), np.log1p(saved.sum()), np.log1p((saved >= 2).sum()), np.log1p((saved >= 3).sum()), np.log(len(saved) + 1)])
+        plain, informed = (np.fromiter(map(len, t.multi_compress_to_buffer(windows, threads=1)), np.int64, len(windows)) for t in self._tools)
+        return plain, informed
+
+    def _group_features(self, group: list[np.ndarray]) -> np.ndarray:
+        cuts = [_windows(data) for data in group]
+        shifts = np.cumsum([0, *map(len, group)])[:-1]
+        placed = np.concatenate([c + np.array([shift, 0], np.uint64) for c, shift in zip(cuts, shifts, strict=True)])
+        plain, informed = self.lengths(zstd.BufferWithSegments(np.concatenate(group).tobytes(), placed.tobytes()))
+        saved, counts = np.maximum(plain - informed, 0), np.array([len(c) for c in cuts])
+        owner = np.repeat(np.arange(len(group)), counts)
+        order = np.lexsort((-saved, owner))  # each text's greatest savings first
+        first = np.cumsum(counts) - counts
+        top = saved[order][first]
+        two = top + np.where(counts > 1, saved[order][np.minimum(first + 1, len(saved) - 1)], 0)
+        steps = [np.log1p(np.bincount(owner[saved >= k], minlength=len(group))) for k in STEPS]
+        return np.stack([np.ones(len(group)), top, two, *steps, np.log(counts + 1)], 1)
+
+    def features(self, texts: Iterable[str | None]) -> np.ndarray:
+        """Per text: 1, the greatest saving of a window, the sum of the two greatest, logs of the numbers of windows that save
+        ``STEPS`` bytes and of all windows.  Null and empty texts have no windows."""
+        out, group, rows, size = [], [], [], 0
+        empty = np.eye(1, FEATURES)[0]
+
+        def flush() -> None:
+            if group:
+                for i, values in zip(rows, self._group_features(group), strict=True):
+                    out[i] = values
+                group.clear()
+                rows.clear()
 
-    def score(self, text: str | None) -> float:
-        z = float(self.features(text) @ self.weights)
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        for text in texts:
+            data = _normal(text)
+            if len(data):
+                if size + len(data) > SCORED_BYTES:
+                    flush()
+                    size = 0
+                group.append(data)
+                rows.append(len(out))
+                size += len(data)
+            out.append(empty)
+        flush()
+        return np.array(out).reshape(-1, FEATURES)
+
+    def scores(self, texts: Iterable[str | None]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.weights, -30, 30)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -236,10 +266,11 @@ def _even(rows: DataFrame, n: int) -> DataFrame:
     return sized.select(*rows.columns, turn.alias("_turn")).orderBy("_turn", "doc_id").limit(n).drop("_turn")
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_ordinary: int = 2500, max_calibration: int = 2500, lift: float = 10.0, least: int = 5) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_ordinary: int = 2500, max_calibration: int = 2500, max_bytes: int = 48_000_000, lift: float = 10.0, least: int = 5) -> ToxicityModel:
     """Fits on a bounded sample of labelled rows: at most ``max_toxic`` toxic and ``max_ordinary`` other texts for the
     dictionaries, drawn evenly over the languages and sources that docs has columns for, and ``max_calibration`` further
-    ones, of either label in their natural shares, for the calibration, all drawn by a hash of doc_id.  A 5-gram is
+    ones, of either label in their natural shares, for the calibration, all drawn by a hash of doc_id.  Of these rows the first by
+    that hash are taken until their whole texts have ``max_bytes`` together, which bounds the driver's memory.  A 5-gram is
     learned from ``least`` contexts on, however large the sample, if chance does not explain them.
 
     ``labels`` needs doc_id and toxic; rows that lack either, and labels without a document, are passed over.  Without
@@ -248,12 +279,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_ordinary:
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.withColumn("turn", F.xxhash64("doc_id")).withColumn("calibrates", F.pmod("turn", F.lit(5)) < 2)
     lang, source = (F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string") for c in ("lang", "source"))
-    strata = docs.where("doc_id is not null").select("doc_id", F.struct(lang.alias("lang"), source.alias("source")).alias("stratum")).groupBy("doc_id").agg(F.min("stratum").alias("stratum"))
+    strata = docs.where("doc_id is not null").select("doc_id", F.struct(lang.alias("lang"), source.alias("source")).alias("stratum"), F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("bytes"))
+    strata = strata.groupBy("doc_id").agg(F.min("stratum").alias("stratum"), F.sum("bytes").alias("bytes"))
     known = known.join(strata, "doc_id")
     chosen = known.where("calibrates").orderBy("turn", "doc_id").limit(max_calibration)
     chosen = chosen.unionByName(_even(known.where("not calibrates and toxic = 1"), max_toxic))
     chosen = chosen.unionByName(_even(known.where("not calibrates and toxic <> 1"), max_ordinary))
-    chosen = chosen.select("doc_id", "toxic", "calibrates", F.col("stratum.lang").alias("language"))
+    running = F.sum("bytes").over(W.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id"))  # at most the three limits' rows
+    chosen = chosen.withColumn("running", running).where(F.col("running") <= max_bytes).select("doc_id", "toxic", "calibrates", F.col("stratum.lang").alias("language"))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic", "calibrates", "language")  # its size is bounded by the three limits
     held = sorted(rows.toLocalIterator(), key=lambda r: r.doc_id)
     base = np.mean([r.toxic == 1 for r in held]) if held else 0.0
@@ -262,13 +295,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_ordinary:
         if not r.calibrates:
             (toxic if r.toxic == 1 else ordinary).setdefault(r.language, []).append(r.text)
     windows = _drawn_windows([r.text for r in held if not r.calibrates and r.toxic != 1])
-    model = ToxicityModel(_trained(windows, ORDINARY_BYTES), _toxic_dictionary(_stretches(toxic, ordinary, lift, least)), np.zeros(6))
+    model = ToxicityModel(_trained(windows, ORDINARY_BYTES), _trained(_telling_windows(toxic, ordinary, lift, least), TOXIC_BYTES), np.zeros(FEATURES))
     tried = [r for r in held if r.calibrates] or held
     y = np.array([r.toxic == 1 for r in tried], float)
     if model.toxic and 0 < y.sum() < len(y):
-        model.weights = _logistic(np.array([model.features(r.text) for r in tried]), y)
+        model.weights = _logistic(model.features(r.text for r in tried), y)
     else:
-        model.weights = np.array([np.log((base + 1e-9) / (1 - base + 1e-9)), 0, 0, 0, 0, 0])
+        model.weights = np.log((base + 1e-9) / (1 - base + 1e-9)) * np.eye(1, FEATURES)[0]
     return model
 
 
@@ -280,7 +313,7 @@ def scored(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = np.array([model.score(t.as_py()) for t in batch.column(1)], float)
+            scores = model.scores(t.as_py() for t in batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -293,6 +326,6 @@ def civil(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pc.fill_null(batch.column("text").cast(pa.string()), "")
-            yield batch.filter(pa.array([model.score(t.as_py()) < threshold for t in texts], pa.bool_()))
+            yield batch.filter(pa.array(model.scores(t.as_py() for t in texts) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from cataloom.llm.components import connected_components
@@ -205,10 +206,34 @@ def test_samples_are_even_over_strata(spark):
     assert len(drawn) == len(set(drawn)) == 200 and set(range(20)) <= set(drawn)
 
 
+def test_toxicity_features_equal_windows_compressed_one_by_one():
+    """Every window of every text by plain zstandard, one after the other."""
+    draw = random.Random(12)
+    texts = [prose(i, draw.randint(0, 90)) + (" grumblefoo snark" if i % 2 else "") for i in range(40)] + [None, "", " \n ", "x" * 5000, "é ß " * 300]
+    model = toxicity.ToxicityModel(prose(1, 600).encode(), b" grumblefoo snarkbarr", np.arange(toxicity.FEATURES) / 10)
+    for text, got, score in zip(texts, model.features(texts), model.scores(texts), strict=True):
+        data = "".join(c.lower() if "A" <= c <= "Z" else " " if c < "!" else c for c in text or "").encode()
+        cut = [m.start() for m in re.finditer(rb"(?:(?<=^)|(?<= ))[^ ]", data)]
+        cut = [a for i, a in enumerate(cut) if not i or a // toxicity.WINDOW != cut[i - 1] // toxicity.WINDOW]
+        ends = [0, *cut[1:], len(data)]
+        saved = []
+        for a, b in zip(ends, ends[1:]):
+            sizes = []
+            for content in (model.ordinary + b" " * 16, model.toxic + model.ordinary + b" " * 16):
+                level = zstandard.ZstdCompressionParameters.from_level(13, source_size=toxicity.WINDOW, dict_size=len(content), min_match=5, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+                held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                held.precompute_compress(compression_params=level)
+                sizes.append(len(zstandard.ZstdCompressor(dict_data=held, compression_params=level).compress(data[a:b])))
+            saved.append(max(0, sizes[0] - sizes[1]))
+        saved = sorted(saved, reverse=True) if data else []
+        want = [1.0, sum(saved[:1]), sum(saved[:2]), *(np.log1p(sum(x >= k for x in saved)) for k in toxicity.STEPS), np.log(len(saved) + 1)]
+        assert got.tolist() == pytest.approx(want) and score == pytest.approx(1 / (1 + np.exp(-np.dot(want, model.weights))))
+
+
 def test_toxic_rows_go(spark):
-    model = toxicity.ToxicityModel(b"", b"", np.array([5.0, 0, 0, 0, 0, 0]))
+    model = toxicity.ToxicityModel(b"", b"", 5.0 * np.eye(1, toxicity.FEATURES)[0])
     assert toxicity.civil(table(spark, ODD), model).count() == 0
-    model = toxicity.ToxicityModel(b"", b"", np.array([-5.0, 0, 0, 0, 0, 0]))
+    model = toxicity.ToxicityModel(b"", b"", -5.0 * np.eye(1, toxicity.FEATURES)[0])
     kept = toxicity.civil(table(spark, ODD), model)
     assert kept.count() == len(ODD) and kept.columns == table(spark, ODD).columns
 
