@@ -42,6 +42,7 @@ select vec_id, cast(coalesce(n, 0) as bigint) as n_links, component_id, vec_id =
 OP10 = f"""
 with {_shingled("documents", "doc_id", 5, "sh")},
 {_shingled("benchmark", "item_id", 5, "it")},
-n as (select item_id, count(*) as n_item from it group by 1),
-met as (select doc_id, item_id, count(*) as n_shared from sh join it using (s) group by 1, 2)
+n as (select item_id, count(*) as n_item, any_value(len(w)) >= 5 as long from it join it_w using (item_id) group by 1),
+met as (select doc_id, item_id, count(*) as n_shared from sh join it using (s) join n using (item_id) where long group by 1, 2
+  union all select doc_id, item_id, 1 from sh_w d join it_w i on contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(i.w, ' ') || ' ') join n using (item_id) where not long)
 select doc_id, item_id, cast(n_item as bigint) as n_item, cast(n_shared as bigint) as n_shared, n_shared / n_item as containment from met join n using (item_id) where 100 * n_shared >= 80 * n_item"""

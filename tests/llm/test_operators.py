@@ -370,5 +370,28 @@ def test_contamination(spark):
     assert leaks(table(spark, []), items).count() == 0 and leaks(table(spark, docs), items.limit(0)).count() == 0
 
 
+def test_contamination_over_size_classes_and_blocks_equals_brute_force(spark, monkeypatch):
+    """Items of 1 to 300 words, cut and altered, in documents; several blocks; the SQL gives the same rows."""
+    import duckdb
+
+    from cataloom.llm import decontaminate, oracles
+
+    monkeypatch.setattr(decontaminate, "BLOCK_HASHES", 300)
+    draw = random.Random(21)
+    items = [(i, prose(5000 + i, n)) for i, n in enumerate([1, 2, 3, 4, 5, 6, 9, 16, 17, 31, 40, 64, 90, 130, 200, 300])]
+    docs = []
+    for i in range(220):
+        words = draw.choice(items)[1].split()
+        for _ in range(draw.choice([0, 0, 1, 1, 2, 5])):
+            words[draw.randrange(len(words))] = "zz"
+        docs.append((i, prose(i, draw.randint(0, 300)) + " " + " ".join(words[: draw.choice([len(words), max(1, len(words) * 8 // 10)])]) + " " + prose(i + 500, 20), "s"))
+    got = sorted(map(tuple, leaks(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()))
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar); create table benchmark (item_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", [d[:2] for d in docs])
+    con.executemany("insert into benchmark values (?, ?)", items)
+    assert got == sorted(con.execute(oracles.OP10).fetchall()) and len(got) > 60
+
+
 def test_shingle_sets_have_no_row_without_words():
     assert [len(s) for s in sets_of(pa.array(["a b c d e", None, "", "a b", "a a a a a a a"]), 5)] == [1, 0, 0, 1, 1]
