@@ -6,7 +6,7 @@ of distinct contexts in toxic text is many times that in ordinary text of the la
 windows of toxic texts are nearly all ordinary words; a dictionary trained on them found 4 % of the toxic texts.)
 
 To score, a text is cut at word starts into windows of about 96 bytes, and every window is compressed twice:
-with the ordinary dictionary, and with the toxic one before it.  The lengths are compared window by window, and
+with the ordinary dictionary, and with the toxic one behind it.  The lengths are compared window by window, and
 how many windows the toxic dictionary shortens, and by how much, is calibrated to a probability on labelled texts that neither
 dictionary was trained on.
 """
@@ -26,9 +26,10 @@ from cataloom.llm.words import U64, mix
 
 GRAM, CONTEXT, WINDOW = 5, 6, 96
 #: Bytes of the dictionaries.  The ordinary one is large, so that what the toxic one saves on ordinary words is little.
-ORDINARY_BYTES, TOXIC_BYTES = 300_000, 4096
-#: zstandard's level; lower ones overlook matches in so short a window.
-LEVEL = 13
+ORDINARY_BYTES, TOXIC_BYTES = 300_000, 8192
+#: zstandard's fastest strategy looks every place up in one hash table of the dictionary, large enough for all of it, and leaves
+#: literals as they are, so that a window's length tells of its matches alone.
+SETTINGS = {"strategy": zstd.STRATEGY_FAST, "target_length": 1, "hash_log": 22, "min_match": 6}
 #: Windows that the ordinary dictionary is trained on, and passes that bound the memory of counting contexts.
 TRAINING_WINDOWS, CONTEXT_PASSES = 120_000, 8
 #: Texts are scored together up to so many bytes; a longer text is scored alone and whole.
@@ -164,7 +165,8 @@ def _windows(data: np.ndarray) -> np.ndarray:
 
 
 def _drawn_windows(texts: list[str]) -> list[bytes]:
-    """TRAINING_WINDOWS windows of the texts, drawn evenly; all of them if there are fewer."""
+    """TRAINING_WINDOWS windows of the texts, drawn evenly, or all of them if there are fewer, in random order: the
+    trainer works through stretches of its samples and ends early where some in a row have nothing new."""
     draw = np.random.default_rng(7)
     total = sum(len(_windows(_normal(t))) for t in texts if t)
     out = []
@@ -173,7 +175,7 @@ def _drawn_windows(texts: list[str]) -> list[bytes]:
         if len(data):
             for a, n in _windows(data)[draw.random(len(_windows(data))) < TRAINING_WINDOWS / max(total, 1)]:
                 out.append(data[int(a) : int(a + n)].tobytes())
-    return out
+    return [out[i] for i in draw.permutation(len(out))]
 
 
 @dataclass
@@ -191,11 +193,11 @@ class ToxicityModel:
         return {k: v for k, v in self.__dict__.items() if k != "_tools"} | {"_tools": []}
 
     def lengths(self, windows: zstd.BufferWithSegments) -> tuple[np.ndarray, np.ndarray]:
-        """Compressed lengths of windows with the ordinary dictionary, and with the toxic one before it."""
+        """Compressed lengths of windows with the ordinary dictionary, and with the toxic one behind it."""
         if not self._tools:
-            for content in (self.ordinary + _END, self.toxic + self.ordinary + _END):
+            for content in (self.ordinary + _END, self.ordinary + self.toxic + _END):
                 dictionary = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-                level = zstd.ZstdCompressionParameters.from_level(LEVEL, source_size=WINDOW, dict_size=len(content), min_match=GRAM, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstd.FORMAT_ZSTD1_MAGICLESS)
+                level = zstd.ZstdCompressionParameters.from_level(3, source_size=WINDOW, dict_size=len(content), **SETTINGS, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstd.FORMAT_ZSTD1_MAGICLESS)
                 dictionary.precompute_compress(compression_params=level)
                 self._tools.append(zstd.ZstdCompressor(dict_data=dictionary, compression_params=level))
         plain, informed = (np.fromiter(map(len, t.multi_compress_to_buffer(windows, threads=1)), np.int64, len(windows)) for t in self._tools)

@@ -219,8 +219,8 @@ def test_toxicity_features_equal_windows_compressed_one_by_one():
         saved = []
         for a, b in zip(ends, ends[1:]):
             sizes = []
-            for content in (model.ordinary + b" " * 16, model.toxic + model.ordinary + b" " * 16):
-                level = zstandard.ZstdCompressionParameters.from_level(13, source_size=toxicity.WINDOW, dict_size=len(content), min_match=5, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+            for content in (model.ordinary + b" " * 16, model.ordinary + model.toxic + b" " * 16):
+                level = zstandard.ZstdCompressionParameters.from_level(3, source_size=toxicity.WINDOW, dict_size=len(content), **toxicity.SETTINGS, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
                 held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 held.precompute_compress(compression_params=level)
                 sizes.append(len(zstandard.ZstdCompressor(dict_data=held, compression_params=level).compress(data[a:b])))
