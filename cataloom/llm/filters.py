@@ -35,7 +35,7 @@ class KeyFilter:
 
     def _held(self, key: Column) -> tuple[Column, Column]:
         word, bits = _place(key)
-        return F.col("_word") == word, F.col("_bits").bitwiseAND(bits) == bits
+        return self.table["_word"] == word, self.table["_bits"].bitwiseAND(bits) == bits
 
     def may_hold(self, rows: DataFrame, key: Column) -> DataFrame:
         """The rows whose key may be among the filter's keys; a null key never is."""

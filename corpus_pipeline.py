@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cataloom.llm.decontaminate import decontaminated
+from cataloom.llm.filters import KeyFilter
 from cataloom.llm.line_dedup import deduplicated
 from cataloom.llm.mixing import mixed, mixed_texts
 from cataloom.llm.near_dedup import near_duplicates
@@ -33,8 +34,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the least doc_id."""
-    copies = near_duplicates(docs, SHINGLE_WORDS, PERCENT).where("not kept").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    copies = stored(near_duplicates(docs, SHINGLE_WORDS, PERCENT).where("not kept").select("doc_id").distinct(), "near-copies")
+    held, key = KeyFilter(copies), F.col("doc_id").cast("long")
+    # Most documents cannot be copies and are kept without a shuffle; the join decides about the others.
+    doubtful = held.may_hold(docs, key)
+    doubtful = doubtful.join(copies, doubtful["doc_id"].cast("long") == copies["doc_id"], "left_anti")
+    return held.cannot_hold(docs, key).unionByName(doubtful).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
