@@ -6,13 +6,6 @@ from pyspark.sql import Column, functions as F
 
 from cataloom.functions import constants as K
 
-# Words that tell a category from a query, in the order they are tried.
-CATEGORY_WORDS = (
-    ("HVAC", ("hvac", "thermostat", "furnace", "air conditioner", "heat pump")),
-    ("Plumbing", ("plumbing", "faucet", "valve", "pipe", "toilet")),
-    ("Electrical", ("electrical", "breaker", "relay", "switch", "wire")),
-)
-
 
 def quotes_as_units(text: Column) -> Column:
     """Feet and inch marks after numbers written out: 6' becomes 6 ft and 1 1/2" becomes 1 1/2 in."""
@@ -21,7 +14,7 @@ def quotes_as_units(text: Column) -> Column:
 
 
 def without_quotes(text: Column) -> Column:
-    return F.regexp_replace(quotes_as_units(text), "[\"'`“”‘’]", "")
+    return F.regexp_replace(quotes_as_units(text), "[\"']", "")
 
 
 def search_query(maker: Column, part: Column) -> Column:
@@ -31,7 +24,7 @@ def search_query(maker: Column, part: Column) -> Column:
 def category_of(text: Column) -> Column:
     """The first category one of whose words the text contains; General for none."""
     low, out = F.lower(text), None
-    for name, words in CATEGORY_WORDS:
+    for name, words in K.CATEGORY_WORDS.items():
         hit = F.exists(F.array(*map(F.lit, words)), lambda w: low.contains(w))
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out.otherwise("General")

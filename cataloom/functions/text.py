@@ -35,7 +35,7 @@ def sentence_score(sentence: Column, maker: Column, part: Column) -> Column:
     names = lambda x: F.when((F.coalesce(x, F.lit("")) != "") & low.contains(F.lower(x)), 2.0).otherwise(0.0)
     score = 3.0 * F.size(F.regexp_extract_all(low, F.lit("(?U)" + K.SPEC_UNITS), F.lit(0)))
     score = score + F.when(sentence.contains(":"), 2.0).otherwise(0.0) + F.size(F.array_intersect(words, F.array(*map(F.lit, K.SPEC_KEYWORDS)))) + names(maker) + names(part)
-    return F.when(F.length(F.trim(sentence)) < 10, 0.0).when(low.rlike(K.BOILERPLATE), -5.0).otherwise(score).cast("double")
+    return F.when(F.length(F.trim(sentence)) < 10, 0.0).when(low.rlike("|".join(K.BOILERPLATE)), -5.0).otherwise(score).cast("double")
 
 
 def response_text(raw: Column) -> Column:
@@ -90,9 +90,8 @@ def relevant_url(url: Column, maker: Column, part: Column) -> Column:
 
 def retry_seconds(message: Column) -> Column:
     """Seconds of "try again in", "retry in" or "in" with optional minutes; 0 where none is said."""
-    pattern = r"(?i)(?:try again in|retry in|in)\s+(?:(\d+)m)?(\d+(?:\.\d+)?)s"
-    minutes = F.coalesce(F.nullif(F.regexp_extract(message, pattern, 1), F.lit("")).cast("double"), F.lit(0.0))
-    return minutes * 60 + F.coalesce(F.nullif(F.regexp_extract(message, pattern, 2), F.lit("")).cast("double"), F.lit(0.0))
+    minutes = F.coalesce(F.nullif(F.regexp_extract(message, K.RETRY_HINT, 1), F.lit("")).cast("double"), F.lit(0.0))
+    return minutes * 60 + F.coalesce(F.nullif(F.regexp_extract(message, K.RETRY_HINT, 2), F.lit("")).cast("double"), F.lit(0.0))
 
 
 def daily_limit(message: Column) -> Column:
@@ -110,6 +109,7 @@ def slug(text: Column) -> Column:
 
 def label(name: Column) -> Column:
     """A field's name for display: one unit suffix gone, words apart and capitalised after every non-letter."""
-    bare = F.regexp_replace(F.regexp_replace(name, r"(?i)_(in|mm|cm|ft|lbs?|kg|oz|v|a|w|hz|psi|cfm)$", ""), "_", " ")
+    suffix = "(?i)_(?:" + "|".join(K.LABEL_SUFFIXES) + ")$"
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(name), suffix, ""), "_", " "))
     parts = F.regexp_extract_all(bare, F.lit(r"([\p{L}]+|[^\p{L}]+)"), F.lit(1))
     return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, F.lit(2), F.length(p))))), "")

@@ -12,27 +12,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cataloom.functions import constants as K
+from cataloom.functions.constants import AIRFLOW, AREA, NUMBER, PLAUSIBLE, THREAD, TONS, VOLTS
 from cataloom.functions.rules import literal_map
 
-NUMBER = r"\d+(?:\.\d+)?"
-THREAD = rf"(?i)^({NUMBER}|\d+/\d+)\s*-\s*(\d+)\s*(NPT|NPTF|NPSM|UNF|UNC|UNEF|BSP|BSPT)\b"
-TONS = rf"(?i)^({NUMBER})\s*tons?\b"
-VOLTS = rf"(?i)^({NUMBER})(\s*/\s*|\s*-\s*)?({NUMBER})?\s*(VAC|VDC|V)\b(?![A-Za-z/])"
-AIRFLOW = rf"(?i)^({NUMBER})\s*(?:CFM|cubic feet? per minute)\s*$"
-AREA = rf"(?i)^({NUMBER})\s*(sq\s*(?:in|ft|m|cm)|square\s*(?:inch|inches|foot|feet|meter|meters|metre|metres|centimeter|centimeters|centimetre|centimetres))\s*$"
 LEADING = r"(?is)^([+-]?(?:\d+/\d+|\d+\.\d*|\.\d+|\d+)(?:\s+\d+/\d+)?(?:\s*[-/]\s*[+-]?\d+(?:\.\d+)?|\s+to\s+[+-]?\d+(?:\.\d+)?)?)\s*(.*)$"
 MIXED = r"^(\d+)\s+(\d+/\d+)$"
 SPAN = rf"(?i)^([+-]?{NUMBER})(?:\s+to\s+|\s*-\s*)([+-]?{NUMBER})$"
 PAIR = rf"^([+-]?{NUMBER})/({NUMBER})$"
 SCALAR = r"^[+-]?(?:\d+(?:\.\d*)?|\.\d+)$"
-PLAUSIBLE = "^[A-Za-z%°'\"µμ][A-Za-z%°'\"µμ³²/.\\-\\s]*$"
 
 SYMBOLS = {c: s for c, _, s, _ in K.UNITS}
 FACTORS = {c: f for c, _, _, f in K.UNITS}
 ALIASES: dict[str, str] = {}
 for _name, _aliases, _, _ in K.UNITS:
-    for _alias in _aliases.split():
-        ALIASES.setdefault(_alias.replace("_", " "), _name)
+    for _alias in _aliases:
+        ALIASES.setdefault(_alias, _name)
 
 
 def number(text: Column) -> Column:
@@ -130,3 +124,11 @@ def normalized(rows: DataFrame, raw: str = "raw_value", field: str | None = None
     )
     x = x.withColumn("_out", out)
     return x.select(*rows.columns, F.col("_out.value").alias("value"), F.col("_out.unit").alias("unit"))
+
+
+def normalized_by_value(rows: DataFrame, raw: str = "raw_value", field: str | None = None) -> DataFrame:
+    """:func:`normalized`, worked out once for every distinct text (and field) and joined back: for tables whose values repeat."""
+    keys = [raw, field] if field else [raw]
+    known = normalized(rows.select(*keys).distinct(), raw, field).select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "value", "unit")
+    same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+    return rows.join(known, same).drop(*[f"_key{i}" for i in range(len(keys))])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from cataloom.functions import constants as K
+from cataloom.functions import constants as K, text as T
 from cataloom.functions.rules import literal_map, required_fields
 from cataloom.functions.text import label
 
@@ -82,7 +82,9 @@ def delivery(records: DataFrame) -> DataFrame:
     attrs, none = F.col("attrs"), F.lit("")
     maker, part, category = F.col("manufacturer"), F.col("mfg_part_number"), F.col("category")
     urls = F.slice(F.array_distinct(F.filter(F.transform(attrs, lambda a: a["source_url"]), lambda u: u.rlike("^https?://"))), 1, 5)
-    shown = F.zip_with(attrs, "labels", lambda a, name: F.rtrim(F.concat(name, F.lit(": "), a["value"], F.lit(" "), F.coalesce(a["unit"], none))))
+    # Attributes without a name or a value have no part in the description.
+    said = F.zip_with(attrs, "labels", lambda a, name: F.when((F.coalesce(name, none) != "") & (F.trim(F.coalesce(a["value"], none)) != ""), F.trim(F.concat(name, F.lit(": "), F.trim(a["value"]), F.lit(" "), F.trim(F.coalesce(a["unit"], none))))))
+    shown = F.filter(said, lambda x: x.isNotNull())
     columns = {
         "SKU - MY_PART_NUMBER": F.col("sku_id"), "MANUFACTURER_NAME": maker, "MANUFACTURER_PART_NUMBER": part, "Mfg_Part_Num": part, "PART_NUMBER": part,
         "Product Name": F.concat_ws(" ", maker, part), "Classpath": F.concat(F.lit("Industrial & Commercial > "), category), "BRAND": maker, "CATEGORY": category, "STATUS": F.lit("Active"),
@@ -91,10 +93,10 @@ def delivery(records: DataFrame) -> DataFrame:
     columns |= {f"Ref URL {i + 1}": F.get(urls, i) for i in range(5)}
     def slot(names: list[str]) -> Column:
         """The first attribute of these names that has a value."""
-        return F.get(F.filter(attrs, lambda a: a["field_name"].isin(*names) & (F.coalesce(a["value"], none) != "")), 0)
+        return F.get(F.filter(attrs, lambda a: F.lower(F.trim(a["field_name"])).isin(*names) & (F.coalesce(a["value"], none) != "")), 0)
 
     for name, unit_name, default, synonyms in K.SLOTS:
-        filled = slot(synonyms.split())
+        filled = slot(list(synonyms))
         columns[name] = filled["value"]
         if unit_name:
             columns[unit_name] = F.when(filled.isNotNull(), F.coalesce(F.nullif(filled["unit"], none), F.lit(default)))
@@ -117,12 +119,22 @@ def review_queue(records: DataFrame) -> DataFrame:
     return records.where((F.col("status") == "MANUAL_REVIEW") | ~F.col("validity"))
 
 
-def budgeted(scored: DataFrame, key: str, budget: int = K.CONTEXT_CHARS) -> DataFrame:
-    """Best sentences of (key, idx, sentence, score) within a budget of characters, joined in order.
+def reduced_context(text: Column, maker: Column, part: Column, budget: int = K.CONTEXT_CHARS) -> Column:
+    """The cleaned text where it is within a budget of characters, else its best sentences, joined in order.
 
-    By score, then place; the first stays even when it alone is over, and the first that overflows ends the list."""
-    ranked = W.partitionBy(key).orderBy(F.desc("score"), "idx")
-    used = F.sum(F.length("sentence") + 1).over(ranked.rowsBetween(W.unboundedPreceding, W.currentRow))
-    x = scored.where("score > 0").withColumns({"used": used, "rank": F.row_number().over(ranked)}).where((F.col("used") <= budget) | (F.col("rank") == 1))
-    parts = F.array_sort(F.collect_list(F.struct("idx", "sentence")))
-    return x.groupBy(key).agg(F.array_join(F.transform(parts, lambda p: p["sentence"]), " ").alias("reduced"))
+    By score, then place; the first stays even when it alone is over, and the first that overflows ends the list.
+    All within the row: no shuffle, no sort of the table.  Null gives an empty text."""
+    cleaned = T.html_clean(text)
+    scored = F.transform(T.sentences(cleaned), lambda s, i: F.struct((-T.sentence_score(F.trim(s), maker, part)).alias("rank"), i.alias("idx"), F.trim(s).alias("sentence")))
+    ranked = F.array_sort(F.filter(scored, lambda x: x["rank"] < 0))
+    none = F.array().cast("array<struct<idx:int,sentence:string>>")
+
+    def take(state: Column, x: Column) -> Column:
+        used = state["used"] + F.length(x["sentence"]) + 1
+        fits = state["open"] & ((used <= budget) | (F.size(state["kept"]) == 0))
+        kept = F.when(fits, F.concat(state["kept"], F.array(F.struct(x["idx"].alias("idx"), x["sentence"].alias("sentence"))))).otherwise(state["kept"])
+        return F.struct(F.when(fits, used).otherwise(state["used"]).alias("used"), fits.alias("open"), kept.alias("kept"))
+
+    begin = F.struct(F.lit(0).alias("used"), F.lit(True).alias("open"), none.alias("kept"))
+    best = F.aggregate(ranked, begin, take, lambda s: F.array_join(F.transform(F.array_sort(s["kept"]), lambda x: x["sentence"]), " "))
+    return F.when(F.length(cleaned) <= budget, cleaned).otherwise(best)

@@ -173,7 +173,7 @@ def unit_fuzzy(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""select cast(l_orderkey as bigint) as row_id, cast(l_linenumber as int) as line, {_PLAIN.format(x="l_quantity * 12")} as value, 'in' as unit, cast(count(*) as bigint) as n from lineitem group by all""")
 def unit_full_grammar(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "lineitem").selectExpr("l_orderkey as row_id", "l_linenumber as line", "concat(cast(l_quantity as string), ' ft') as raw_value")
-    return units.normalized(x).groupBy("row_id", "line", "value", "unit").agg(F.count("*").alias("n"))
+    return units.normalized_by_value(x).groupBy("row_id", "line", "value", "unit").agg(F.count("*").alias("n"))
 
 
 # ---- text -----------------------------------------------------------------------------------------
@@ -184,7 +184,7 @@ b as (select page_id, replace(replace(replace(replace(regexp_replace(t, '<[^>]+>
 c as (select page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), chr(10)) as t from b)"""
 _SCORE = f"""
 s as (select doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(10) || '+', chr(1), 'g'), chr(1))) as sentence, generate_subscripts(string_split(regexp_replace(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(10) || '+', chr(1), 'g'), chr(1)), 1) - 1 as idx from documents where text is not null),
-scored as (select doc_id, idx, sentence, cast(case when length(trim(sentence)) < 10 then 0 when regexp_matches(lower(sentence), '{K.BOILERPLATE}') then -5
+scored as (select doc_id, idx, sentence, cast(case when length(trim(sentence)) < 10 then 0 when regexp_matches(lower(sentence), '{"|".join(K.BOILERPLATE)}') then -5
   else 3 * len(regexp_extract_all(lower(sentence), '{K.SPEC_UNITS}')) + 2 * cast(contains(sentence, ':') as int) + len(list_intersect(regexp_extract_all(lower(sentence), '[\\p{{L}}\\p{{N}}_]+'), [{_sql_list(K.SPEC_KEYWORDS)}])) end as double) as score from s)"""
 
 
@@ -204,10 +204,15 @@ def sentence_score(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).groupBy("doc_id").agg(F.count("*").alias("sentences"), F.sum("score").alias("total"), F.max("score").alias("best"))
 
 
-@query(f"""with {_SCORE.strip()}, r as (select *, sum(length(sentence) + 1) over w as used, row_number() over w as rank from scored where score > 0 window w as (partition by doc_id order by score desc, idx rows unbounded preceding))
-select doc_id, string_agg(sentence, ' ' order by idx) as reduced from r where used <= 1500 or rank = 1 group by 1""")
+_CLEAN_DOCS = _CLEAN.replace("page_id", "doc_id").replace("coalesce(html", "coalesce(text").replace("from pages", "from documents")
+_SCORE_LONG = _SCORE.replace("(text,", "(t,").replace("from documents where text is not null", "from c where length(t) > 1500")
+
+
+@query(f"""{_CLEAN_DOCS},{_SCORE_LONG}, r as (select *, sum(length(trim(sentence)) + 1) over w as used, row_number() over w as rank from scored where score > 0 window w as (partition by doc_id order by score desc, idx rows unbounded preceding)),
+best as (select doc_id, string_agg(trim(sentence), ' ' order by idx) as reduced from r where used <= 1500 or rank = 1 group by 1)
+select c.doc_id, case when length(t) <= 1500 then t else coalesce(reduced, '') end as reduced from c left join best on best.doc_id = c.doc_id""")
 def context_reduce(spark: SparkSession, d: str) -> DataFrame:
-    return A.budgeted(_scored(spark, d), "doc_id")
+    return table(spark, d, "documents").select("doc_id", A.reduced_context(F.col("text"), F.lit(""), F.lit("")).alias("reduced"))
 
 
 _HOST = "lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1))"
@@ -230,9 +235,9 @@ def token_estimate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", M.tokens_small(t).alias("small"), M.tokens_large(t).alias("large"), M.tokens_api(t).alias("api"))
 
 
-@query("select doc_id, cast(floor(length(text) / 4) * 6e-7 as double) as cost from documents")
+@query("select doc_id, round((length(text) / 4 + 40 * (doc_id % 7)) * 6e-7, 6)::double as cost from documents")
 def cost_estimate(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", (F.floor(F.length("text") / 4) * 6e-7).cast("double").alias("cost"))
+    return table(spark, d, "documents").select("doc_id", M.cost(F.col("text"), F.col("doc_id") % 7).cast("double").alias("cost"))
 
 
 # ---- caches and resuming --------------------------------------------------------------------------
@@ -412,20 +417,20 @@ def job_rollup(spark: SparkSession, d: str) -> DataFrame:
     return M.job_rollup(x)
 
 
-@query("select o_orderkey as row_id, cast((o_orderkey - 1) // 4 as bigint) as chunk, cast(((o_orderkey - 1) // 4) % 3 as bigint) as key_index from orders where o_orderkey > 0")
+@query("select o_orderkey + 1 as row_id, cast(o_orderkey // 4 as bigint) as chunk, cast((o_orderkey // 4) % 3 as bigint) as key_index from orders")
 def microchunk_progress(spark: SparkSession, d: str) -> DataFrame:
-    return M.chunked(table(spark, d, "orders").where("o_orderkey > 0").selectExpr("o_orderkey as row_id"))
+    return M.chunked(table(spark, d, "orders").selectExpr("o_orderkey + 1 as row_id"))
 
 
-@query("select p_partkey as row_id, cast((p_partkey - 1) // cast(ceil((select count(*) from part where p_partkey > 0) / 7.0) as bigint) as bigint) as shard from part where p_partkey > 0")
+@query("select p_partkey + 1 as row_id, cast(p_partkey // cast(ceil((select count(*) from part) / 7.0) as bigint) as bigint) as shard from part")
 def contiguous_shards(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "part").where("p_partkey > 0").selectExpr("p_partkey as row_id")
+    x = table(spark, d, "part").selectExpr("p_partkey + 1 as row_id")
     return M.contiguous_shards(x, "row_id", x.count(), 7)
 
 
-@query("select key_index, cast(count(*) as bigint) as rows, cast(count(distinct chunk) as bigint) as chunks from (select (o_orderkey - 1) // 4 as chunk, cast(((o_orderkey - 1) // 4) % 3 as bigint) as key_index from orders where o_orderkey > 0) group by 1")
+@query("select key_index, cast(count(*) as bigint) as rows, cast(count(distinct chunk) as bigint) as chunks from (select o_orderkey // 4 as chunk, cast((o_orderkey // 4) % 3 as bigint) as key_index from orders) group by 1")
 def round_robin_keys(spark: SparkSession, d: str) -> DataFrame:
-    x = M.chunked(table(spark, d, "orders").where("o_orderkey > 0").selectExpr("o_orderkey as row_id"))
+    x = M.chunked(table(spark, d, "orders").selectExpr("o_orderkey + 1 as row_id"))
     return x.groupBy("key_index").agg(F.count("*").alias("rows"), F.countDistinct("chunk").alias("chunks"))
 
 
@@ -451,7 +456,7 @@ def backoff_islands(spark: SparkSession, d: str) -> DataFrame:
 @query("""with x as (select event_id, event_id % 4 as k, event_id % 50 as s from events), y as (select event_id, case k when 0 then s * 1.0 + 0.5 when 1 then 120 + s when 2 then s else 0 end as seconds from x)
 select event_id, seconds::double as seconds, case when seconds <= 0 then 0 else least(seconds * 1.25 + 0.5, 30) end::double as wait from y""")
 def retry_after_parse(spark: SparkSession, d: str) -> DataFrame:
-    message = F.expr("case event_id % 4 when 0 then concat('Please try again in ', event_id % 50, '.5s') when 1 then concat('retry in 2m', event_id % 50, 's') when 2 then concat('wait, in ', event_id % 50, 's') else 'tokens per day (TPD)' end")
+    message = F.expr("case event_id % 4 when 0 then concat('Please try again in ', event_id % 50, '.5s') when 1 then concat('retry in 2m ', event_id % 50, ' s') when 2 then concat('wait, in ', event_id % 50) else 'tokens per day (TPD)' end")
     seconds = T.retry_seconds(message)
     return table(spark, d, "events").select("event_id", seconds.alias("seconds"), T.buffered_wait(seconds).alias("wait"))
 
@@ -524,12 +529,12 @@ def enrich_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return enriched(rows, cache, small, large)[0].select("row_id", "status", "via")
 
 
-@query("select p_partkey as row_id, concat(p_size, ' 1/2 in by ', p_size, ' ft') as units, concat(p_size, ' 1/2 in by ', p_size, ' ft') as bare, case p_partkey % 3 when 0 then 'HVAC' when 1 then 'Electrical' else 'General' end as category, case when p_size % 10 >= 9 then 'high' when p_size % 10 >= 7 then 'medium' else 'low' end as tone from part")
+@query("select p_partkey as row_id, concat(p_size, ' 1/2 in by ', p_size, ' ft') as units, concat(p_size, ' 1/2 in by ', p_size, ' ft') as bare, case p_partkey % 4 when 0 then 'HVAC' when 1 then 'Electrical' when 2 then 'Plumbing' else 'General' end as category, case when p_size % 10 >= 9 then 'high' when p_size % 10 >= 7 then 'medium' else 'low' end as tone from part")
 def quotes_and_categories(spark: SparkSession, d: str) -> DataFrame:
     from cataloom.functions import display as D
 
     marked = F.expr("""concat(p_size, ' 1/2" by ', p_size, "'")""")
-    words = F.expr("case p_partkey % 3 when 0 then 'Thermostat relay' when 1 then 'a RELAY' else 'none' end")
+    words = F.expr("case p_partkey % 4 when 0 then 'Thermostat relay' when 1 then 'a KVA unit' when 2 then 'brass elbow' else 'none' end")
     return table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), D.quotes_as_units(marked).alias("units"), D.without_quotes(marked).alias("bare"), D.category_of(words).alias("category"), D.tone((F.col("p_size") % 10) / 10).alias("tone"))
 
 

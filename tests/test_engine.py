@@ -137,3 +137,21 @@ def test_keys_and_daily_limit(spark):
     one = spark.range(1)
     assert one.select(M.usable_keys(keys, F.array(F.lit("b")))).first()[0] == ["a", "c"] and one.select(M.usable_keys(keys, keys)).first()[0] == ["a", "b", "c"]
     assert [one.select(T.daily_limit(F.lit(m))).first()[0] for m in ("Limit: tokens per day (TPD)", "rate limit")] == [True, False]
+
+
+def test_labels_lose_every_unit_suffix(spark):
+    one = spark.range(1)
+    label = lambda x: one.select(T.label(F.lit(x))).first()[0]
+    assert [label(x) for x in ("voltage_vac", "flow_gpm", "temp_DegC", " width_m ", "noise_dba", "m")] == ["Voltage", "Flow", "Temp", "Width", "Noise Dba", "M"]
+
+
+def test_delivery_trims_names_and_skips_empty_values(spark):
+    attrs = "array(named_struct('field_name', ' Voltage ', 'value', '24', 'unit', 'V', 'source_url', ''), named_struct('field_name', 'color', 'value', ' ', 'unit', cast(null as string), 'source_url', ''), named_struct('field_name', 'finish', 'value', 'matt', 'unit', cast(null as string), 'source_url', ''))"
+    row = A.delivery(spark.range(1).selectExpr("id as row_id", "'m' as manufacturer", "'p' as mfg_part_number", "'c' as category", "'s' as sku_id", f"{attrs} as attrs")).first()
+    assert row.VOLTAGE == "24" and row.LONG_DESC1 == "Voltage: 24 V; Finish: matt"
+
+
+def test_context_within_the_budget_stays(spark):
+    short, long = "<p>Short &amp; plain.</p>\n\n no numbers", "\n".join(["Add to cart now and see 24 V"] + [f"Nothing of note in line {i}." for i in range(80)] + ["Voltage: 24 V and 5 in wide"])
+    got = spark.createDataFrame([(1, short), (2, long), (3, None)], "n int, t string").select(A.reduced_context(F.col("t"), F.lit(""), F.lit("")).alias("r")).collect()
+    assert [r.r for r in got] == ["Short & plain.\nno numbers", "Voltage: 24 V and 5 in wide", ""]
