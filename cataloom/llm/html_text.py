@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +33,11 @@ SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"
 # Words in class, id and role attributes that name what isn't the article.
 HINTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent gdpr notice notices alert banner popup modal newsletter subscribe subscription comment comments disqus respond reply replies related recommended share sharing social widget toolbar pagination pager copyright contentinfo complementary search".split())
 
+# Of these, the words for what readers add or pages recommend; an article inside is still not the page's own.
+FOREIGN = frozenset("comment comments disqus respond reply replies related recommended".split())
+# First words of class names that tell of the page's layout ("has-sidebar"), not of the element.
+LAYOUT = frozenset("has no with without is not".split())
+
 LONG, STOP_DENSITY, LINK_DENSITY = 80, 0.12, 0.5
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _STOP = re.compile(r"[>\"']")
@@ -61,9 +67,22 @@ def _tag_end(page: str, at: int) -> int:
     return len(page)
 
 
+def _hints(attributes: str) -> frozenset[str]:
+    """Words in class, id and role values that name what isn't the article."""
+    out: set[str] = set()
+    for found in _HINT.findall(attributes):
+        for name in "".join(found).lower().split():
+            words = re.split(r"[^a-z]+", name)
+            if words[0] not in LAYOUT:
+                out.update(HINTS.intersection(words))
+    return frozenset(out)
+
+
 def blocks(page: str) -> Iterator[_Block]:
     """The page's text blocks in order; markup, comments, scripts and the like are left out."""
-    stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, article: with those of all around it
+    # Name, boilerplate (0: no, 1: by a name in its attributes, which an article or main inside undoes, 2: for good) and article,
+    # with those of all around it.
+    stack: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked, anchors, heading = 0, 0, False
     at, n = 0, len(page)
@@ -72,8 +91,8 @@ def blocks(page: str) -> Iterator[_Block]:
         nonlocal linked, heading
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            _, boilerplate, article = stack[-1] if stack else ("", False, False)
-            yield _Block(text, linked, boilerplate, article, heading)
+            _, boilerplate, article = stack[-1] if stack else ("", 0, False)
+            yield _Block(text, linked, boilerplate > 0, article, heading)
         parts.clear()
         linked, heading = 0, False
 
@@ -135,9 +154,16 @@ def blocks(page: str) -> Iterator[_Block]:
         if name in BLOCKS:
             anchors = 0
         heading = heading or name in {"h1", "h2", "h3", "h4", "h5", "h6"}
-        _, boilerplate, article = stack[-1] if stack else ("", False, False)
-        hints = {w for found in _HINT.findall(attributes) for w in re.split(r"[^a-z]+", "".join(found).lower())} if attributes else set()
-        stack.append((name, boilerplate or name in BOILERPLATE or (name not in {"body", "html", "article", "main"} and not HINTS.isdisjoint(hints)), article or name in {"article", "main"}))
+        _, boilerplate, article = stack[-1] if stack else ("", 0, False)
+        own = name in {"article", "main"}
+        if own and boilerplate == 1:
+            boilerplate = 0
+        hints = _hints(attributes) if attributes and name not in {"body", "html"} else frozenset()
+        if name in BOILERPLATE or hints & FOREIGN:
+            boilerplate = 2
+        elif hints and not own:
+            boilerplate = max(boilerplate, 1)
+        stack.append((name, boilerplate, article or own))
     yield from flush()
 
 
@@ -166,12 +192,13 @@ def main_text(page: str | None) -> str:
     first = _first_pass(found)
     # Second pass: nearest decided neighbours among the blocks that aren't boilerplate by their container.
     near = [i for i, c in enumerate(first) if c is not None and not found[i].boilerplate]
+    sided = {side: [k for k in near if found[k].article == side] or near for side in (True, False)}
     keep = []
     for i, c in enumerate(first):
         if c is None:
-            around = [k for k in near if found[k].article == found[i].article] or near
-            before = max((k for k in around if k < i), default=None)
-            after = min((k for k in around if k > i), default=None)
+            around = sided[found[i].article]
+            place = bisect_left(around, i)
+            before, after = around[place - 1] if place else None, around[place] if place < len(around) else None
             if before is None or after is None:
                 side = before if after is None else after
                 c = True if side is None else first[side]

@@ -270,6 +270,32 @@ def test_html(spark):
     assert main_text("<p>a<b <!-- x") is not None and main_text("<div class='x>y") is not None
 
 
+def test_html_containers_do_not_poison_the_article():
+    for page in ('<div class="content has-sidebar"><article>{}</article></div>', '<div id="header-wrap"><main>{}</main></div>', '<div class="sidebar-left"><div><article>{}</article></div><ul><li>x</ul></div>'):
+        assert main_text(page.format("<p>It is what it is, and that is all of it.</p>")) == "It is what it is, and that is all of it."
+    assert main_text('<article><p>It is what it is.</p></article><div class="comments"><article><p>It is what I say of it.</p></article></div>') == "It is what it is."
+
+
+def test_html_second_pass_equals_a_plain_search():
+    from cataloom.llm import html_text
+
+    draw, long = random.Random(31), "It is the text of the page, and it is long enough to be what all of the readers want to have from it. "
+    for _ in range(60):
+        page = "".join(draw.choice([f"<p>{long}</p>", "<p>Aha.</p>", "<article><p>So.</p></article>", f"<div><a href=x>{'link ' * 9}</a></div>", "<nav>n</nav>", f"<article>{long}</article>"]) for _ in range(draw.randint(1, 14)))
+        found = list(html_text.blocks(page))
+        first = html_text._first_pass(found)
+        want = []
+        for i, (b, c) in enumerate(zip(found, first)):
+            if c is None:
+                decided = [k for k in range(len(found)) if first[k] is not None and not found[k].boilerplate]
+                decided = [k for k in decided if found[k].article == b.article] or decided
+                nearest = sorted(decided, key=lambda k: (abs(k - i), k > i))
+                c = first[nearest[0]] if nearest else True
+            if c:
+                want.append(b.text)
+        assert main_text(page) == " ".join(want)
+
+
 def test_secrets(spark):
     texts = [f'My token = "{hashlib.sha1(b"x").hexdigest()}" é password:abc; API_KEY: abcdef', "AKIA" + "A" * 16 + " akia AKIAB", "token=token: abcdefgh", "é" + "0123456789abcdef" * 2, prose(1), "thiscouldbeanordinarylongword and another_ordinary_name_in_code"]
     rows = table(spark, [(100 + i, t, "s") for i, t in enumerate(texts)] + ODD)
