@@ -76,7 +76,7 @@ def labelled_samples(spark: SparkSession, docs: DataFrame, max_docs: int = 2000,
     chosen = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id", "left_semi")  # bounded by max_docs
     words = F.regexp_extract_all("text", F.lit(r"\b([A-Za-z][a-z]{3,})\b"), F.lit(1))
-    named = sample.select(F.slice(words, 1, 300).alias("w"))
+    named = sample.select(words.alias("w"))
     joined = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - 3)), lambda i: F.concat_ws("_", F.lower(F.get("w", i)), F.lower(F.get("w", i + 1)), F.lower(F.get("w", i + 2))))
     camel = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - 3)), lambda i: F.concat(F.lower(F.get("w", i)), F.initcap(F.get("w", i + 1)), F.initcap(F.get("w", i + 2))))
     ordinary = named.where(F.size("w") > 2).select(F.explode(F.concat("w", joined, camel)).alias("token"), F.lit(False).alias("random"))
