@@ -18,6 +18,19 @@ def html_clean(html: Column) -> Column:
     return kept_lines(t)
 
 
+def page_text(html: Column) -> Column:
+    """A fetched page's text, one text node a line: noise elements go with all they hold, then comments and tags.
+
+    Reads and keeps a fixed number of characters, as the feature asks.  Of character references the usual six are decoded."""
+    t = F.substring(F.coalesce(html, F.lit("")), 1, K.PAGE_CHARS_READ)
+    for tag in K.PAGE_NOISE:
+        t = F.regexp_replace(t, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "\n")
+    t = F.regexp_replace(F.regexp_replace(t, r"(?s)<!--.*?-->", "\n"), r"(?s)<[^>]+>", "\n")
+    for entity, char in (("&nbsp;", "\u00a0"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        t = F.replace(t, F.lit(entity), F.lit(char))
+    return F.substring(kept_lines(t), 1, K.PAGE_CHARS_KEPT)
+
+
 def kept_lines(text: Column) -> Column:
     """Lines trimmed, blank ones dropped."""
     lines = F.transform(F.split(text, r"\r\n|[\n\r\x0B\f\x1c-\x1e\x85  ]"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
@@ -78,9 +91,11 @@ def host(url: Column) -> Column:
     return F.lower(F.try_parse_url(url, F.lit("HOST")))
 
 
-def allowed_host(name: Column, blocked: tuple[str, ...] = tuple(K.BLOCKED_DOMAINS)) -> Column:
-    """Neither missing nor a blocked domain or below one."""
-    return name.isNotNull() & ~F.exists(F.array(*map(F.lit, blocked)), lambda d: (name == d) | name.endswith(F.concat(F.lit("."), d)))
+def allowed_host(name: Column, blocked: tuple[str, ...] = tuple(K.BLOCKED_DOMAINS), allowed: tuple[str, ...] = ()) -> Column:
+    """Neither missing nor a blocked domain or below one; where there is a list of allowed domains, one of them or below one."""
+    among = lambda domains: F.exists(F.array(*map(F.lit, domains)), lambda d: (name == d) | name.endswith(F.concat(F.lit("."), d)))
+    fine = name.isNotNull() & ~among(blocked) if blocked else name.isNotNull()
+    return fine & among(allowed) if allowed else fine
 
 
 def relevant_url(url: Column, maker: Column, part: Column) -> Column:
@@ -107,6 +122,12 @@ def slug(text: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", ""), F.lit("")), F.lit("unknown"))
 
 
+def key_list(text: Column) -> Column:
+    """Keys of a comma-separated setting, without blanks and quotes around them; empty ones go."""
+    keys = F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda k: F.regexp_replace(k, r"^[\s\"']+|[\s\"']+$", ""))
+    return F.filter(keys, lambda k: k != "")
+
+
 def label(name: Column) -> Column:
     """A field's name for display: one unit suffix gone, words apart and capitalised after every non-letter."""
     suffix = "(?i)_(?:" + "|".join(K.LABEL_SUFFIXES) + ")$"

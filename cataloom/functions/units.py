@@ -132,3 +132,23 @@ def normalized_by_value(rows: DataFrame, raw: str = "raw_value", field: str | No
     known = normalized(rows.select(*keys).distinct(), raw, field).select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "value", "unit")
     same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
     return rows.join(known, same).drop(*[f"_key{i}" for i in range(len(keys))])
+
+
+def normalized_or_given(rows: DataFrame, raw: str, given_value: str, given_unit: str, field: str) -> DataFrame:
+    """:func:`normalized_by_value`, but a value and unit given beside the raw text stay: only the unit's symbol is made uniform
+    and no length is converted.  They count when both aren't blank and the value isn't just the raw text with its unit.
+    An empty raw text keeps what is given, an empty text for no value."""
+    text = F.trim(F.coalesce(F.col(raw), F.lit("")))
+    value, unit = F.trim(F.col(given_value)), F.trim(F.col(given_unit))
+    with_unit = F.exists(F.array(*map(F.lit, K.GIVEN_UNIT_ENDINGS)), lambda u: value.endswith(u))
+    given = (F.coalesce(value, F.lit("")) != "") & (F.coalesce(unit, F.lit("")) != "") & ((value != text) | ~with_unit)
+    x = normalized_by_value(rows, raw, field)
+    words = F.filter(F.split(F.lower(unit), r"\s+"), lambda w: ~w.isin(*K.NOISE_WORDS) & (w != ""))
+    x = resolved(x.withColumn("_asked", F.coalesce(F.array_join(words, " "), F.lit(""))), "_asked")
+    angular = F.col(field).rlike(K.ANGULAR_FIELDS) & F.col("_asked").isin(*K.ANGULAR_TOKENS)
+    symbol = F.when(angular, F.lit("deg")).otherwise(F.coalesce(F.try_element_at(literal_map(SYMBOLS | K.GIVEN_LENGTHS), F.col("canonical")), unit))
+    x = x.withColumns({
+        "value": F.when(given, value).when(text == "", F.coalesce(F.col(given_value), F.lit(""))).otherwise(F.col("value")),
+        "unit": F.when(given, symbol).when(text == "", F.col(given_unit)).otherwise(F.col("unit")),
+    })
+    return x.select(*rows.columns, "value", "unit")

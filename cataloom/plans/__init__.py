@@ -1 +1,2 @@
 
+from cataloom.plans import intake  # registers its queries

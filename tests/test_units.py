@@ -30,3 +30,11 @@ def test_angular_fields_and_null(spark):
     rows = spark.createDataFrame([("90 deg", "rotation_angle"), ("90-180 deg", "rotation"), ("45 deg", "valve_stroke"), (None, "x")], "raw_value string, f string")
     got = {(r.raw_value, r.f): (r.value, r.unit) for r in units.normalized(rows, field="f").collect()}
     assert got == {("90 deg", "rotation_angle"): ("90", "deg"), ("90-180 deg", "rotation"): ("90-180", "deg"), ("45 deg", "valve_stroke"): ("45", "deg"), (None, "x"): ("", None)}
+
+
+def test_given_values_stay(spark):
+    rows = [("37 to 102 °F (2.8 to 38.9 °C)", "37 to 102", "°F", "t"), ("120 VAC 60Hz", "120", "VAC", "v"), ("2 feet", "2", "feet", "l"), ("2 ft", "2 ft", "ft", "l"), ("45 deg", "45", "deg", "rotation"),
+            ("", "x", "bar", "p"), (None, None, None, None), ("10 mm", " ", "mm", "l"), ("5 qqq", "5", "qqq", "z")]
+    frame = spark.createDataFrame(rows, "raw_value string, nv string, nu string, f string")
+    got = {r.raw_value: (r.value, r.unit) for r in units.normalized_or_given(frame, "raw_value", "nv", "nu", "f").collect()}
+    assert got == {rows[0][0]: ("37 to 102", "°F"), rows[1][0]: ("120", "V"), "2 feet": ("2", "ft"), "2 ft": ("24", "in"), "45 deg": ("45", "deg"), "": ("x", "bar"), None: ("", None), "10 mm": ("10", "mm"), "5 qqq": ("5", "qqq")}
