@@ -46,3 +46,13 @@ n as (select item_id, count(*) as n_item, any_value(len(w)) >= 5 as long from it
 met as (select doc_id, item_id, count(*) as n_shared from sh join it using (s) join n using (item_id) where long group by 1, 2
   union all select doc_id, item_id, 1 from sh_w d join it_w i on contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(i.w, ' ') || ' ') join n using (item_id) where not long)
 select doc_id, item_id, cast(n_item as bigint) as n_item, cast(n_shared as bigint) as n_shared, n_shared / n_item as containment from met join n using (item_id) where 100 * n_shared >= 80 * n_item"""
+
+_TERMS = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP13 = f"""
+with d as (select doc_id, {_TERMS} as terms from documents),
+s as (select count(*) as n_docs, cast(coalesce(sum(len(terms)), 0) as bigint) as n_terms from d where len(terms) > 0),
+q as (select item_id, term, count(*) as times from (select item_id, unnest({_TERMS}) as term from benchmark) group by 1, 2),
+p as (select doc_id, n, term, count(*) as tf from (select doc_id, len(terms) as n, unnest(terms) as term from d) where term in (select term from q) group by 1, 2, 3),
+w as (select term, cast(floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)::double)) as bigint) as w from p cross join s group by term, n_docs),
+hits as (select item_id, doc_id, cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms)))) as bigint) as score from q join p using (term) join w using (term) cross join s group by 1, 2)
+select item_id, cast(rank as int) as rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from hits where score > 0) where rank <= 10"""

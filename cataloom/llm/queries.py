@@ -102,6 +102,24 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cataloom.llm.fingerprints import fingerprinted
+
+    return fingerprinted(_table(spark, sf_dir, "documents")).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cataloom.llm.resampling import resampled
+
+    return resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cataloom.llm.lexical import ranked
+
+    return ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -113,6 +131,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_mixing": op9_mixing,
     "op10_decontaminate": op10_decontaminate,
+    "op11_fingerprints": op11_fingerprints,
+    "op12_resampling": op12_resampling,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -120,4 +141,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": oracles.OP2,
     "op4_embedding_dedup": oracles.OP4,
     "op10_decontaminate": oracles.OP10,
+    "op13_lexical_search": oracles.OP13,
 }
