@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from cataloom.functions import constants as K
+from cataloom.functions.markup import text_nodes
 
 
 def html_clean(html: Column) -> Column:
@@ -21,14 +22,9 @@ def html_clean(html: Column) -> Column:
 def page_text(html: Column) -> Column:
     """A fetched page's text, one text node a line: noise elements go with all they hold, then comments and tags.
 
-    Reads and keeps a fixed number of characters, as the feature asks.  Of character references the usual six are decoded."""
-    t = F.substring(F.coalesce(html, F.lit("")), 1, K.PAGE_CHARS_READ)
-    for tag in K.PAGE_NOISE:
-        t = F.regexp_replace(t, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "\n")
-    t = F.regexp_replace(F.regexp_replace(t, r"(?s)<!--.*?-->", "\n"), r"(?s)<[^>]+>", "\n")
-    for entity, char in (("&nbsp;", "\u00a0"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(char))
-    return F.substring(kept_lines(t), 1, K.PAGE_CHARS_KEPT)
+    Reads and keeps a fixed number of characters, as the feature asks; null gives an empty text."""
+    page = F.substring(F.coalesce(html, F.lit("")), 1, K.PAGE_CHARS_READ)
+    return F.substring(kept_lines(F.array_join(text_nodes(page), "\n")), 1, K.PAGE_CHARS_KEPT)
 
 
 def kept_lines(text: Column) -> Column:

@@ -76,24 +76,32 @@ def lineage(records: DataFrame, attributes: DataFrame, fields: list[str]) -> Dat
 
 def delivery(records: DataFrame) -> DataFrame:
     """The 252 delivery columns in order.  ``records``: manufacturer, mfg_part_number, category, sku_id and attrs, an array of
-    (field_name, value, unit, source_url) in order."""
-    # Labels once per attribute: fifty columns and a text refer to them.
-    records = records.withColumn("labels", F.transform("attrs", lambda a: label(a["field_name"])))
-    attrs, none = F.col("attrs"), F.lit("")
-    maker, part, category = F.col("manufacturer"), F.col("mfg_part_number"), F.col("category")
-    urls = F.slice(F.array_distinct(F.filter(F.transform(attrs, lambda a: a["source_url"]), lambda u: u.rlike("^https?://"))), 1, 5)
+    (field_name, value, unit, source_url) in order.
+
+    White space around values, units and URLs goes.  A missing maker, part or category is an empty text; a missing sku is maker and
+    part joined by a dash.  A slot takes the first attribute of its names that has a value, else the last of them."""
+    none, space = F.lit(""), F.lit(" \t\n\r\x0b\x0c")
+    plain = lambda x: F.coalesce(F.btrim(x, space), none)
+    # Names, labels and values once per attribute: fifty columns and a text refer to them.
+    told = F.transform("attrs", lambda a: F.struct(F.lower(plain(a["field_name"])).alias("name"), F.coalesce(label(a["field_name"]), none).alias("label"), plain(a["value"]).alias("value"), plain(a["unit"]).alias("unit"), plain(a["source_url"]).alias("url")))
+    records = records.withColumns({"told": told, **{c: F.coalesce(c, none) for c in ("manufacturer", "mfg_part_number", "category", "sku_id")}})
+    attrs, maker, part, category = F.col("told"), F.col("manufacturer"), F.col("mfg_part_number"), F.col("category")
+    urls = F.slice(F.array_distinct(F.filter(F.transform(attrs, lambda a: a["url"]), lambda u: u.rlike("^https?://"))), 1, 5)
     # Attributes without a name or a value have no part in the description.
-    said = F.zip_with(attrs, "labels", lambda a, name: F.when((F.coalesce(name, none) != "") & (F.trim(F.coalesce(a["value"], none)) != ""), F.trim(F.concat(name, F.lit(": "), F.trim(a["value"]), F.lit(" "), F.trim(F.coalesce(a["unit"], none))))))
-    shown = F.filter(said, lambda x: x.isNotNull())
+    named = F.filter(attrs, lambda a: (a["label"] != "") & (a["value"] != ""))
+    shown = F.transform(named, lambda a: F.trim(F.concat(a["label"], F.lit(": "), a["value"], F.lit(" "), a["unit"])))
     columns = {
-        "SKU - MY_PART_NUMBER": F.col("sku_id"), "MANUFACTURER_NAME": maker, "MANUFACTURER_PART_NUMBER": part, "Mfg_Part_Num": part, "PART_NUMBER": part,
-        "Product Name": F.concat_ws(" ", maker, part), "Classpath": F.concat(F.lit("Industrial & Commercial > "), category), "BRAND": maker, "CATEGORY": category, "STATUS": F.lit("Active"),
-        "SHORT_DESC": F.concat_ws(" ", maker, part, category, F.lit("Component")), "MOBILE_DESC": F.concat_ws(", ", maker, category, part), "LONG_DESC1": F.array_join(shown, "; "), "MFR URL": F.get(urls, 0),
+        "SKU - MY_PART_NUMBER": F.coalesce(F.nullif(F.col("sku_id"), none), F.btrim(F.concat(maker, F.lit("-"), part), F.lit("-"))),
+        "MANUFACTURER_NAME": maker, "MANUFACTURER_PART_NUMBER": part, "Mfg_Part_Num": part, "PART_NUMBER": part,
+        "Product Name": F.btrim(F.concat(maker, F.lit(" "), part), space), "Classpath": F.concat(F.lit("Industrial & Commercial > "), category), "BRAND": maker, "CATEGORY": category, "STATUS": F.lit("Active"),
+        "SHORT_DESC": F.btrim(F.concat(maker, F.lit(" "), part, F.lit(" "), category, F.lit(" Component")), space), "MOBILE_DESC": F.btrim(F.concat(maker, F.lit(", "), category, F.lit(", "), part), F.lit(", ")),
+        "LONG_DESC1": F.array_join(shown, "; "), "MFR URL": F.get(urls, 0),
     }
     columns |= {f"Ref URL {i + 1}": F.get(urls, i) for i in range(5)}
+
     def slot(names: list[str]) -> Column:
-        """The first attribute of these names that has a value."""
-        return F.get(F.filter(attrs, lambda a: F.lower(F.trim(a["field_name"])).isin(*names) & (F.coalesce(a["value"], none) != "")), 0)
+        mine = F.filter(attrs, lambda a: a["name"].isin(*names))
+        return F.coalesce(F.get(F.filter(mine, lambda a: a["value"] != ""), 0), F.try_element_at(mine, F.lit(-1)))
 
     for name, unit_name, default, synonyms in K.SLOTS:
         filled = slot(list(synonyms))
@@ -102,7 +110,7 @@ def delivery(records: DataFrame) -> DataFrame:
             columns[unit_name] = F.when(filled.isNotNull(), F.coalesce(F.nullif(filled["unit"], none), F.lit(default)))
     for n in range(K.TRIPLETS):
         one = F.get(attrs, n)
-        columns |= {f"ATTRIBUTE_LABEL {n + 1}": F.get("labels", n), f"ATTRIBUTE_VALUE {n + 1}": one["value"], f"ATTRIBUTE_UOM {n + 1}": one["unit"]}
+        columns |= {f"ATTRIBUTE_LABEL {n + 1}": one["label"], f"ATTRIBUTE_VALUE {n + 1}": one["value"], f"ATTRIBUTE_UOM {n + 1}": one["unit"]}
     order = [*K.CORE_COLUMNS, *[f"ATTRIBUTE_{x} {n + 1}" for n in range(K.TRIPLETS) for x in ("LABEL", "VALUE", "UOM")]]
     return records.select("row_id", *[F.coalesce(columns.get(c, none), none).alias(c) for c in order])
 

@@ -45,14 +45,23 @@ def contiguous_shards(rows: DataFrame, position: str, n: int, k: int) -> DataFra
     return rows.withColumn("shard", F.floor((F.col(position) - 1) / max(-(-n // k), 1)).cast("long"))
 
 
-def sliding_load(calls: DataFrame, ts: str, tokens: Column, within: str | None = None, seconds: int = 60) -> DataFrame:
+def sliding_load(calls: DataFrame, ts: str, tokens: Column, within: str | None = None, seconds: int = 60, span: int = 3600) -> DataFrame:
     """Adds calls and tokens of the ``seconds`` before each call, itself included; the far end is exclusive.
 
-    With ``within`` each key has its own window; without it one task orders all calls, as the measure asks."""
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    frame = (W.partitionBy(within) if within else W.partitionBy(F.lit(0))).orderBy("_us").rangeBetween(-(seconds * 1_000_000 - 1), 0)
+    Time is cut into ranges of ``span`` seconds, and calls of the last ``seconds`` before a range are also given to it, so no task orders
+    more than a range's calls.  With ``within`` each key has its own window."""
+    if span < seconds:
+        raise ValueError("a range must be at least as long as the window")
+    micros, width, reach = F.unix_micros(F.col(ts).cast("timestamp")), span * 1_000_000, seconds * 1_000_000
     x = calls.withColumns({"_us": micros, "_tokens": tokens})
-    return x.withColumns({"rpm": F.count("*").over(frame), "tpm": F.sum("_tokens").over(frame)}).drop("_us", "_tokens")
+    own = F.floor(F.col("_us") / width)
+    late = (own + 1) * width - F.col("_us") < reach
+    shared = F.struct((own + 1).alias("_range"), F.lit(True).alias("_guard"))
+    mine = F.struct(own.alias("_range"), F.lit(False).alias("_guard"))
+    dealt = x.select("*", F.inline(F.when(late, F.array(mine, shared)).otherwise(F.array(mine))))
+    frame = W.partitionBy(*([within] if within else []), "_range").orderBy("_us").rangeBetween(-(reach - 1), 0)
+    loaded = dealt.withColumns({"rpm": F.count("*").over(frame), "tpm": F.sum("_tokens").over(frame)})
+    return loaded.where("not _guard").drop("_us", "_tokens", "_range", "_guard")
 
 
 def backoff(calls: DataFrame, order: list[str], failed: Column, within: str, base: float = 2.0) -> DataFrame:

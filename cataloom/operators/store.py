@@ -10,11 +10,24 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder below the session's ``spark.checkpoint.dir``, which all executors share; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="cataloom-")
+    """A new folder below the session's ``spark.checkpoint.dir``, which all executors share; where that is unset, a temporary one in
+    local mode, and an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="cataloom-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/cataloom/{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` to a new table in the shared folder and returns a DataFrame that reads it, so that later plans start from there."""
+    path = f"{work_folder(df.sparkSession)}-{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def probe(rows: DataFrame, cache: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Rows whose key the cache holds, and the rest."""
     keys = cache.select(key)
@@ -48,7 +61,9 @@ def decoded(checkpoints: DataFrame, schema: str, column: str = "record_json") ->
 
 
 class Table:
-    """A Parquet table of numbered versions under one folder; a pointer file names the current one, so a reader never sees a half-written state."""
+    """A Parquet table of numbered versions under one folder; the last one that was written to its end is current, so a reader never sees a half-written state.
+
+    One writer at a time."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")

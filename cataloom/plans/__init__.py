@@ -1,2 +1,2 @@
 
-from cataloom.plans import intake  # registers its queries
+from cataloom.plans import intake, items  # registers their queries

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cataloom.functions import constants as K, rules, text as T, units
-from cataloom.operators import attributes as A, metrics as M, rows as R, store as S
+from cataloom.operators import attributes as A, metrics as M, pages as P, rows as R, store as S
 from cataloom.plans.fixtures import CATALOG_SQL, COMPETING_SQL, catalog, competing, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -269,11 +269,17 @@ def resume_union(spark: SparkSession, d: str) -> DataFrame:
     return done.select("row_id", F.lit("restored").alias("origin")).unionByName(todo.select("row_id", F.lit("new").alias("origin")))
 
 
-@query("select page_id, case when page_id % 2 = 0 then length(url) else 0 end as cached_chars from pages")
+_CACHED = "select page_id, case page_id % 5 when 0 then ' ' || url when 1 then url || '  ' when 2 then 'http://host.example/' || (page_id % 7) else url end as url from pages"
+
+
+@query(f"""with p as ({_CACHED}), c as (select trim(url) as url, max(page_id) as last from p where page_id % 3 = 0 group by 1)
+select page_id, coalesce(last, -1) as cached from p left join c on c.url = trim(p.url)""")
 def scrape_cache_join(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "pages").withColumn("url_hash", F.md5(F.trim("url").cast("binary")))
-    cache = pages.where("page_id % 2 = 0").select("page_id", "url_hash", "url").withColumnsRenamed({"page_id": "p", "url": "text"})
-    return pages.join(cache, (pages["url_hash"] == cache["url_hash"]) & (pages["page_id"] == cache["p"]), "left").select("page_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("cached_chars"))
+    """Pages and what the cache has for their URL, found by its hash alone."""
+    url = "case page_id % 5 when 0 then concat(' ', url) when 1 then concat(url, '  ') when 2 then concat('http://host.example/', page_id % 7) else url end"
+    pages = table(spark, d, "pages").selectExpr("page_id", f"{url} as url").withColumn("url_hash", P.url_hash(F.col("url")))
+    cache = pages.where("page_id % 3 = 0").groupBy("url_hash").agg(F.max("page_id").alias("last"))
+    return pages.join(cache, "url_hash", "left").select("page_id", F.coalesce("last", F.lit(-1)).cast("long").alias("cached"))
 
 
 @query("select c_custkey as k, case when c_custkey % 2 = 0 then 'new' else 'old' end as v from customer union all select c_custkey + 1000000, 'new' from customer where c_custkey % 2 = 0")
@@ -310,14 +316,14 @@ def merge_precedence(spark: SparkSession, d: str) -> DataFrame:
     return A.merged_by_stage(side("row_id % 2 = 0", "rule", low), side("row_id % 3 = 0", "cache", F.lit(0.9)), side("row_id % 5 = 0", "small", F.lit(0.9)), side("row_id % 11 = 0", "large", F.lit(0.95))).select("row_id", "field_name", "value")
 
 
-_ATTR = f"{_LONG}, attr as (select row_id, category, pos, field_name, case when field_name = 'voltage' and row_id % 10 = 0 then '-' || normalized_value when field_name = 'grit' and row_id % 15 = 0 then 'fine' else normalized_value end as normalized_value, unit, cast(case when row_id % 6 = 0 then 0.5 else 0.9 end as double) as confidence from long)"
+_ATTR = f"{_LONG}, attr as (select row_id, category, pos, field_name, case when field_name = 'voltage' and row_id % 10 = 0 then '-' || normalized_value when field_name = 'grit' and row_id % 15 = 0 then 'fine' else normalized_value end as normalized_value, unit, cast(case when (row_id + pos) % 6 = 0 then 0.5 when pos % 2 = 0 then 0.75 else 0.95 end as double) as confidence from long)"
 _FLAG = "case when field_name = 'voltage' and starts_with(normalized_value, '-') then 'INVALID_VOLTAGE_NEGATIVE: ' || normalized_value when field_name = 'grit' and not regexp_matches(normalized_value, '^P?[0-9]{2,4}$') then 'INVALID_GRIT_FORMAT: ' || normalized_value end"
 
 
 def _attributes(spark: SparkSession, d: str) -> DataFrame:
     x = rules.extract_long(catalog(spark, d))
     value = F.when((F.col("field_name") == "voltage") & (F.col("row_id") % 10 == 0), F.concat(F.lit("-"), "normalized_value")).when((F.col("field_name") == "grit") & (F.col("row_id") % 15 == 0), F.lit("fine")).otherwise(F.col("normalized_value"))
-    return x.withColumns({"normalized_value": value, "raw_value": value, "confidence": F.when(F.col("row_id") % 6 == 0, 0.5).otherwise(0.9)})
+    return x.withColumns({"normalized_value": value, "raw_value": value, "confidence": F.when((F.col("row_id") + F.col("pos")) % 6 == 0, 0.5).when(F.col("pos") % 2 == 0, 0.75).otherwise(0.95)})
 
 
 @query(f"{_ATTR} select row_id, field_name, {_FLAG} as flag from attr where {_FLAG} is not null")
@@ -327,7 +333,7 @@ def validation_flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 _QUALITY = f"""{_ATTR}, cov as (select row_id, cast({_COVER} as double) as completeness from wide), q as (
-select w.row_id, c.completeness, coalesce(max(a.confidence), 0) as overall_confidence, coalesce(string_agg({_FLAG}, '; ' order by {_FLAG}), '') as flags from wide w join cov c using (row_id) left join attr a using (row_id) group by 1, 2),
+select w.row_id, c.completeness, round(coalesce(avg(a.confidence), 0), 2) as overall_confidence, coalesce(string_agg({_FLAG}, '; ' order by {_FLAG}), '') as flags from wide w join cov c using (row_id) left join attr a using (row_id) group by 1, 2),
 judged as (select *, flags = '' as validity, case when flags = '' and completeness >= 0.75 and overall_confidence >= 0.8 then 'PROVENANCE_MERGE' else '70B_PENDING' end as status from q)"""
 
 
@@ -496,18 +502,33 @@ def slugs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), T.slug(F.col("p_name")).alias("slug"))
 
 
-@query()
+@query(f"{_GATED} select row_id, 'job-1' as job_id, case when status = 'COMPLETED' then 'success' else 'error' end as status, coverage_ratio as confidence from gated")
 def stream_batch_job(spark: SparkSession, d: str) -> DataFrame:
-    """Three files through the streaming job; the rows of the result table."""
+    """The catalog, a third of it twice, through the streaming job; the rows of the result table."""
+    from cataloom.streaming.jobs import job_results
+
+    return job_results(spark, _job(spark, d))
+
+
+def _job(spark: SparkSession, d: str) -> str:
     from cataloom.streaming.jobs import run_batch_job
 
     folder = S.work_folder(spark)
     rows = catalog(spark, d).select("row_id", "raw_description", "category")
-    for i in range(3):
-        rows.where(F.col("row_id") % 3 == i).write.mode("append").parquet(f"{folder}/in")
-    results, jobs = S.Table(spark, f"{folder}/results"), S.Table(spark, f"{folder}/jobs")
-    run_batch_job(spark, f"{folder}/in", "row_id long, raw_description string, category string", "job-1", results, jobs, f"{folder}/progress", 8).awaitTermination()
-    return results.read()
+    for i in (0, 1, 2, 1):
+        rows.where(F.col("row_id") % 3 == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    run_batch_job(spark, f"{folder}/in", "row_id long, raw_description string, category string", "job-1", folder, f"{folder}/checkpoint", 1).awaitTermination()
+    return folder
+
+
+@query(f"""{_GATED}, x as (select * from gated union all select * from gated where row_id % 3 = 1)
+select 'job-1' as job_id, cast(count(*) as bigint) as completed, cast(count(*) filter (status = 'COMPLETED') as bigint) as succeeded, cast(count(*) filter (status <> 'COMPLETED') as bigint) as failed,
+round(coalesce(avg(coverage_ratio) filter (status = 'COMPLETED'), 0), 4)::double as avg_confidence, cast(4 as bigint) as batches from x""")
+def stream_job_progress(spark: SparkSession, d: str) -> DataFrame:
+    """The job's progress, folded from its batches."""
+    from cataloom.streaming.jobs import job_progress
+
+    return job_progress(spark, _job(spark, d)).drop("created_at", "updated_at")
 
 
 _AFTER = "select *, coalesce(voltage, s) is not null as v, coalesce(power, s) is not null as p, coalesce(dimensions, s) is not null as dim, coalesce(material, s) is not null as mat from (select *, case when row_id % 2 = 0 then 'x' end as s from gated)"
@@ -571,7 +592,30 @@ def depleted_keys(spark: SparkSession, d: str) -> DataFrame:
     return M.depleted_keys(x.where("event_type = 'error'").selectExpr("user_id % 7 as api_key", "event_id as expires"), F.lit(limit))
 
 
-@query()
+# Attributes in order as lists; the columns of a sheet are places in them.
+_SHEET = f"""{_LONG}, a as (select row_id, list(field_name order by pos) as names, list(upper(field_name[1]) || field_name[2:] order by pos) as labels, list(normalized_value order by pos) as vals, list(coalesce(unit, '') order by pos) as uoms,
+list('http://x.example/' || (pos % 3) order by pos) as urls from long group by 1), s as (select w.row_id, w.category, c.manufacturer as maker, c.mfg_part_number as part, names, labels, vals, uoms, list_filter(urls, lambda u, i: list_position(urls, u) = i)[1:5] as urls from wide w join ({CATALOG_SQL}) c using (row_id) left join a using (row_id))"""
+
+
+def _sheet_sql() -> str:
+    cells = {
+        "SKU - MY_PART_NUMBER": "maker || '-' || part", "MANUFACTURER_NAME": "maker", "MANUFACTURER_PART_NUMBER": "part", "Mfg_Part_Num": "part", "PART_NUMBER": "part", "Product Name": "maker || ' ' || part", "Classpath": "'Industrial & Commercial > ' || category",
+        "BRAND": "maker", "CATEGORY": "category", "STATUS": "'Active'", "SHORT_DESC": "maker || ' ' || part || ' ' || category || ' Component'", "MOBILE_DESC": "maker || ', ' || category || ', ' || part", "MFR URL": "urls[1]",
+        "LONG_DESC1": "array_to_string(list_transform(labels, lambda l, i: trim(l || ': ' || vals[i] || ' ' || uoms[i])), '; ')",
+    }
+    cells |= {f"Ref URL {i}": f"urls[{i}]" for i in range(1, 6)}
+    for column, uom, default, names in K.SLOTS:
+        place = f"list_position(list_transform(names, lambda x: x in ({_sql_list(names)})), true)"
+        cells[column] = f"vals[{place}]"
+        if uom:
+            cells[uom] = f"case when {place} > 0 then coalesce(nullif(uoms[{place}], ''), '{default}') end"
+    for k in range(1, K.TRIPLETS + 1):
+        cells |= {f"ATTRIBUTE_LABEL {k}": f"labels[{k}]", f"ATTRIBUTE_VALUE {k}": f"vals[{k}]", f"ATTRIBUTE_UOM {k}": f"uoms[{k}]"}
+    order = [*K.CORE_COLUMNS, *[f"ATTRIBUTE_{x} {n + 1}" for n in range(K.TRIPLETS) for x in ("LABEL", "VALUE", "UOM")]]
+    return f"{_SHEET} select row_id, " + ", ".join(f"""coalesce({cells.get(c, "''")}, '') as "{c}\"""" for c in order) + " from s"
+
+
+@query(_sheet_sql())
 def delivery_export(spark: SparkSession, d: str) -> DataFrame:
     """All 252 delivery columns."""
     return _delivery(spark, d)

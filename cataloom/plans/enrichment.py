@@ -1,7 +1,7 @@
 """The whole enrichment as one plan: rules, cache, small model, gate, large model, gate.
 
 Models are outside: their answers come as tables (row_id, response), or from an ``Extractor`` that is called per
-batch of rows.  Each costly step only sees the rows that the cheaper ones left open.
+batch of rows, and whose failures stay with the rows that cause them.  Each costly step only sees the rows that the cheaper ones left open.
 """
 
 from __future__ import annotations
@@ -14,27 +14,61 @@ from pyspark.sql import DataFrame, functions as F
 
 from cataloom.functions import rules, text as T
 from cataloom.operators import attributes as A
+from cataloom.operators.answers import with_error
 from cataloom.operators.store import probe
 
 
 class Extractor(Protocol):
-    """Answers a batch of prompts; a failed call answers an empty text."""
+    """Answers a batch of prompts, one text each; may raise, for the whole batch or because of one prompt in it."""
 
     def extract(self, prompts: list[str]) -> list[str]: ...
 
 
+def _asked(extractor: Extractor, prompts: list[str]) -> list[tuple[str, str | None, str | None]]:
+    """(answer, class of the error, its message) of every prompt.
+
+    A call that raises, or brings another number of answers than prompts, is halved until the prompts that fail stand alone; one that
+    fails among n costs some 2 log2(n) more calls.
+    """
+    out: list = [None] * len(prompts)
+    todo = [(0, len(prompts))] if prompts else []
+    while todo:
+        low, high = todo.pop()
+        try:
+            answers = list(extractor.extract(prompts[low:high]))
+            if len(answers) != high - low:
+                raise ValueError(f"{len(answers)} answers to {high - low} prompts")
+        except Exception as error:  # noqa: BLE001  an outside service may fail in any way
+            if high - low == 1:
+                out[low] = "", type(error).__name__, str(error)
+            else:
+                middle = (low + high) // 2
+                todo += [(middle, high), (low, middle)]
+        else:
+            out[low:high] = [(a, None, None) for a in answers]
+    return out
+
+
 def answered(rows: DataFrame, extractor: Extractor, prompt: str = "prompt") -> DataFrame:
-    """(row_id, response) for every row's prompt; a batch whose call raises answers nothing, and other batches go on."""
+    """(row_id, response) for every row's prompt; a row whose own prompt fails answers nothing, and others go on."""
+    return answered_or_failed(rows, extractor, prompt).drop("errors")
+
+
+def answered_or_failed(rows: DataFrame, extractor: Extractor, prompt: str = "prompt", stage: str = "LLM") -> DataFrame:
+    """row_id, response and errors (type, message, stage) for every row's prompt.
+
+    A row whose own prompt fails has an empty response and one error; all others are answered, whatever batch they share with it.
+    A null prompt is an empty one."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            try:
-                answers = extractor.extract(list(frame[prompt]))
-            except Exception:  # noqa: BLE001  an outside service may fail in any way; its rows stay open
-                answers = [""] * len(frame)
-            yield pd.DataFrame({"row_id": frame["row_id"], "response": answers})
+            found = _asked(extractor, ["" if p is None else p for p in frame[prompt]])
+            yield pd.DataFrame({"row_id": frame["row_id"], "response": [f[0] for f in found], "_type": [f[1] for f in found], "_message": [f[2] for f in found]})
 
-    return rows.select("row_id", prompt).mapInPandas(run, "row_id long, response string")
+    key = rows.schema["row_id"].dataType.simpleString()
+    out = rows.select("row_id", prompt).mapInPandas(run, f"row_id {key}, response string, _type string, _message string")
+    none = F.array().cast("array<struct<type:string,message:string,stage:string>>")
+    return out.select("row_id", "response", F.when(F.col("_type").isNull(), none).otherwise(with_error(none, F.col("_type"), F.col("_message"), F.lit(stage))).alias("errors"))
 
 
 def _told(responses: DataFrame, source: str) -> DataFrame:

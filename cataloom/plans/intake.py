@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cataloom.functions import text as T
+from cataloom.functions import constants as K, text as T
 from cataloom.operators import answers as N, intake as I
 from cataloom.plans.catalogue import query
 from cataloom.plans.fixtures import CATALOG_SQL, catalog, table
@@ -32,12 +32,13 @@ def positional_row_ids(spark: SparkSession, d: str) -> DataFrame:
     return I.positional_ids(table(spark, d, "orders").selectExpr("o_orderkey as pos", "o_orderpriority as file"), "file", "pos")
 
 
-_PAGE_SQL = """with a as (select page_id, substr(coalesce(html, ''), 1, 500000) as t from pages),
-b as (select page_id, regexp_replace(regexp_replace(regexp_replace(t, '(?is)<script\\b[^>]*>.*?</script\\s*>', chr(10), 'g'), '(?is)<style\\b[^>]*>.*?</style\\s*>', chr(10), 'g'), '(?is)<noscript\\b[^>]*>.*?</noscript\\s*>', chr(10), 'g') as t from a),
-c as (select page_id, regexp_replace(regexp_replace(regexp_replace(t, '(?is)<nav\\b[^>]*>.*?</nav\\s*>', chr(10), 'g'), '(?is)<header\\b[^>]*>.*?</header\\s*>', chr(10), 'g'), '(?is)<footer\\b[^>]*>.*?</footer\\s*>', chr(10), 'g') as t from b),
-e as (select page_id, regexp_replace(regexp_replace(t, '(?s)<!--.*?-->', chr(10), 'g'), '(?s)<[^>]+>', chr(10), 'g') as t from c),
-f as (select page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', chr(160)), '&quot;', '"'), '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') as t from e),
-page as (select page_id, substr(array_to_string(list_filter(list_transform(string_split_regex(t, '[\\r\\n]+'), lambda x: trim(x, ' ' || chr(9) || chr(160))), lambda x: x <> ''), chr(10)), 1, 6000) as raw_content from f)"""
+# Every "<" begins a piece: a tag and the text after it.  Tags of noise elements raise and lower a depth; text at depth 0 is kept.
+_PAGE_SQL = f"""with p as (select page_id, unnest(string_split(substr(coalesce(html, ''), 1, 500000), '<')) as piece, generate_subscripts(string_split(substr(coalesce(html, ''), 1, 500000), '<'), 1) as i from pages),
+t as (select *, case when i > 1 then lower(regexp_extract(piece, '^/?([a-zA-Z0-9]+)', 1)) else '' end as tag, case when i = 1 then piece when contains(piece, '>') then substr(piece, strpos(piece, '>') + 1) else '' end as text from p),
+n as (select *, sum(case when tag in ({", ".join(f"'{x}'" for x in K.PAGE_NOISE)}) then case when starts_with(piece, '/') then -1 else 1 end else 0 end) over (partition by page_id order by i) as depth from t),
+l as (select page_id, i, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as j from n where depth = 0),
+d as (select page_id, i, j, trim(replace(replace(replace(replace(line, '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&amp;', '&'), ' ' || chr(9) || chr(13) || chr(160)) as line from l),
+page as (select pages.page_id, substr(coalesce(string_agg(line, chr(10) order by i, j), ''), 1, 6000) as raw_content from pages left join (select * from d where line <> '') d using (page_id) group by 1)"""
 
 
 @query(f"{_PAGE_SQL} select page_id, raw_content from page")

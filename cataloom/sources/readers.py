@@ -11,13 +11,15 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cataloom.operators.delivery import preflight
+from cataloom.sources.delimited import scan
+
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header-keyed text rows; a byte order mark and rows without any cell are dropped."""
-    rows = spark.read.option("header", True).option("multiLine", True).csv(path)
-    rows = rows.toDF(*[c.lstrip("﻿").strip() for c in rows.columns])
+    """Header-keyed text rows; a byte order mark and rows without any cell are dropped.  Files are split, whatever their quotes hold."""
+    rows = scan(spark, path).rows
     return rows.where(F.coalesce(*[F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")) for c in rows.columns]).isNotNull())
 
 
@@ -78,3 +80,13 @@ def read_catalog(spark: SparkSession, path: str, max_rows: int | None = None) ->
     if max_rows is not None and rows.limit(max_rows + 1).count() > max_rows:
         raise ValueError(f"more than {max_rows} rows")
     return rows
+
+
+def preflight_report(spark: SparkSession, path: str, max_bytes: int = 25_000_000) -> DataFrame:
+    """What a delimited upload holds, as one row: bytes, rows, columns, the product fields that its header can fill, and problems (too
+    large, no rows, no column that identifies a product).  Rows are counted by the scan's first pass; cells aren't parsed."""
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+    found = scan(spark, path)
+    fields = preflight(found.names)
+    problems = [p for p, wrong in (("too large", size > max_bytes), ("no rows", found.count == 0), ("no identifying column", not fields)) if wrong]
+    return spark.createDataFrame([(size, found.count, found.names, fields, problems)], "bytes long, n_rows long, columns array<string>, fields array<string>, problems array<string>")
