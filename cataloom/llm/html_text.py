@@ -11,7 +11,7 @@ import html
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -27,18 +27,27 @@ le les des et à une du dans qui ne pas ce il sur au par plus son avec est ou sa
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math object select button canvas audio video".split())
-BOILERPLATE = frozenset("nav header footer aside form menu dialog head".split())
+BOILERPLATE = frozenset("nav header footer aside menu dialog head".split())
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre figure td th".split())
 CLOSES_P = BLOCKS - {"body", "html", "tbody", "td", "tfoot", "th", "thead", "tr", "caption", "option", "legend", "summary"}
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",)}
 # Words in class, id and role attributes that name what isn't the article.
 HINTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent gdpr notice notices alert banner popup modal newsletter subscribe subscription comment comments disqus respond reply replies related recommended share sharing social widget toolbar pagination pager copyright contentinfo complementary search".split())
 
-# Of these, the words for what readers add or pages recommend; an article inside is still not the page's own.
+# Of these, the words for what readers add or pages recommend; an article inside is the page's own only if there is no other.
 FOREIGN = frozenset("comment comments disqus respond reply replies related recommended".split())
 # First words of class names that tell of the page's layout ("has-sidebar"), not of the element.
 LAYOUT = frozenset("has no with without is not".split())
 
+# Words that say nothing of what an element holds: "comment-list" names comments, "share-price" names no sharing.
+NEUTRAL = frozenset("area bar block body box button buttons container content form group holder inner item items left link links list main outer panel post posts primary right row secondary section signup site slot thread top unit wrap wrapper".split())
+
 LONG, STOP_DENSITY, LINK_DENSITY = 80, 0.12, 0.5
+#: Below this share of stop words in all its long blocks, a page is in a language without a list.
+KNOWN_DENSITY = 0.02
+#: Whether a block is boilerplate: by the name of an element around it or a form, which an article or main inside undoes; by a name of FOREIGN,
+#: which one undoes if the page has no other; or for good.
+NAMED, ADDED, ALWAYS = 1, 2, 3
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _STOP = re.compile(r"[>\"']")
 _HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -48,9 +57,10 @@ _HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>
 class _Block:
     text: str
     linked: int
-    boilerplate: bool
+    boilerplate: int
     article: bool
     heading: bool
+    lone: bool = False
 
 
 def _tag_end(page: str, at: int) -> int:
@@ -67,22 +77,23 @@ def _tag_end(page: str, at: int) -> int:
     return len(page)
 
 
-def _hints(attributes: str) -> frozenset[str]:
-    """Words in class, id and role values that name what isn't the article."""
+def _hints(attributes: str, strict: bool) -> frozenset[str]:
+    """Words in class, id and role values that name what isn't the article.
+
+    ``strict``: names of several words count only if none of the words says anything else."""
     out: set[str] = set()
     for found in _HINT.findall(attributes):
         for name in "".join(found).lower().split():
-            words = re.split(r"[^a-z]+", name)
-            if words[0] not in LAYOUT:
+            words = [w for w in re.split(r"[^a-z]+", name) if w]
+            if words and words[0] not in LAYOUT and not (strict and set(words) - HINTS - NEUTRAL):
                 out.update(HINTS.intersection(words))
     return frozenset(out)
 
 
 def blocks(page: str) -> Iterator[_Block]:
     """The page's text blocks in order; markup, comments, scripts and the like are left out."""
-    # Name, boilerplate (0: no, 1: by a name in its attributes, which an article or main inside undoes, 2: for good) and article,
-    # with those of all around it.
-    stack: list[tuple[str, int, bool]] = []
+    # Name, boilerplate, article and lone (an article in what is ADDED), with those of all around it.
+    stack: list[tuple[str, int, bool, bool]] = []
     parts: list[str] = []
     linked, anchors, heading = 0, 0, False
     at, n = 0, len(page)
@@ -91,8 +102,8 @@ def blocks(page: str) -> Iterator[_Block]:
         nonlocal linked, heading
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            _, boilerplate, article = stack[-1] if stack else ("", 0, False)
-            yield _Block(text, linked, boilerplate > 0, article, heading)
+            _, boilerplate, article, lone = stack[-1] if stack else ("", 0, False, False)
+            yield _Block(text, linked, boilerplate, article, heading, lone)
         parts.clear()
         linked, heading = 0, False
 
@@ -154,42 +165,76 @@ def blocks(page: str) -> Iterator[_Block]:
         if name in BLOCKS:
             anchors = 0
         heading = heading or name in {"h1", "h2", "h3", "h4", "h5", "h6"}
-        _, boilerplate, article = stack[-1] if stack else ("", 0, False)
+        _, boilerplate, article, lone = stack[-1] if stack else ("", 0, False, False)
         own = name in {"article", "main"}
-        if own and boilerplate == 1:
-            boilerplate = 0
-        hints = _hints(attributes) if attributes and name not in {"body", "html"} else frozenset()
-        if name in BOILERPLATE or hints & FOREIGN:
-            boilerplate = 2
-        elif hints and not own:
-            boilerplate = max(boilerplate, 1)
-        stack.append((name, boilerplate, article or own))
+        hints = _hints(attributes, article or own or name in TEXTUAL) if attributes and name not in {"body", "html"} else frozenset()
+        if own and not article:
+            boilerplate = 0 if boilerplate == NAMED else boilerplate
+            lone = boilerplate == ADDED
+        if name in BOILERPLATE or (hints & FOREIGN and (own or article)):
+            boilerplate = ALWAYS
+        elif hints & FOREIGN:
+            boilerplate = max(boilerplate, ADDED)
+        elif name == "form" or (hints and not own):
+            boilerplate = max(boilerplate, NAMED)
+            lone = lone and not article
+        stack.append((name, boilerplate, article or own, lone))
     yield from flush()
 
 
+def _words(text: str) -> list[str]:
+    return [w.strip(".,;:!?'\"()[]*#&$%").lower() for w in text.split()]
+
+
+def _length(text: str) -> int:
+    """Code points, ideographs and the like counting three times: they are words rather than letters."""
+    return len(text) + 2 * sum(c >= "\u2e80" for c in text)
+
+
+def _settled(found: list[_Block], names: bool = True) -> list[_Block]:
+    """The blocks with boilerplate decided (0 or not): an article in what is ADDED is the page's own if there is no other.
+
+    Without ``names`` only what is boilerplate for good stays so."""
+    told = any(b.article and not b.boilerplate for b in found)
+    undone = {NAMED, ADDED} if not names else set()
+    return [replace(b, boilerplate=0) if b.boilerplate in undone or (b.lone and b.boilerplate == ADDED and not told) else b for b in found]
+
+
 def _first_pass(found: list[_Block]) -> list[bool | None]:
     """True: content, False: boilerplate, None: open."""
     told = any(b.article and not b.boilerplate for b in found)
+    words = [_words(b.text) for b in found]
+    stops = [sum(w in STOP_WORDS for w in ws) for ws in words]
+    linked = [b.linked > LINK_DENSITY * len(b.text) for b in found]
+    long = [i for i, b in enumerate(found) if not b.boilerplate and not linked[i] and _length(b.text) >= LONG]
+    foreign = sum(stops[i] for i in long) < KNOWN_DENSITY * sum(len(words[i]) for i in long)
     out: list[bool | None] = []
-    for b in found:
-        words = [w.strip(".,;:!?'\"()[]*#&$%").lower() for w in b.text.split()]
-        stops = sum(w in STOP_WORDS for w in words) / len(words)
-        if b.boilerplate or b.linked > LINK_DENSITY * len(b.text):
+    for i, b in enumerate(found):
+        dense = stops[i] >= STOP_DENSITY * len(words[i])
+        if b.boilerplate or linked[i]:
             out.append(False)
-        elif b.article and (b.heading or len(b.text) >= LONG or stops >= STOP_DENSITY):
+        elif b.article and (b.heading or _length(b.text) >= LONG or dense):
             out.append(True)
         elif told and not b.article:
             out.append(False)
-        elif len(b.text) >= LONG:
-            out.append(stops >= STOP_DENSITY)
+        elif _length(b.text) >= LONG:
+            out.append(dense or foreign)
         else:
             out.append(None)
     return out
 
 
 def main_text(page: str | None) -> str:
-    found = list(blocks(page or ""))
+    """The article of a page, its blocks joined by a space; an empty text for a null, empty or articleless page.
+
+    Where names around the text would leave nothing of it, they don't count."""
+    read = list(blocks(page or ""))
+    found = _settled(read)
     first = _first_pass(found)
+    if all(c is False for c in first):
+        again = _settled(read, names=False)
+        if True in (second := _first_pass(again)):
+            found, first = again, second
     # Second pass: nearest decided neighbours among the blocks that aren't boilerplate by their container.
     near = [i for i, c in enumerate(first) if c is not None and not found[i].boilerplate]
     sided = {side: [k for k in near if found[k].article == side] or near for side in (True, False)}
