@@ -3,12 +3,12 @@
 Every rolling word 3-gram of every text is joined by hash to the places where license notices have it.  Hits
 vote for the diagonal (place in the text minus place in the notice); neighbouring diagonals are merged, so a
 word more or less doesn't split a notice, and spans that hold enough of their notice are verified.
-The notices are the constant list below, so the side that is broadcast has a fixed size.
+Templates are a table (label, text); the constant list below is the default.  Only templates of at most BROADCAST_GRAMS 3-grams together are broadcast.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
 
 # Phrases and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -29,8 +29,21 @@ NOTICES = (
     ("mit", "Released under the MIT License."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("apache", "You may not use this file except in compliance with the License. See the License for the specific language governing permissions and limitations under the License."),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("gpl", "either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
+    ("gpl", "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("mit", "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("mpl", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose"),
+    ("zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
 )
 GRAM = 3
+#: Rows of some 60 bytes.
+BROADCAST_GRAMS = 100_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -45,26 +58,38 @@ def _grams(words: str) -> Column:
     return F.transform(places, lambda i: F.struct(i.alias("place"), F.xxhash64(*[F.get(words, i + j) for j in range(GRAM)]).alias("hash")))
 
 
-def notice_spans(words: DataFrame, min_share: float = 0.75, drift: int = 2) -> DataFrame:
-    """(id, label, first, last, share) of the notices in texts; ``words`` has id and words.
+def default_templates(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(NOTICES, "label string, text string")
+
+
+def _template_grams(templates: DataFrame) -> DataFrame:
+    """(notice, label, length, q, hash): every 3-gram of every distinct template, with its place.
+
+    Templates of fewer than three words have none and are never found; null ones are left out."""
+    read = templates.select(F.col("label").cast("string").alias("label"), F.col("text").cast("string").alias("text")).where("label is not null and text is not null").distinct()
+    worded = read.select(F.xxhash64("label", "text").alias("notice"), "label", words_of(F.col("text")).alias("v"))
+    grams = worded.select("notice", "label", F.size("v").alias("length"), F.explode(_grams("v")).alias("g"))
+    return grams.select("notice", "label", "length", F.col("g.place").alias("q"), F.col("g.hash").alias("hash"))
+
+
+def notice_spans(words: DataFrame, templates: DataFrame | None = None, min_share: float = 0.75, drift: int = 2) -> DataFrame:
+    """(key, label, first, last, share) of the notices in texts; ``words`` has key (rows of equal key have equal words) and words.
 
     share is the part of a notice's 3-grams that one band of diagonals holds; spans with ``min_share`` or more and no longer than
-    the notice by half are kept.
+    the notice by half are kept.  Diagonals at most ``drift`` apart are one band.  Words of no text have no spans.
     """
-    spark = words.sparkSession
-    notices = spark.createDataFrame([(n, label, text) for n, (label, text) in enumerate(NOTICES)], "notice int, label string, notice_text string")
-    notices = notices.withColumn("v", words_of(F.col("notice_text")))
-    notices = notices.select("notice", "label", F.size("v").alias("length"), F.explode(_grams("v")).alias("g"))
-    notices = notices.select("notice", "label", "length", F.col("g.place").alias("q"), F.col("g.hash").alias("hash"))
-    grams = words.select("id", "words", F.explode(_grams("words")).alias("g")).select("id", F.col("g.place").alias("p"), F.col("g.hash").alias("hash"))
-    hits = grams.join(F.broadcast(notices), "hash").select("id", "notice", "label", "length", "p", "q", (F.col("p") - F.col("q")).alias("diagonal"))
-    votes = hits.groupBy("id", "notice", "label", "length", "diagonal").agg(F.collect_set("q").alias("qs"), F.min("p").alias("first"), F.max("p").alias("last"))
-    along = W.partitionBy("id", "notice").orderBy("diagonal")
+    notices = _template_grams(default_templates(words.sparkSession) if templates is None else templates)
+    if templates is None or notices.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS:
+        notices = F.broadcast(notices)  # counted
+    grams = words.select("key", F.explode(_grams("words")).alias("g")).select("key", F.col("g.place").alias("p"), F.col("g.hash").alias("hash"))
+    hits = grams.join(notices, "hash").select("key", "notice", "label", "length", "p", "q", (F.col("p") - F.col("q")).alias("diagonal"))
+    votes = hits.groupBy("key", "notice", "label", "length", "diagonal").agg(F.collect_set("q").alias("qs"), F.min("p").alias("first"), F.max("p").alias("last"))
+    along = W.partitionBy("key", "notice").orderBy("diagonal")
     band = F.sum(F.when(F.col("diagonal") - F.lag("diagonal").over(along) <= drift, 0).otherwise(1)).over(along)
-    spans = votes.withColumn("band", band).groupBy("id", "notice", "label", "length", "band").agg(F.array_distinct(F.flatten(F.collect_list("qs"))).alias("qs"), F.min("first").alias("first"), (F.max("last") + GRAM).alias("last"))
+    spans = votes.withColumn("band", band).groupBy("key", "notice", "label", "length", "band").agg(F.array_distinct(F.flatten(F.collect_list("qs"))).alias("qs"), F.min("first").alias("first"), (F.max("last") + GRAM).alias("last"))
     share = F.size("qs") / (F.col("length") - GRAM + 1)
     kept = spans.withColumn("share", share).where((F.col("share") >= min_share) & (F.col("last") - F.col("first") <= 1.5 * F.col("length")))
-    return kept.select("id", "label", "first", "last", "share")
+    return kept.select("key", "label", "first", "last", "share")
 
 
 def _phrase_places(words: str) -> Column:
@@ -86,19 +111,22 @@ def _all(conditions) -> Column:
     return out
 
 
-def licenses(docs: DataFrame, min_share: float = 0.75) -> DataFrame:
+def licenses(docs: DataFrame, templates: DataFrame | None = None, min_share: float = 0.75) -> DataFrame:
     """doc_id, n_words, base (places and labels of the fixed phrases), notices (label, first, last, share) and score.
 
     score: 1 with a phrase, else the greatest share of a notice, else 0.  ``docs`` needs doc_id and text; other columns are left out.
-    Null and empty texts have no words.  One row per input row; rows that repeat a doc_id share their notices.
+    ``templates`` (label, text) default to the constant notices.  Null and empty texts have no words.  One row per input row, each with the
+    notices of its own text, whether or not its doc_id is missing or repeated.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    worded = read.select("doc_id", words_of(F.col("text")).alias("words"), F.col("text").rlike("(?i)general|reserved|cc[^0-9a-z]+by").alias("likely"))
+    # A row's key: its id and text.  Rows that share it have the same notices.
+    key = F.struct(F.xxhash64("doc_id", text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"))
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), key.alias("key"))
+    worded = read.select("doc_id", "key", words_of(F.col("text")).alias("words"), F.col("text").rlike("(?i)general|reserved|cc[^0-9a-z]+by").alias("likely"))
     none = F.array().cast("array<struct<start:bigint,label:string>>")
-    base = worded.select("doc_id", F.size("words").cast("long").alias("n_words"), F.when(F.col("likely"), _phrase_places("words")).otherwise(none).alias("base"))
-    spans = notice_spans(worded.select(F.col("doc_id").alias("id"), "words").where("id is not null"), min_share)
-    notices = spans.groupBy(F.col("id").alias("_id")).agg(F.sort_array(F.collect_set(F.struct("label", "first", "last", "share"))).alias("notices"))
-    out = base.join(notices, base["doc_id"] == F.col("_id"), "left").drop("_id")
+    base = worded.select("doc_id", "key", F.size("words").cast("long").alias("n_words"), F.when(F.col("likely"), _phrase_places("words")).otherwise(none).alias("base"))
+    spans = notice_spans(worded.select("key", "words"), templates, min_share)
+    notices = spans.groupBy(F.col("key").alias("_key")).agg(F.sort_array(F.collect_set(F.struct("label", "first", "last", "share"))).alias("notices"))
+    out = base.join(notices, base["key"] == F.col("_key"), "left").drop("_key", "key")
     best = F.coalesce(F.array_max(F.transform("notices", lambda s: s["share"])), F.lit(0.0))
     return out.withColumn("score", F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.least(best, F.lit(1.0))))
