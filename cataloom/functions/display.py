@@ -36,6 +36,11 @@ def extraction_prompt(maker: Column, part: Column, category: Column, description
     return F.concat(F.lit("Manufacturer: "), maker, F.lit("\nPart number: "), part, F.lit("\nCategory: "), category, F.lit("\nDescription: "), F.coalesce(description, F.lit("")), F.lit("\nContext:\n"), cut)
 
 
+def request_prompt(category: Column, source_url: Column, document: Column) -> Column:
+    """The request for a whole document; the document is cut to its cap."""
+    return F.concat(F.lit("Category: "), category, F.lit("\nSource URL: "), F.coalesce(source_url, F.lit("")), F.lit("\n\nProduct document text:\n"), F.substring(F.coalesce(document, F.lit("")), 1, K.INPUT_CHARS))
+
+
 def repair_prompt(prompt: Column, previous: Column, flags: Column, completeness: Column) -> Column:
     """The request to the large model: the first one with what was found (a map) and what was wrong with it."""
     return F.concat(prompt, F.lit("\nPrevious values: "), F.to_json(previous), F.lit("\nFlags: "), F.array_join(flags, "; "), F.lit("\nCompleteness: "), F.format_number(completeness, 2))
@@ -59,3 +64,21 @@ def currency(x: Column) -> Column:
 
 def tone(confidence: Column) -> Column:
     return F.when(confidence >= 0.9, "high").when(confidence >= 0.7, "medium").otherwise("low")
+
+
+def file_size(x: Column) -> Column:
+    """Bytes in B, KB, MB or GB; one decimal below ten units, none for bytes; a dash for null."""
+    out = None
+    for i, unit in enumerate(("B", "KB", "MB", "GB")):
+        n = x / 1024**i
+        shown = F.concat(F.when((n >= 10) | F.lit(i == 0), F.format_string("%.0f", F.round(n, 0))).otherwise(F.format_string("%.1f", F.round(n, 1))), F.lit(f" {unit}"))
+        small = F.lit(True) if unit == "GB" else n < 1024
+        out = F.when(small, shown) if out is None else out.when(small, shown)
+    return F.when(x.isNull(), F.lit("—")).otherwise(out)
+
+
+def page_buttons(current: Column, total: Column) -> Column:
+    """The page numbers that are offered: all of up to five, else the first three, the last, and the current one with its neighbours."""
+    every = F.sequence(F.lit(1), F.greatest(total, F.lit(1)))
+    wanted = F.array(F.lit(1), F.lit(2), F.lit(3), total, current - 1, current, current + 1)
+    return F.when(total <= 5, every).otherwise(F.filter(every, lambda p: F.array_contains(wanted, p)))

@@ -47,10 +47,13 @@ def extract_wide(rows: DataFrame, text: str = "raw_description") -> DataFrame:
 
 
 def extract_long(rows: DataFrame, key: str = "row_id", text: str = "raw_description") -> DataFrame:
-    """One row per attribute found: key, pos, field_name, normalized_value, unit, confidence, source."""
+    """One row per attribute found: key, pos, field_name, normalized_value, unit, raw_value, evidence_snippet, confidence, source.
+
+    raw_value and evidence_snippet are the text that the rule matched."""
     wide = extract_wide(rows, text)
-    items = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(f).alias("field_name"), F.col(f).alias("normalized_value"), (F.col(u) if u else F.lit(None).cast("string")).alias("unit")) for i, (f, u) in enumerate(FIELDS)])
-    found = wide.select(key, F.inline(F.filter(items, lambda x: x["normalized_value"].isNotNull())))
+    none = F.lit(None).cast("string")
+    items = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(f).alias("field_name"), F.col(f).alias("normalized_value"), (F.col(u) if u else none).alias("unit"), F.when(F.col(f).isNotNull(), _part(F.col(text), f, 0)).alias("raw_value")) for i, (f, u) in enumerate(FIELDS)])
+    found = wide.select(key, F.inline(F.filter(items, lambda x: x["normalized_value"].isNotNull()))).withColumn("evidence_snippet", F.col("raw_value"))
     return found.withColumns({"confidence": F.lit(K.RULE_CONFIDENCE), "source": F.lit("regex")})
 
 

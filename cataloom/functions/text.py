@@ -105,6 +105,18 @@ def retry_seconds(message: Column) -> Column:
     return minutes * 60 + F.coalesce(F.nullif(F.regexp_extract(message, K.RETRY_HINT, 2), F.lit("")).cast("double"), F.lit(0.0))
 
 
+def retry_after(headers: Column, message: Column) -> Column:
+    """Seconds to wait: the retry-after header (a map; its name in any case) if it is a number, else what the message says; null for neither."""
+    told = F.get(F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]) == "retry-after"), F.lit(0))["value"].try_cast("double")
+    return F.coalesce(told, F.when(message.rlike(K.RETRY_HINT), retry_seconds(message)))
+
+
+def clean_lines(text: Column) -> Column:
+    """Lines with runs of white space made one space, trimmed, blank ones dropped."""
+    lines = F.transform(F.split(text, r"\r\n|[\n\r\x0B\f\x1c-\x1e\x85\u2028\u2029]"), lambda x: F.regexp_replace(F.regexp_replace(x, r"(?U)\s+", " "), r"^ | $", ""))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+
+
 def daily_limit(message: Column) -> Column:
     """Whether a message says that the day's tokens are used up."""
     return F.lower(message).contains("tokens per day") | F.lower(message).contains("tpd")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
-def snapshot(transitions: DataFrame) -> DataFrame:
-    """One row of measures over (row_id, status, sources array, cache_hit, tokens, ms); sums count every transition."""
+def snapshot(transitions: DataFrame, elapsed_seconds: float | None = None) -> DataFrame:
+    """One row of measures over (row_id, status, sources array, cache_hit, tokens, ms); sums count every transition.
+
+    With ``elapsed_seconds`` also rows_per_second and elapsed_seconds, which then is at least a millisecond."""
     done = F.col("status") == "COMPLETED"
     has = lambda *s: F.arrays_overlap("sources", F.array(*map(F.lit, s)))
     kind = F.when(has("llm_70b_fallback"), "70b").when(has("llm_8b"), "8b").when(has("enrichment_cache", "scrape_cache") | F.col("cache_hit"), "cache").otherwise("deterministic")
@@ -17,6 +19,9 @@ def snapshot(transitions: DataFrame) -> DataFrame:
         F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("tokens"), F.coalesce(F.sum("ms"), F.lit(0.0)).alias("_ms"),
     )
     some = F.greatest(F.col("completed"), F.lit(1))
+    if elapsed_seconds is not None:
+        seconds = max(0.001, elapsed_seconds)
+        x = x.withColumns({"rows_per_second": F.round(F.col("completed") / seconds, 2), "elapsed_seconds": F.lit(round(seconds, 2))})
     return x.withColumns({"bypass_rate": F.round((F.col("deterministic") + F.col("cache_hits")) / some, 4), "average_ms": F.round(F.col("_ms") / some, 2)}).drop("_ms")
 
 

@@ -48,6 +48,16 @@ def upserted(old: DataFrame, new: DataFrame, keys: Sequence[str], replaced: Sequ
     return changed.select(*[F.coalesce(f"_{c}", c).alias(c) if c in replaced else F.col(c) for c in old.columns]).unionByName(fresh)
 
 
+def enrichment_cached(old: DataFrame, records: DataFrame) -> DataFrame:
+    """The enrichment cache (cache_key, sku_id, attributes_json, created_at) after ``records`` are kept in it.
+
+    Records without attributes are passed over; of a known key only the attributes change.  Of records that share a key the last by created_at counts."""
+    empty = F.coalesce(F.regexp_replace("attributes_json", r"\s", ""), F.lit("")).isin("", "{}", "[]", "null")
+    fresh = records.where(F.col("cache_key").isNotNull() & ~empty).groupBy("cache_key").agg(F.max(F.struct("created_at", "sku_id", "attributes_json")).alias("r"))
+    fresh = fresh.select("cache_key", "r.sku_id", "r.attributes_json", "r.created_at")
+    return upserted(old.select("cache_key", "sku_id", "attributes_json", "created_at"), fresh, ["cache_key"], replaced=["attributes_json"])
+
+
 def resumed(rows: DataFrame, checkpoints: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Completed records as they were stored, and the rows still to do."""
     done = checkpoints.where("status = 'COMPLETED'")

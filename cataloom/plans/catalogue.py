@@ -82,7 +82,7 @@ def rule_extract_wide(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_LONG} select row_id, pos, field_name, normalized_value, unit, cast(0.99 as double) as confidence, 'regex' as source from long")
 def rule_extract_long(spark: SparkSession, d: str) -> DataFrame:
-    return rules.extract_long(catalog(spark, d))
+    return rules.extract_long(catalog(spark, d)).drop("raw_value", "evidence_snippet")
 
 
 @query(f"{_GATED} select row_id, category, coverage_ratio, status from gated")

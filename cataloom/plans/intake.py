@@ -37,7 +37,7 @@ _PAGE_SQL = f"""with p as (select page_id, unnest(string_split(substr(coalesce(h
 t as (select *, case when i > 1 then lower(regexp_extract(piece, '^/?([a-zA-Z0-9]+)', 1)) else '' end as tag, case when i = 1 then piece when contains(piece, '>') then substr(piece, strpos(piece, '>') + 1) else '' end as text from p),
 n as (select *, sum(case when tag in ({", ".join(f"'{x}'" for x in K.PAGE_NOISE)}) then case when starts_with(piece, '/') then -1 else 1 end else 0 end) over (partition by page_id order by i) as depth from t),
 l as (select page_id, i, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as j from n where depth = 0),
-d as (select page_id, i, j, trim(replace(replace(replace(replace(line, '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&amp;', '&'), ' ' || chr(9) || chr(13) || chr(160)) as line from l),
+d as (select page_id, i, j, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(line, '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&quot;', '"'), '&#x27;', chr(39)), '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), ' ' || chr(9) || chr(13) || chr(160)) as line from l),
 page as (select pages.page_id, substr(coalesce(string_agg(line, chr(10) order by i, j), ''), 1, 6000) as raw_content from pages left join (select * from d where line <> '') d using (page_id) group by 1)"""
 
 
