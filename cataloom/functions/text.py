@@ -41,10 +41,13 @@ def sentence_score(sentence: Column, maker: Column, part: Column) -> Column:
     """Specification density: 3 a unit, 2 for a colon, 1 a keyword, 2 each for maker and part number; boilerplate is -5."""
     low = F.lower(sentence)
     words = F.array_distinct(F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
-    names = lambda x: F.when((F.coalesce(x, F.lit("")) != "") & low.contains(F.lower(x)), 2.0).otherwise(0.0)
+    named = lambda x: F.coalesce((F.coalesce(x, F.lit("")) != "") & low.contains(F.lower(x)), F.lit(False))
+    names = F.when(named(maker), 2.0).otherwise(0.0) + F.when(named(part), 2.0).otherwise(0.0)
     score = 3.0 * F.size(F.regexp_extract_all(low, F.lit("(?U)" + K.SPEC_UNITS), F.lit(0)))
-    score = score + F.when(sentence.contains(":"), 2.0).otherwise(0.0) + F.size(F.array_intersect(words, F.array(*map(F.lit, K.SPEC_KEYWORDS)))) + names(maker) + names(part)
-    return F.when(F.length(F.trim(sentence)) < 10, 0.0).when(low.rlike("|".join(K.BOILERPLATE)), -5.0).otherwise(score).cast("double")
+    score = score + F.when(sentence.contains(":"), 2.0).otherwise(0.0) + F.size(F.array_intersect(words, F.array(*map(F.lit, K.SPEC_KEYWORDS)))) + names
+    # Most sentences have nothing to count: one search tells that.
+    countable = low.rlike("(?U)" + K.SPEC_UNITS + "|:|" + "|".join(K.SPEC_KEYWORDS))
+    return F.when(F.length(F.trim(sentence)) < 10, 0.0).when(low.rlike("|".join(K.BOILERPLATE)), -5.0).when(~countable, names).otherwise(score).cast("double")
 
 
 def response_text(raw: Column) -> Column:

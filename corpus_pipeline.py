@@ -55,11 +55,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix)]
 
-#: SQL can express neither the classifier nor the order of draws; tests compare each stage with a brute-force version.
+#: SQL can express neither the classifier nor the order of draws.  tests/llm/test_pipeline_stages.py compares the last four stages with plain versions, and
+#: what toxicity keeps with its model's scores and the planted words.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder.  Null and empty texts go through all of them; repeated rows count each for itself."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
