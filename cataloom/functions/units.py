@@ -6,6 +6,7 @@ over the distinct unit texts that the exact aliases don't know.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -60,38 +61,52 @@ def similarity(a: str, b: str) -> float:
     return 200.0 * row[-1] / (len(a) + len(b)) if a or b else 100.0
 
 
-def _repair(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def best(token: str) -> str | None:
-        scored = [(similarity(token, alias), -i, name) for i, (alias, name) in enumerate(ALIASES.items())]
-        top = max(scored)
-        return top[2] if top[0] >= K.FUZZY_LEAST else None
+def _bound(a: str, counts: Counter, b: str, others: Counter) -> float:
+    """What :func:`similarity` can't exceed: the common part has at most the characters that both texts have."""
+    return 200.0 * min(len(a), len(b), sum((counts & others).values())) / (len(a) + len(b))
+
+
+_ALIAS_COUNTS = [(alias, Counter(alias), name) for alias, name in ALIASES.items()]
+
 
+def closest(token: str) -> str | None:
+    """The unit of the most similar alias from FUZZY_LEAST on, the first of equals; aliases that can't be it are passed over."""
+    best, found, counts = K.FUZZY_LEAST, None, Counter(token)
+    for alias, others, name in _ALIAS_COUNTS:
+        if token and _bound(token, counts, alias, others) >= best:
+            score = similarity(token, alias)
+            if score > best or (found is None and score == best):
+                best, found = score, name
+    return found
+
+
+def _repair(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        yield pd.DataFrame({"token": frame["token"], "repaired": [best(t) for t in frame["token"]]})
+        yield pd.DataFrame({"_unknown": frame["_unknown"], "_repaired": [closest(t) for t in frame["_unknown"]]})
 
 
-def resolved(rows: DataFrame, token: str) -> DataFrame:
-    """Adds ``canonical`` for the unit text in ``token``: exact alias, else the most similar one from 85 on."""
+def resolved(rows: DataFrame, token: str, name: str = "canonical") -> DataFrame:
+    """Adds ``name`` for the unit text in the column ``token``: exact alias, else the most similar one from 85 on."""
     exact = rows.withColumn("_exact", F.try_element_at(literal_map(ALIASES), F.col(token)))
-    unknown = exact.where(F.col("_exact").isNull() & (F.col(token) != "")).select(F.col(token).alias("token")).distinct()
-    repaired = unknown.mapInPandas(_repair, "token string, repaired string")
-    return exact.join(repaired, exact[token] == repaired["token"], "left").withColumn("canonical", F.coalesce("_exact", "repaired")).drop("_exact", "repaired", "token")
+    unknown = exact.where(F.col("_exact").isNull() & (F.col(token) != "")).select(F.col(token).alias("_unknown")).distinct()
+    repaired = unknown.mapInPandas(_repair, "_unknown string, _repaired string")
+    return exact.join(repaired, exact[token] == repaired["_unknown"], "left").withColumn(name, F.coalesce("_exact", "_repaired")).drop("_exact", "_repaired", "_unknown")
 
 
 def normalized(rows: DataFrame, raw: str = "raw_value", field: str | None = None) -> DataFrame:
     """Adds ``value`` and ``unit`` for the text in ``raw``; ``field`` names the column with the attribute's name."""
-    t = F.col("_t")
-    x = rows.withColumn("_t", cleaned(F.coalesce(F.col(raw), F.lit(""))))
+    t = F.col("_unit_text")
+    x = rows.withColumn("_unit_text", cleaned(F.coalesce(F.col(raw), F.lit(""))))
     part = lambda p, g: F.regexp_extract(t, p, g)
-    x = x.withColumns({"_lead": part(LEADING, 1), "_tail": F.trim(part(LEADING, 2))})
-    words = F.filter(F.split(F.lower(F.col("_tail")), r"\s+"), lambda w: ~w.isin(*K.NOISE_WORDS) & (w != ""))
-    x = resolved(x.withColumn("_token", F.array_join(words, " ")), "_token")
-    lead, name = F.col("_lead"), F.col("canonical")
-    angular = F.col(field).rlike(K.ANGULAR_FIELDS) & F.col("_token").isin(*K.ANGULAR_TOKENS) if field else F.lit(False)
+    x = x.withColumns({"_unit_lead": part(LEADING, 1), "_unit_tail": F.trim(part(LEADING, 2))})
+    words = F.filter(F.split(F.lower(F.col("_unit_tail")), r"\s+"), lambda w: ~w.isin(*K.NOISE_WORDS) & (w != ""))
+    x = resolved(x.withColumn("_unit_token", F.array_join(words, " ")), "_unit_token", "_unit_name")
+    lead, name = F.col("_unit_lead"), F.col("_unit_name")
+    angular = F.col(field).rlike(K.ANGULAR_FIELDS) & F.col("_unit_token").isin(*K.ANGULAR_TOKENS) if field else F.lit(False)
     symbol = F.when(angular, F.lit("deg")).otherwise(F.try_element_at(literal_map(SYMBOLS), name))
     known = symbol.isNotNull()
     factor = F.when(angular, F.lit(1.0)).otherwise(F.coalesce(F.try_element_at(literal_map(FACTORS), name), F.lit(1.0)))
-    kept = F.when(F.col("_tail").rlike(PLAUSIBLE), F.col("_tail"))
+    kept = F.when(F.col("_unit_tail").rlike(PLAUSIBLE), F.col("_unit_tail"))
     low, high = number(F.regexp_extract(lead, SPAN, 1)), number(F.regexp_extract(lead, SPAN, 2))
     first, second = F.regexp_extract(lead, PAIR, 1).try_cast("double"), F.regexp_extract(lead, PAIR, 2).try_cast("double")
     whole = F.regexp_extract(lead, MIXED, 1).try_cast("double") + number(F.regexp_extract(lead, MIXED, 2))
@@ -114,24 +129,31 @@ def normalized(rows: DataFrame, raw: str = "raw_value", field: str | None = None
         .when(t.rlike(AREA), pair(plain(part(AREA, 1).try_cast("double")), area))
         .when(lead == "", pair(F.col(raw), none))
         .when(lead.rlike(MIXED), F.when(whole.isNull(), pair(F.col(raw), none)).otherwise(pair(fraction(whole * factor), unit)))
-        .when(lead.rlike(SPAN), F.when(known | F.col("_tail").rlike(PLAUSIBLE) | (F.col("_tail") == ""), pair(span, F.when(F.col("_tail") != "", unit))).otherwise(pair(F.col(raw), none)))
+        .when(lead.rlike(SPAN), F.when(known | F.col("_unit_tail").rlike(PLAUSIBLE) | (F.col("_unit_tail") == ""), pair(span, F.when(F.col("_unit_tail") != "", unit))).otherwise(pair(F.col(raw), none)))
         .when(lead.rlike(PAIR) & as_fraction & (second == 0), pair(F.col(raw), none))
-        .when(lead.rlike(PAIR) & as_fraction, pair(fraction(F.try_divide(first, second) * factor), F.when(F.col("_tail") != "", unit)))
+        .when(lead.rlike(PAIR) & as_fraction, pair(fraction(F.try_divide(first, second) * factor), F.when(F.col("_unit_tail") != "", unit)))
         .when(lead.rlike(PAIR), pair(sizes, unit))
-        .when(lead.rlike(SCALAR) & (known | F.col("_tail").rlike(PLAUSIBLE)), pair(plain(scalar), unit))
-        .when(lead.rlike(SCALAR) & (F.col("_tail") == ""), pair(plain(scalar), none))
+        .when(lead.rlike(SCALAR) & (known | F.col("_unit_tail").rlike(PLAUSIBLE)), pair(plain(scalar), unit))
+        .when(lead.rlike(SCALAR) & (F.col("_unit_tail") == ""), pair(plain(scalar), none))
         .otherwise(pair(F.col(raw), none))
     )
-    x = x.withColumn("_out", out)
-    return x.select(*rows.columns, F.col("_out.value").alias("value"), F.col("_out.unit").alias("unit"))
+    x = x.withColumn("_unit_out", out)
+    return x.select(*rows.columns, F.col("_unit_out.value").alias("value"), F.col("_unit_out.unit").alias("unit"))
 
 
 def normalized_by_value(rows: DataFrame, raw: str = "raw_value", field: str | None = None) -> DataFrame:
-    """:func:`normalized`, worked out once for every distinct text (and field) and joined back: for tables whose values repeat."""
+    """:func:`normalized`, worked out once for every distinct text (and field) and joined back: for tables whose values repeat.
+
+    Texts without a digit ("N/A") stay as they are and take no part in the join, so one that fills a third of a table is no hot key."""
     keys = [raw, field] if field else [raw]
-    known = normalized(rows.select(*keys).distinct(), raw, field).select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "value", "unit")
+    digits = F.coalesce(F.col(raw).rlike("[0-9]"), F.lit(False))
+    numbered = rows.where(digits)
+    known = normalized(numbered.select(*keys).distinct(), raw, field).select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "value", "unit")
     same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
-    return rows.join(known, same).drop(*[f"_key{i}" for i in range(len(keys))])
+    joined = numbered.join(known, same).drop(*[f"_key{i}" for i in range(len(keys))])
+    text = F.coalesce(F.col(raw), F.lit(""))
+    plain_ = rows.where(~digits).select(*rows.columns, F.when(cleaned(text) == "", F.lit("")).otherwise(F.col(raw)).alias("value"), F.lit(None).cast("string").alias("unit"))
+    return joined.select(*rows.columns, "value", "unit").unionByName(plain_)
 
 
 def normalized_or_given(rows: DataFrame, raw: str, given_value: str, given_unit: str, field: str) -> DataFrame:
@@ -144,9 +166,9 @@ def normalized_or_given(rows: DataFrame, raw: str, given_value: str, given_unit:
     given = (F.coalesce(value, F.lit("")) != "") & (F.coalesce(unit, F.lit("")) != "") & ((value != text) | ~with_unit)
     x = normalized_by_value(rows, raw, field)
     words = F.filter(F.split(F.lower(unit), r"\s+"), lambda w: ~w.isin(*K.NOISE_WORDS) & (w != ""))
-    x = resolved(x.withColumn("_asked", F.coalesce(F.array_join(words, " "), F.lit(""))), "_asked")
+    x = resolved(x.withColumn("_asked", F.coalesce(F.array_join(words, " "), F.lit(""))), "_asked", "_unit_name")
     angular = F.col(field).rlike(K.ANGULAR_FIELDS) & F.col("_asked").isin(*K.ANGULAR_TOKENS)
-    symbol = F.when(angular, F.lit("deg")).otherwise(F.coalesce(F.try_element_at(literal_map(SYMBOLS | K.GIVEN_LENGTHS), F.col("canonical")), unit))
+    symbol = F.when(angular, F.lit("deg")).otherwise(F.coalesce(F.try_element_at(literal_map(SYMBOLS | K.GIVEN_LENGTHS), F.col("_unit_name")), unit))
     x = x.withColumns({
         "value": F.when(given, value).when(text == "", F.coalesce(F.col(given_value), F.lit(""))).otherwise(F.col("value")),
         "unit": F.when(given, symbol).when(text == "", F.col(given_unit)).otherwise(F.col("unit")),

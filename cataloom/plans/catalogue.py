@@ -170,9 +170,12 @@ def unit_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     return _grammar(spark, d, _FUZZY)
 
 
-@query(f"""select cast(l_orderkey as bigint) as row_id, cast(l_linenumber as int) as line, {_PLAIN.format(x="l_quantity * 12")} as value, 'in' as unit, cast(count(*) as bigint) as n from lineitem group by all""")
+@query(f"""select cast(l_orderkey as bigint) as row_id, cast(l_linenumber as int) as line, case l_linenumber % 3 when 0 then {_PLAIN.format(x="l_quantity * 12")} when 1 then {_PLAIN.format(x="l_extendedprice * 10")} else 'N/A' end as value,
+case l_linenumber % 3 when 0 then 'in' when 1 then 'mm' end as unit, cast(count(*) as bigint) as n from lineitem group by all""")
 def unit_full_grammar(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "lineitem").selectExpr("l_orderkey as row_id", "l_linenumber as line", "concat(cast(l_quantity as string), ' ft') as raw_value")
+    """A third of the values repeat, a third hardly do, a third are one text without a number."""
+    raw = "case l_linenumber % 3 when 0 then concat(cast(l_quantity as string), ' ft') when 1 then concat(cast(l_extendedprice as string), ' centimetres') else 'N/A' end"
+    x = table(spark, d, "lineitem").selectExpr("l_orderkey as row_id", "l_linenumber as line", f"{raw} as raw_value")
     return units.normalized_by_value(x).groupBy("row_id", "line", "value", "unit").agg(F.count("*").alias("n"))
 
 

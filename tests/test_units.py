@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from cataloom.functions import units
@@ -38,3 +40,21 @@ def test_given_values_stay(spark):
     frame = spark.createDataFrame(rows, "raw_value string, nv string, nu string, f string")
     got = {r.raw_value: (r.value, r.unit) for r in units.normalized_or_given(frame, "raw_value", "nv", "nu", "f").collect()}
     assert got == {rows[0][0]: ("37 to 102", "°F"), rows[1][0]: ("120", "V"), "2 feet": ("2", "ft"), "2 ft": ("24", "in"), "45 deg": ("45", "deg"), "": ("x", "bar"), None: ("", None), "10 mm": ("10", "mm"), "5 qqq": ("5", "qqq")}
+
+
+def test_closest_alias_equals_comparing_all():
+    draw = random.Random(6)
+    for _ in range(400):
+        token = draw.choice([*units.ALIASES, "volts per", "unknown"])
+        at = draw.randrange(len(token) + 1)
+        token = token[:at] + draw.choice(["", "x", "s", "ee"]) + token[at + draw.randint(0, 2) :]
+        top = max((units.similarity(token, alias), -i, name) for i, (alias, name) in enumerate(units.ALIASES.items()))
+        assert units.closest(token) == (top[2] if token and top[0] >= 85 else None)
+
+
+def test_columns_of_the_caller_stay(spark):
+    rows = [("2 foott", "c", "x", "y"), ("N/A", "c", "x", "y"), (None, "c", "x", "y"), (" ", "c", "x", "y"), ("3", "c", "x", "y")]
+    df = spark.createDataFrame(rows, "raw_value string, canonical string, token string, _t string")
+    for made in (units.normalized(df), units.normalized_by_value(df)):
+        got = {r.raw_value: (r.canonical, r.token, r._t, r.value, r.unit) for r in made.collect()}
+        assert got == {"2 foott": ("c", "x", "y", "24", "in"), "N/A": ("c", "x", "y", "N/A", None), None: ("c", "x", "y", "", None), " ": ("c", "x", "y", "", None), "3": ("c", "x", "y", "3", None)}
