@@ -81,12 +81,13 @@ def _judged(rows: DataFrame, found: DataFrame) -> DataFrame:
     return A.quality_gate(rows, found.withColumns({"normalized_value": F.col("value"), "raw_value": F.col("value")}))
 
 
-def enriched(rows: DataFrame, cache: DataFrame, small: DataFrame, large: DataFrame, version: str = "1.0.0") -> tuple[DataFrame, DataFrame]:
+def enriched(rows: DataFrame, cache: DataFrame, small: DataFrame, large: DataFrame, version: str = "1.0.0", strict_review: bool = False) -> tuple[DataFrame, DataFrame]:
     """Records (row_id, category, status, via, validity, completeness, overall_confidence) and attributes (row_id, field_name, value,
     confidence, source).  ``rows``: row_id, manufacturer, mfg_part_number, raw_description, category; ``cache``: cache_key, field_name, value,
     confidence, source; ``small`` and ``large``: row_id, response.
 
-    Rows that the rules or the cache complete never meet the gate and stay unvalidated."""
+    Rows that the rules or the cache complete never meet the gate and stay unvalidated, so a review finds them all; with
+    ``strict_review`` they keep their status but get the gate's measures, and a review finds those that it faults."""
     key = T.cache_key(F.col("manufacturer"), F.col("mfg_part_number"), F.col("raw_description"), F.lit(version))
     gated = rules.gated(rows.withColumn("cache_key", key)).select(*rows.columns, "cache_key", "status")
     by_rule = rules.extract_long(rows).select("row_id", "field_name", F.col("normalized_value").alias("value"), "confidence", "source")
@@ -103,4 +104,9 @@ def enriched(rows: DataFrame, cache: DataFrame, small: DataFrame, large: DataFra
     again = _judged(missed, final.join(missed.select("row_id"), "row_id", "left_semi")).withColumnRenamed("status", "gate").drop("validation_flags")
     judged = missed.select("row_id", "category").join(again, "row_id").select("row_id", "category", F.when(F.col("gate") == "PROVENANCE_MERGE", "COMPLETED").otherwise("MANUAL_REVIEW").alias("status"), F.lit("model").alias("via"), "validity", "completeness", "overall_confidence")
     unjudged = lambda df, via: df.select("row_id", "category", F.lit("COMPLETED").alias("status"), F.lit(via).alias("via"), F.lit(False).alias("validity"), F.lit(0.0).alias("completeness"), F.lit(0.0).alias("overall_confidence"))
+    if strict_review:
+        early = complete.select("row_id", "category", F.lit("rules").alias("via")).unionByName(hits.select("row_id", "category", F.lit("cache").alias("via")))
+        gate = _judged(early, A.merged_by_stage(by_rule, cached, none, none).join(early.select("row_id"), "row_id", "left_semi")).drop("status", "validation_flags")
+        checked = early.join(gate, "row_id").select("row_id", "category", F.lit("COMPLETED").alias("status"), "via", "validity", "completeness", "overall_confidence")
+        return checked.unionByName(judged), final
     return unjudged(complete, "rules").unionByName(unjudged(hits, "cache")).unionByName(judged), final

@@ -155,3 +155,18 @@ def test_context_within_the_budget_stays(spark):
     short, long = "<p>Short &amp; plain.</p>\n\n no numbers", "\n".join(["Add to cart now and see 24 V"] + [f"Nothing of note in line {i}." for i in range(80)] + ["Voltage: 24 V and 5 in wide"])
     got = spark.createDataFrame([(1, short), (2, long), (3, None)], "n int, t string").select(A.reduced_context(F.col("t"), F.lit(""), F.lit("")).alias("r")).collect()
     assert [r.r for r in got] == ["Short & plain.\nno numbers", "Voltage: 24 V and 5 in wide", ""]
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_strict_review_judges_early_rows(spark, strict):
+    from cataloom.plans.enrichment import enriched
+
+    rows = [(1, "M", "P1", "120V 800W 60 Hz Fan", "Electrical"), (2, "M", "P2", "Generic", "General"), (3, "M", "P3", "Generic", "General")]
+    df = spark.createDataFrame(rows, "row_id long, manufacturer string, mfg_part_number string, raw_description string, category string")
+    key = T.cache_key(F.col("manufacturer"), F.col("mfg_part_number"), F.col("raw_description"), F.lit("1.0.0"))
+    cached = df.where("row_id = 2").select(key.alias("cache_key"), F.lit("voltage").alias("field_name"), F.lit("abc").alias("value"), F.lit(0.9).alias("confidence"), F.lit("llm_8b").alias("source"))
+    none = spark.createDataFrame([], "row_id long, response string")
+    got = {r.row_id: r for r in enriched(df, cached, none, none, strict_review=strict)[0].collect()}
+    assert [(got[i].status, got[i].via) for i in (1, 2, 3)] == [("COMPLETED", "rules"), ("COMPLETED", "cache"), ("MANUAL_REVIEW", "model")]
+    assert [got[i].validity for i in (1, 2)] == ([True, False] if strict else [False, False])
+    assert [got[i].completeness for i in (1, 2)] == ([1.0, 0.25] if strict else [0.0, 0.0])
