@@ -50,20 +50,30 @@ def evidence(context: Column, description: Column) -> Column:
     return F.substring(F.coalesce(F.nullif(context, F.lit("")), description), 1, 100)
 
 
+def _fixed(x: Column, places: int) -> Column:
+    """A number with a fixed number of decimals."""
+    return F.format_string(f"%.{places}f", x.cast("double"))
+
+
+def _shown(x: Column, text: Column) -> Column:
+    """A dash for a missing number."""
+    return F.when(x.isNull(), F.lit("—")).otherwise(text)
+
+
 def percent(x: Column) -> Column:
-    return F.concat(F.format_number(x * 100, "0.0"), F.lit("%"))
+    return _shown(x, F.concat(_fixed(x * 100, 1), F.lit("%")))
 
 
 def duration(ms: Column) -> Column:
-    return F.when(ms < 1000, F.concat(F.format_number(ms, "0"), F.lit(" ms"))).otherwise(F.concat(F.format_number(ms / 1000, "0.00"), F.lit(" s")))
+    return _shown(ms, F.when(ms < 1000, F.concat(_fixed(F.floor(ms + 0.5), 0), F.lit("ms"))).otherwise(F.concat(_fixed(ms / 1000, 2), F.lit("s"))))
 
 
 def currency(x: Column) -> Column:
-    return F.concat(F.lit("$"), F.when(x < 0.01, F.format_number(x, "0.000000")).otherwise(F.format_number(x, "0.00")))
+    return _shown(x, F.concat(F.lit("$"), F.when(x < 0.01, _fixed(x, 6)).otherwise(_fixed(x, 2))))
 
 
 def tone(confidence: Column) -> Column:
-    return F.when(confidence >= 0.9, "high").when(confidence >= 0.7, "medium").otherwise("low")
+    return F.when(confidence.isNull(), "neutral").when(confidence >= 0.9, "high").when(confidence >= 0.7, "medium").otherwise("low")
 
 
 def file_size(x: Column) -> Column:

@@ -1,2 +1,2 @@
 
-from cataloom.plans import delivery, intake, items  # registers their queries
+from cataloom.plans import delivery, intake, items, small  # registers their queries

@@ -137,6 +137,11 @@ def test_displays(spark):
     assert [size(n) for n in (None, 0, 9, 1023, 1024, 1536, 10240, 1 << 20, 5 << 30, 20000 << 30)] == ["—", "0 B", "9 B", "1023 B", "1.0 KB", "1.5 KB", "10 KB", "1.0 MB", "5.0 GB", "20000 GB"]
     buttons = lambda a, b: one.select(display.page_buttons(F.lit(a), F.lit(b))).first()[0]
     assert buttons(1, 1) == [1] and buttons(2, 5) == [1, 2, 3, 4, 5] and buttons(9, 20) == [1, 2, 3, 8, 9, 10, 20] and buttons(20, 20) == [1, 2, 3, 19, 20]
+    shown = lambda f, x: one.select(f(F.lit(x).cast("double"))).first()[0]
+    assert [shown(display.percent, x) for x in (0.9834, 0.0, None)] == ["98.3%", "0.0%", "—"]
+    assert [shown(display.duration, x) for x in (842.0, 999.4, 1234.56, 0.5, None)] == ["842ms", "999ms", "1.23s", "1ms", "—"]
+    assert [shown(display.currency, x) for x in (0.000184, 12.5, None)] == ["$0.000184", "$12.50", "—"]
+    assert [shown(display.tone, x) for x in (0.9, 0.7, 0.1, None)] == ["high", "medium", "low", "neutral"]
     prompt = one.select(display.request_prompt(F.lit("HVAC"), F.lit(None).cast("string"), F.lit("x" * 30_000))).first()[0]
     assert prompt.startswith("Category: HVAC\nSource URL: \n\nProduct document text:\nxxx") and prompt.count("x") == 25_001
 
