@@ -167,17 +167,21 @@ def _comparer(threshold: float):
         np.fill_diagonal(linked, False)
         if low[0] != high[0]:  # two blocks: only pairs between them
             linked &= mine[:, None] != mine[None, :]
+        # From here on only the rows with links; most blocks have few or none.
+        some = np.flatnonzero(linked.any(axis=1))
+        ids, copies, linked = ids[some], copies[some], linked[np.ix_(some, some)]
+        # Pairs that met in an earlier leaf count there.
         code = table.column("code")[0].as_py()
-        lists = table.column("codes").combine_chunks().take(pa.array(order))
-        owner, codes = np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+        lists = table.column("codes").combine_chunks().take(pa.array(order[some]))
+        owner, codes = np.repeat(np.arange(len(some)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
         earlier = codes < code
-        if linked.any() and earlier.any():
+        if earlier.any():
             known, place = np.unique(codes[earlier], return_inverse=True)
-            met = np.zeros((len(ids), len(known)), np.float32)
+            met = np.zeros((len(some), len(known)), np.float32)
             met[owner[earlier], place] = 1
             linked &= met @ met.T == 0
-        some = np.flatnonzero(linked.any(axis=1))
-        return pa.table({"vec_id": ids[some], "links": (linked @ copies)[some].astype(np.int64), "least": ids[_components(linked)][some]})
+        left = linked.any(axis=1)
+        return pa.table({"vec_id": ids[left], "links": (linked @ copies)[left].astype(np.int64), "least": ids[_components(linked)][left]})
 
     return compare
 
