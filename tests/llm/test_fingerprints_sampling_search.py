@@ -6,7 +6,6 @@ import random
 import re
 import zlib
 from collections import Counter
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
