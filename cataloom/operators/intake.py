@@ -47,7 +47,8 @@ def api_requests(rows: DataFrame, position: str = "row_id") -> DataFrame:
 def positional_ids(rows: DataFrame, file: str, position: str) -> DataFrame:
     """Adds ``row_id``, 1 for the first row, by file and place in it; places may have gaps.
 
-    Rows are counted by ranges of places; only these counts are summed up in order, and rows are ranked within their range."""
+    Rows are counted by ranges of places; only these counts are summed up in order, and rows are ranked within their range.
+    So ``rows`` are read twice: places that a plan makes anew each time (monotonically_increasing_id) must be written first."""
     bucket = F.floor(F.col(position) / BUCKET)
     x = rows.withColumn("_bucket", bucket)
     counts = x.groupBy(F.col(file).alias("_file"), F.col("_bucket").alias("_b")).agg(F.count("*").alias("_n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cataloom.functions import constants as K, display, text as T, units
-from cataloom.operators import delivery as D, intake as I, metrics as M, rows as R
+from cataloom.operators import delivery as D, intake as I, metrics as M, rows as R, store as S
 from cataloom.plans.catalogue import _SCORE, _sql_list, query
 from cataloom.plans.fixtures import CATALOG_SQL, catalog, table
 
@@ -90,6 +90,6 @@ def catalog_sheet_order(spark: SparkSession, d: str) -> DataFrame:
     products = rows.select((-F.col("row_id")).alias("pos"), sku.alias("sku_id"), "category", F.col("manufacturer").alias("manufacturer_name"), F.col("mfg_part_number").alias("part_number"), F.lit(0.5).alias("overall_confidence"))
     values = rows.select(F.col("row_id").alias("pos"), sku.alias("sku_id"), F.lit("color").alias("field_name"), F.concat(F.lit("v"), "row_id").alias("raw_value"), F.lit(None).cast("string").alias("normalized_value"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("source_url"))
     sheet = D.catalog_sheet(D.related(products, values))
-    # A reader of the sheet numbers its rows by their place.
-    numbered = sheet.select(F.lit("sheet").alias("file"), F.monotonically_increasing_id().alias("at"), F.col("`SKU - MY_PART_NUMBER`").alias("sku"), F.col("PART_NUMBER").alias("part"), F.col("`ATTRIBUTE_VALUE 1`").alias("value_1"))
-    return I.positional_ids(numbered, "file", "at").select(F.col("row_id").cast("long").alias("place"), "sku", "part", "value_1")
+    # A reader of the sheet numbers its rows by their place; a place belongs to one run of the sort, so the rows are written with theirs.
+    placed = sheet.select(F.lit("sheet").alias("file"), F.monotonically_increasing_id().alias("at"), F.col("`SKU - MY_PART_NUMBER`").alias("sku"), F.col("PART_NUMBER").alias("part"), F.col("`ATTRIBUTE_VALUE 1`").alias("value_1"))
+    return I.positional_ids(S.kept(placed, "sheet"), "file", "at").select(F.col("row_id").cast("long").alias("place"), "sku", "part", "value_1")

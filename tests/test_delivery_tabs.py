@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cataloom.functions import constants as K, display, rules, text as T
 from cataloom.operators import answers as N, delivery as D, metrics as M, resume as R, store as S
+from cataloom.plans.small import catalog_sheet_order
 from cataloom.sources import resolution
 from cataloom.sources.readers import sheet_rows
 from cataloom.sources.writers import workbook_bytes
@@ -175,3 +176,18 @@ def test_enrichment_cache(spark):
 def test_api_confidence(spark):
     df = spark.createDataFrame([(1, 0.33333), (1, None), (2, None)], "row_id int, confidence double")
     assert {r.row_id: r.overall_confidence for r in N.api_confidence(df).collect()} == {1: 0.1667, 2: 0.0}
+
+def test_sheet_keeps_all_rows_in_order_in_many_partitions(spark):
+    """Small partitions, which plans over more and fewer columns of a sheet join in different ways."""
+    few = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(k) for k in few}
+    try:
+        for k, v in few.items():
+            spark.conf.set(k, v)
+        got = catalog_sheet_order(spark, "/root/testdata/sf0.01").orderBy("place").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    keys = [int(r["part"].removeprefix("PN-")) for r in got]
+    assert [r["place"] for r in got] == list(range(1, 2001))
+    assert keys == list(range(1999, -1, -1)) and [r["value_1"] for r in got] == [f"v{k}" for k in keys]
