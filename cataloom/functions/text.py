@@ -33,21 +33,36 @@ def kept_lines(text: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
-def sentences(text: Column) -> Column:
-    return F.split(text, r"(?U)(?<=[.!?])\s+|\n+")
+def _pattern(pattern: str, ascii_only: bool) -> str:
+    """A pattern whose classes and word borders know all letters, or only those of ASCII (as RE2, the engine of the SQL, has them)."""
+    if not ascii_only:
+        return "(?U)" + pattern
+    word = "[0-9A-Za-z_]"
+    border = f"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))"
+    # Before a digit, a border is where no word character comes before.
+    return pattern.replace(r"\b(\d", rf"(?<!{word})(\d").replace(r"\b", border).replace(r"\s", r"[\t\n\f\r ]").replace(r"\d", "[0-9]")
 
 
-def sentence_score(sentence: Column, maker: Column, part: Column) -> Column:
-    """Specification density: 3 a unit, 2 for a colon, 1 a keyword, 2 each for maker and part number; boilerplate is -5."""
+def sentences(text: Column, ascii_only: bool = False) -> Column:
+    return F.split(text, _pattern(r"(?<=[.!?])\s+|\n+", ascii_only))
+
+
+def sentence_score(sentence: Column, maker: Column, part: Column, ascii_only: bool = False) -> Column:
+    """Specification density: 3 a unit, 2 for a colon, 1 a keyword, 2 each for maker and part number; boilerplate is -5.
+
+    A unit ends before any letter; with ``ascii_only`` only before ASCII ones, so "12 inß" counts."""
     low = F.lower(sentence)
+    units = _pattern(K.SPEC_UNITS, ascii_only)
     words = F.array_distinct(F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
     named = lambda x: F.coalesce((F.coalesce(x, F.lit("")) != "") & low.contains(F.lower(x)), F.lit(False))
     names = F.when(named(maker), 2.0).otherwise(0.0) + F.when(named(part), 2.0).otherwise(0.0)
-    score = 3.0 * F.size(F.regexp_extract_all(low, F.lit("(?U)" + K.SPEC_UNITS), F.lit(0)))
+    score = 3.0 * F.size(F.regexp_extract_all(low, F.lit(units), F.lit(0)))
     score = score + F.when(sentence.contains(":"), 2.0).otherwise(0.0) + F.size(F.array_intersect(words, F.array(*map(F.lit, K.SPEC_KEYWORDS)))) + names
     # Most sentences have nothing to count: one search tells that.
-    countable = low.rlike("(?U)" + K.SPEC_UNITS + "|:|" + "|".join(K.SPEC_KEYWORDS))
-    return F.when(F.length(F.trim(sentence)) < 10, 0.0).when(low.rlike("|".join(K.BOILERPLATE)), -5.0).when(~countable, names).otherwise(score).cast("double")
+    countable = low.rlike(units + "|:|" + "|".join(K.SPEC_KEYWORDS))
+    boilerplate = "|".join(K.BOILERPLATE)
+    boilerplate = _pattern(boilerplate, True) if ascii_only else boilerplate
+    return F.when(F.length(F.trim(sentence)) < 10, 0.0).when(low.rlike(boilerplate), -5.0).when(~countable, names).otherwise(score).cast("double")
 
 
 def response_text(raw: Column) -> Column:

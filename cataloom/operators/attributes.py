@@ -127,13 +127,13 @@ def review_queue(records: DataFrame) -> DataFrame:
     return records.where((F.col("status") == "MANUAL_REVIEW") | ~F.col("validity"))
 
 
-def reduced_context(text: Column, maker: Column, part: Column, budget: int = K.CONTEXT_CHARS) -> Column:
+def reduced_context(text: Column, maker: Column, part: Column, budget: int = K.CONTEXT_CHARS, ascii_only: bool = False) -> Column:
     """The cleaned text where it is within a budget of characters, else its best sentences, joined in order.
 
     By score, then place; the first stays even when it alone is over, and the first that overflows ends the list.
     All within the row: no shuffle, no sort of the table.  Null gives an empty text."""
     cleaned = T.html_clean(text)
-    scored = F.transform(T.sentences(cleaned), lambda s, i: F.struct((-T.sentence_score(F.trim(s), maker, part)).alias("rank"), i.alias("idx"), F.trim(s).alias("sentence")))
+    scored = F.transform(T.sentences(cleaned, ascii_only), lambda s, i: F.struct((-T.sentence_score(F.trim(s), maker, part, ascii_only)).alias("rank"), i.alias("idx"), F.trim(s).alias("sentence")))
     ranked = F.array_sort(F.filter(scored, lambda x: x["rank"] < 0))
     none = F.array().cast("array<struct<idx:int,sentence:string>>")
 

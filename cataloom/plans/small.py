@@ -51,8 +51,8 @@ def sentence_score_named(spark: SparkSession, d: str) -> DataFrame:
     """Sentences that name the maker or the part count for more; here the second and third word of each text stand for them."""
     words = F.split(F.trim("text"), " ")
     x = table(spark, d, "documents").where("text is not null").select("doc_id", "text", F.coalesce(F.get(words, 1), F.lit("")).alias("maker"), F.coalesce(F.get(words, 2), F.lit("")).alias("part"))
-    scored = x.select("doc_id", "maker", "part", F.explode(T.sentences(F.col("text"))).alias("sentence"))
-    return scored.select("doc_id", T.sentence_score(F.col("sentence"), F.col("maker"), F.col("part")).alias("score")).groupBy("doc_id").agg(F.sum("score").alias("total"))
+    scored = x.select("doc_id", "maker", "part", F.explode(T.sentences(F.col("text"), True)).alias("sentence"))
+    return scored.select("doc_id", T.sentence_score(F.col("sentence"), F.col("maker"), F.col("part"), True).alias("score")).groupBy("doc_id").agg(F.sum("score").alias("total"))
 
 
 @query("select event_id, event_id % 3 < 2 as daily from events")

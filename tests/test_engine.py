@@ -170,3 +170,24 @@ def test_strict_review_judges_early_rows(spark, strict):
     assert [(got[i].status, got[i].via) for i in (1, 2, 3)] == [("COMPLETED", "rules"), ("COMPLETED", "cache"), ("MANUAL_REVIEW", "model")]
     assert [got[i].validity for i in (1, 2)] == ([True, False] if strict else [False, False])
     assert [got[i].completeness for i in (1, 2)] == ([1.0, 0.25] if strict else [0.0, 0.0])
+
+
+def test_sentence_queries_end_words_as_their_sql_does(spark, tmp_path):
+    """A letter outside ASCII after a unit, white space outside ASCII after a full stop; the operator itself knows all letters."""
+    import duckdb
+
+    import cataloom.plans.catalogue as catalogue
+
+    long = "\n".join([f"Nothing of note in line {i}." for i in range(80)] + ["Die 40.130.212.161 inßlichver von.", "Der Wert ist 24 mm breit."])
+    texts = ["Die Tzente. Die 40.130.212.161 inßlichver von.", "Ab 5 mm. Noch 6 mm hochä.\x0bUnd 7\x0bmm hoch.", "ä24 mm, 24 mm und 12\"x 12\"ä 24 mm", "copyright\x0b12 und 24 mm breit", long, None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("sentence_score", "sentence_score_named", "context_reduce"):
+        mine, sql = catalogue.QUERIES[name](spark, str(tmp_path)), con.sql(catalogue.ORACLE_SQL[name])
+        rows = [dict(zip(sql.columns, r, strict=True)) for r in sql.fetchall()]
+        if name == "context_reduce":  # cleaning has white space of its own
+            mine, rows = mine.where("doc_id in (0, 4)"), [r for r in rows if r["doc_id"] in (0, 4)]
+        assert sorted((r.asDict() for r in mine.collect()), key=lambda r: r["doc_id"]) == sorted(rows, key=lambda r: r["doc_id"]), name
+    score = lambda ascii_only: spark.range(1).select(T.sentence_score(F.lit("161 inßlich zehn"), F.lit(""), F.lit(""), ascii_only)).first()[0]
+    assert (score(False), score(True)) == (0.0, 3.0)
