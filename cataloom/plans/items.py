@@ -15,11 +15,12 @@ from cataloom.sources.readers import preflight_report
 
 
 def _written(spark: SparkSession, d: str) -> str:
-    """The documents as delimited files, with line breaks and quotes in their fields."""
+    """The documents as delimited files, with line breaks and quotes in their fields: one for each split of the table, three at least."""
     folder = f"{work_folder(spark)}/documents.csv"
     note = F.concat(F.col("lang"), F.lit(' 3/4" pipe, "'), "source", F.lit('"'))
     rows = table(spark, d, "documents").select("text", F.col("source").alias("Part Number"), note.alias("note"), "doc_id")
-    rows.repartition(3).write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(folder)
+    rows = rows if rows.rdd.getNumPartitions() >= 3 else rows.repartition(3)
+    rows.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(folder)
     return folder
 
 

@@ -182,3 +182,23 @@ def test_sliding_load_across_ranges(spark):
         got = {r.i: (r.rpm, r.tpm) for r in M.sliding_load(df, "ts", F.col("t"), within, span=60).collect()}
         want = {i: [t2 for _, k2, s2, t2 in calls if s - 60 < s2 <= s and (within is None or k2 == k)] for i, k, s, _ in calls}
         assert got == {i: (len(x), sum(x)) for i, x in want.items()}
+
+
+@pytest.mark.parametrize("splits", [1, 7])
+def test_documents_are_written_by_as_many_tasks_as_read_them(spark, tmp_path, splits):
+    from cataloom.plans.items import _written, csv_preflight, csv_scan
+
+    rows = [(i, f'line "{i}"\nand, more', "en", f"s{i % 3}") for i in range(70)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(splits).write.parquet(f"{tmp_path}/documents.parquet")
+    size, cost = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1500b")  # a file a split
+        spark.conf.set("spark.sql.files.openCostInBytes", "1500b")
+        folder = _written(spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    assert len(spark.read.format("binaryFile").load(folder).select("path").collect()) >= max(3, splits)
+    assert csv_preflight(spark, str(tmp_path)).first()["n_rows"] == 70
+    got = csv_scan(spark, str(tmp_path)).collect()
+    assert sorted((int(r.doc_id), r.text, r.part_number, r.note) for r in got) == [(i, t, s, f'{lang} 3/4" pipe, "{s}"') for i, t, lang, s in rows]
