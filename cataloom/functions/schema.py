@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -40,12 +41,27 @@ def _one(wrong: Column, path: Column, rule: str, value: Column) -> Column:
     return F.when(F.coalesce(wrong, F.lit(False)), F.array(F.struct(path.alias("path"), F.lit(rule).alias("rule"), value.cast("string").alias("value")))).otherwise(_no_violations())
 
 
+def _with(value: Column, of: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is worked out once, however often the expression names it."""
+    return F.get(F.transform(F.array(value), of), 0)
+
+
 def _of_field(owner: Column, f: Field, path: Column) -> Column:
-    found = F.try_variant_get(owner, f"$['{f.name}']", "variant")
+    return _with(F.try_variant_get(owner, f"$['{f.name}']", "variant"), lambda found: _of_value(found, f, path))
+
+
+def _of_value(found: Column, f: Field, path: Column) -> Column:
     is_null = F.coalesce(F.is_variant_null(found), F.lit(False))
     here = F.concat(path, F.lit(f.name))
     shown = F.to_json(found)
+    null = _no_violations() if f.nullable else _one(F.lit(True), here, f"{f.kind}_type", shown)
+    absent = _one(F.lit(f.required), here, "missing", F.lit(None))
     kind = F.regexp_extract(F.schema_of_variant(found), "^[A-Z]+", 0)
+    return F.when(found.isNull(), absent).when(is_null, null).otherwise(_with(kind, lambda k: _of_kind(found, k, f, here)))
+
+
+def _of_kind(found: Column, kind: Column, f: Field, here: Column) -> Column:
+    shown = F.to_json(found)
     text = F.try_variant_get(found, "$", "string")
     number = F.try_variant_get(found, "$", "double") if f.kind in ("float", "int") else F.lit(None).cast("double")
     typed = kind.isin(*_KINDS[f.kind])
@@ -75,9 +91,7 @@ def _of_field(owner: Column, f: Field, path: Column) -> Column:
         wrong = F.concat(wrong, F.when(typed, F.flatten(F.transform(items, of_item))).otherwise(_no_violations()))
     elif f.fields:
         wrong = F.concat(wrong, F.when(typed, _fields(found, f.fields, F.concat(here, F.lit(".")))).otherwise(_no_violations()))
-    null = _no_violations() if f.nullable else _one(F.lit(True), here, f"{f.kind}_type", shown)
-    absent = _one(F.lit(f.required), here, "missing", F.lit(None))
-    return F.when(found.isNull(), absent).when(is_null, null).otherwise(wrong)
+    return wrong
 
 
 def _fields(owner: Column, fields: tuple[Field, ...], path: Column) -> Column:
@@ -95,10 +109,9 @@ def violations(text: Column, fields: tuple[Field, ...]) -> Column:
 
     A text that isn't JSON has the one violation json_invalid, one that is no object object_type; unknown fields are passed over.
     """
-    value = F.try_parse_json(text)
     broken = F.array(F.struct(F.lit("").alias("path"), F.lit("json_invalid").alias("rule"), text.alias("value")))
-    wrong = F.transform(of_object(value, fields, F.lit("")), lambda x: F.struct(F.ltrim(x["path"], F.lit(".")).alias("path"), x["rule"].alias("rule"), x["value"].alias("value")))
-    return F.when(value.isNull(), broken).otherwise(wrong)
+    wrong = lambda value: F.transform(of_object(value, fields, F.lit("")), lambda x: F.struct(F.ltrim(x["path"], F.lit(".")).alias("path"), x["rule"].alias("rule"), x["value"].alias("value")))
+    return _with(F.try_parse_json(text), lambda value: F.when(value.isNull(), broken).otherwise(wrong(value)))
 
 
 def validated(rows: DataFrame, column: str, fields: tuple[Field, ...], mode: str = "PERMISSIVE") -> DataFrame:

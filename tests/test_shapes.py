@@ -208,3 +208,10 @@ def test_scrape_cache_by_url(spark):
     assert after.count() == 2
     again, last = P.reduced_by_url(df, after)
     assert {r.row_id for r in again.where("from_cache").collect()} == {1, 2, 3, 4} and last.count() == 2
+
+
+def test_a_value_is_looked_up_once_for_all_checks(spark, capsys):
+    """A text is parsed once, however many fields and checks its schema has."""
+    spark.createDataFrame([("{}",)], "j string").select(S.violations(F.col("j"), S.RESPONSE).alias("v")).explain("extended")
+    optimized = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert optimized.count("parseJson(") == 1 and optimized.count("$['sku_id']") == 1
