@@ -12,10 +12,10 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from cataloom.functions import rules, text as T
+from cataloom.functions import constants as K, rules, text as T
 from cataloom.operators import attributes as A
 from cataloom.operators.answers import with_error
-from cataloom.operators.store import probe
+from cataloom.operators.store import kept, probe
 
 
 class Extractor(Protocol):
@@ -86,15 +86,17 @@ def enriched(rows: DataFrame, cache: DataFrame, small: DataFrame, large: DataFra
     confidence, source).  ``rows``: row_id, manufacturer, mfg_part_number, raw_description, category; ``cache``: cache_key, field_name, value,
     confidence, source; ``small`` and ``large``: row_id, response.
 
-    Rows that the rules or the cache complete never meet the gate and stay unvalidated, so a review finds them all; with
+    Rows, cache and small answers are read at once, what follows when the results are.  Rows that the rules or the cache complete never meet the gate and stay unvalidated, so a review finds them all; with
     ``strict_review`` they keep their status but get the gate's measures, and a review finds those that it faults."""
     key = T.cache_key(F.col("manufacturer"), F.col("mfg_part_number"), F.col("raw_description"), F.lit(version))
-    gated = rules.gated(rows.withColumn("cache_key", key)).select(*rows.columns, "cache_key", "status")
-    by_rule = rules.extract_long(rows).select("row_id", "field_name", F.col("normalized_value").alias("value"), "confidence", "source")
+    # Written once, since every later step starts from the rules' values, and from the answers: else each step works them out again.
+    gated = kept(rules.gated(rows.withColumn("cache_key", key)).select("row_id", "category", "cache_key", "status", *[f for f, _ in rules.FIELDS]), "gated")
+    values = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f, _ in rules.FIELDS])
+    by_rule = gated.select("row_id", F.inline(F.filter(values, lambda x: x["value"].isNotNull()))).withColumns({"confidence": F.lit(K.RULE_CONFIDENCE), "source": F.lit("regex")})
     complete, rest = gated.where("status = 'COMPLETED'"), gated.where("status <> 'COMPLETED'")
-    hits, missed = probe(rest, cache.select("cache_key").distinct(), "cache_key")
+    hits, missed = [kept(x.select("row_id", "category", "cache_key"), name) for x, name in zip(probe(rest, cache.select("cache_key").distinct(), "cache_key"), ("hits", "missed"), strict=True)]
     cached = hits.select("row_id", "cache_key").join(cache, "cache_key").select("row_id", "field_name", "value", "confidence", "source")
-    told = _told(small.join(missed.select("row_id"), "row_id", "left_semi"), "llm_8b")
+    told = kept(_told(small.join(missed.select("row_id"), "row_id", "left_semi"), "llm_8b"), "told")
     none = told.where(F.lit(False))
     first = A.merged_by_stage(by_rule, cached, told, none)
     tried = _judged(missed, first.join(missed.select("row_id"), "row_id", "left_semi"))

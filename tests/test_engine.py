@@ -191,3 +191,18 @@ def test_sentence_queries_end_words_as_their_sql_does(spark, tmp_path):
         assert sorted((r.asDict() for r in mine.collect()), key=lambda r: r["doc_id"]) == sorted(rows, key=lambda r: r["doc_id"]), name
     score = lambda ascii_only: spark.range(1).select(T.sentence_score(F.lit("161 inßlich zehn"), F.lit(""), F.lit(""), ascii_only)).first()[0]
     assert (score(False), score(True)) == (0.0, 3.0)
+
+
+def test_enrichment_runs_its_rules_once(spark, capsys):
+    """Later steps read the rules' values: their plan has none of the rules' patterns."""
+    from cataloom.plans.enrichment import enriched
+
+    rows = spark.createDataFrame([(1, "M", "P", "24 V 5 W 60 Hz", "Electrical"), (2, "M", "Q", "none", "Electrical")], "row_id long, manufacturer string, mfg_part_number string, raw_description string, category string")
+    cache = spark.createDataFrame([], "cache_key string, field_name string, value string, confidence double, source string")
+    answers = spark.createDataFrame([], "row_id long, response string")
+    records, attributes = enriched(rows, cache, answers, answers)
+    records.explain("extended")
+    attributes.explain("extended")
+    assert "(Hz)" not in capsys.readouterr().out
+    assert sorted((r.row_id, r.status, r.via) for r in records.collect()) == [(1, "COMPLETED", "rules"), (2, "MANUAL_REVIEW", "model")]
+    assert sorted((r.row_id, r.field_name, r.value, r.source) for r in attributes.collect()) == [(1, "frequency", "60", "regex"), (1, "power", "5", "regex"), (1, "voltage", "24", "regex")]
