@@ -11,10 +11,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import NumericType, StringType
 
 from cataloom.functions import constants as K
 from cataloom.functions.constants import AIRFLOW, AREA, NUMBER, PLAUSIBLE, THREAD, TONS, VOLTS
 from cataloom.functions.rules import literal_map
+from cataloom.operators.store import kept
 
 LEADING = r"(?is)^([+-]?(?:\d+/\d+|\d+\.\d*|\.\d+|\d+)(?:\s+\d+/\d+)?(?:\s*[-/]\s*[+-]?\d+(?:\.\d+)?|\s+to\s+[+-]?\d+(?:\.\d+)?)?)\s*(.*)$"
 MIXED = r"^(\d+)\s+(\d+/\d+)$"
@@ -82,15 +84,18 @@ def closest(token: str) -> str | None:
 
 def _repair(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        yield pd.DataFrame({"_unknown": frame["_unknown"], "_repaired": [closest(t) for t in frame["_unknown"]]})
+        yield pd.DataFrame({"_unknown": frame["_unknown"], "_repaired": [closest(t) for t in frame["_unknown"]], "_to": 0})
 
 
 def resolved(rows: DataFrame, token: str, name: str = "canonical") -> DataFrame:
     """Adds ``name`` for the unit text in the column ``token``: exact alias, else the most similar one from 85 on."""
     exact = rows.withColumn("_exact", F.try_element_at(literal_map(ALIASES), F.col(token)))
+    # Known tokens match nothing and are dealt out by the row, so that one of them fills no task.
+    plain_columns = [F.col(f"`{f.name}`") for f in rows.schema.fields if isinstance(f.dataType, (NumericType, StringType))]
+    exact = exact.withColumn("_deal", F.when(F.col("_exact").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*plain_columns), F.lit(1024)).cast("int")))
     unknown = exact.where(F.col("_exact").isNull() & (F.col(token) != "")).select(F.col(token).alias("_unknown")).distinct()
-    repaired = unknown.mapInPandas(_repair, "_unknown string, _repaired string")
-    return exact.join(repaired, exact[token] == repaired["_unknown"], "left").withColumn(name, F.coalesce("_exact", "_repaired")).drop("_exact", "_repaired", "_unknown")
+    repaired = unknown.mapInPandas(_repair, "_unknown string, _repaired string, _to int")
+    return exact.join(repaired, (exact[token] == repaired["_unknown"]) & (exact["_deal"] == repaired["_to"]), "left").withColumn(name, F.coalesce("_exact", "_repaired")).drop("_exact", "_repaired", "_unknown", "_deal", "_to")
 
 
 def normalized(rows: DataFrame, raw: str = "raw_value", field: str | None = None) -> DataFrame:
@@ -148,8 +153,11 @@ def normalized_by_value(rows: DataFrame, raw: str = "raw_value", field: str | No
     keys = [raw, field] if field else [raw]
     digits = F.coalesce(F.col(raw).rlike("[0-9]"), F.lit(False))
     numbered = rows.where(digits)
-    known = normalized(numbered.select(*keys).distinct(), raw, field).select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "value", "unit")
-    same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+    # Both are written: else the grammar's conditions are worked out for every row, before the texts are made distinct, and a join whose
+    # other side turns out to be small has dealt out the rows already.
+    texts = kept(numbered.select(*keys).distinct(), "texts")
+    known = kept(normalized(texts, raw, field).select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "value", "unit"), "values")
+    same = [F.col(raw) == F.col("_key0"), *[F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys) if i]]
     joined = numbered.join(known, same).drop(*[f"_key{i}" for i in range(len(keys))])
     text = F.coalesce(F.col(raw), F.lit(""))
     plain_ = rows.where(~digits).select(*rows.columns, F.when(cleaned(text) == "", F.lit("")).otherwise(F.col(raw)).alias("value"), F.lit(None).cast("string").alias("unit"))

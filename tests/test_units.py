@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from cataloom.functions import units
 
@@ -58,3 +59,27 @@ def test_columns_of_the_caller_stay(spark):
     for made in (units.normalized(df), units.normalized_by_value(df)):
         got = {r.raw_value: (r.canonical, r.token, r._t, r.value, r.unit) for r in made.collect()}
         assert got == {"2 foott": ("c", "x", "y", "24", "in"), "N/A": ("c", "x", "y", "N/A", None), None: ("c", "x", "y", "", None), " ": ("c", "x", "y", "", None), "3": ("c", "x", "y", "3", None)}
+
+
+def test_the_grammar_is_worked_out_for_distinct_texts_only(spark, capsys):
+    """The plan over the rows joins values that are written, and has none of the grammar's patterns."""
+    rows = spark.createDataFrame([(i, f"{i % 3} ft") for i in range(9)] + [(9, "N/A"), (10, None)], "row_id int, raw_value string")
+    got = units.normalized_by_value(rows)
+    got.explain("extended")
+    assert "NPSM" not in capsys.readouterr().out
+    assert {r.row_id: (r.value, r.unit) for r in got.collect()} == {i: (str(i % 3 * 12), "in") for i in range(9)} | {9: ("N/A", None), 10: ("", None)}
+
+
+def test_rows_of_one_known_unit_are_dealt_to_all_tasks(spark):
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = spark.range(400).selectExpr("id", "if(id % 10 = 0, 'millmeters', if(id % 10 = 1, '', 'ft')) as token", "map('a', id) as m")
+        got = units.resolved(rows, "token", "name").select("id", "name", F.spark_partition_id().alias("p")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.id: r.name for r in got} == {i: {0: "millimeter", 1: None}.get(i % 10, "foot") for i in range(400)}
+    assert len({r.p for r in got if r.name == "foot"}) == 4
