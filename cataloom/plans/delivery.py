@@ -130,7 +130,8 @@ def rule_evidence(spark: SparkSession, d: str) -> DataFrame:
 length(substr(repeat(raw_description || ' ', 900), 1, 1500)) + length('Manufacturer: ' || manufacturer || chr(10) || 'Part number: ' || mfg_part_number || chr(10) || 'Category: ' || category || chr(10) || 'Description: ' || raw_description || chr(10) || 'Context:' || chr(10)) as small_chars from c""")
 def prompts(spark: SparkSession, d: str) -> DataFrame:
     """Requests with their documents cut to the models' caps."""
-    x = catalog(spark, d).withColumn("document", F.repeat(F.concat("raw_description", F.lit(" ")), 900))
+    # A row grows some 200-fold here, so the table's few splits are dealt out first.
+    x = catalog(spark, d).repartition("row_id").withColumn("document", F.repeat(F.concat("raw_description", F.lit(" ")), 900))
     small = display.extraction_prompt(F.col("manufacturer"), F.col("mfg_part_number"), F.col("category"), F.col("raw_description"), F.col("document"))
     return x.select("row_id", display.request_prompt(F.col("category"), F.concat(F.lit("http://x.example/"), "row_id"), F.col("document")).alias("prompt"), F.length(small).cast("long").alias("small_chars"))
 

@@ -191,3 +191,16 @@ def test_sheet_keeps_all_rows_in_order_in_many_partitions(spark):
     keys = [int(r["part"].removeprefix("PN-")) for r in got]
     assert [r["place"] for r in got] == list(range(1, 2001))
     assert keys == list(range(1999, -1, -1)) and [r["value_1"] for r in got] == [f"v{k}" for k in keys]
+
+
+def test_prompts_are_made_in_several_tasks_of_one_split(spark):
+    """One row group, which one task reads; what is made of its rows is dealt out."""
+    from cataloom.plans.delivery import prompts
+
+    conf, few = "spark.sql.adaptive.coalescePartitions.enabled", spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set(conf, "false")  # it would join partitions as small as these
+        got = prompts(spark, "/root/testdata/sf0.001").select("row_id", F.spark_partition_id().alias("p")).collect()
+    finally:
+        spark.conf.set(conf, few)
+    assert len({r.row_id for r in got}) == len(got) and len({r.p for r in got}) == 4
