@@ -3,7 +3,8 @@
 Whether a line break ends a record depends on the quotes before it.  A first pass reads every split for both possible beginnings, at
 a record's start and inside quotes, and notes how it ends for each; these notes, one row a split, are composed in order.  With
 every split's true beginning known, a second pass cuts records out of the splits, and those that cross
-splits are put together from the notes.  Quotes follow the usual rules: they enclose a field only at its start, and stand for themselves
+splits are put together from the notes.  Both passes must see the same splits: these stay as they are when a scan begins, whatever
+settings or executors it is read with later.  Quotes follow the usual rules: they enclose a field only at its start, and stand for themselves
 when doubled inside or when they come later in a field (3/4" pipe).
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 import csv
 import io
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from cataloom.operators.store import kept
 
 _NOTE = "struct<ends:boolean,records:long,head:string,closes:boolean,tail:string,tail_at:long>"
-RANGE = f"file long, block long, first string, first_at long, start {_NOTE}, inside {_NOTE}"
+RANGE = f"file long, block long, length long, first string, first_at long, start {_NOTE}, inside {_NOTE}"
 
 
 class _Quotes:
@@ -84,10 +86,25 @@ class _Assembly:
         return {"ends": self.open, "records": self.records, "head": self.head, "closes": self.closes, "tail": tail, "tail_at": self.pending_at}
 
 
+def _with_its_splits(spark: SparkSession) -> SparkSession:
+    """A session whose file scans are always split as those of ``spark`` are now.
+
+    A scan is split each time it runs, by the settings of the session that made it and, where these don't say, by the cores there are."""
+    fixed = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if name.startswith("spark.sql.files.") or not name.startswith("spark."):  # the latter are settings of file systems
+            fixed.conf.set(name, value)
+    least = "spark.sql.files.minPartitionNum"
+    fixed.conf.set(least, spark.conf.get(least, None) or spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or str(spark.sparkContext.defaultParallelism))
+    return fixed
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, value): every physical line with its split, in order within a split."""
+    """(file, block, value, length): every physical line with its split, in order within a split."""
     value = F.make_valid_utf8(F.col("value"))
-    return spark.read.text(path, lineSep="\n").select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), value.alias("value"))
+    split = F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    lines = _with_its_splits(spark).read.text(path, lineSep="\n").select(*split, value.alias("value"), F.col("_metadata.file_block_length").alias("length"))
+    return spark.sql("select 0L as file, 0L as block, '' as value, 0L as length where false").union(lines)  # of the caller's session
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int]]:
@@ -120,11 +137,11 @@ def _texts(run: pa.RecordBatch, number: int) -> tuple[list[str], list[bool]]:
 
 def _noter(sep: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        quotes, held, sides, first = _Quotes(sep), None, (), None
+        quotes, held, length, sides, first = _Quotes(sep), None, 0, (), None
 
         def noted() -> pa.RecordBatch:
             file, block = held
-            row = {"file": file, "block": block, "first": first and first[1], "first_at": first and first[0], "start": sides[0].note(), "inside": sides[1].note()}
+            row = {"file": file, "block": block, "length": length, "first": first and first[1], "first_at": first and first[0], "start": sides[0].note(), "inside": sides[1].note()}
             return pa.RecordBatch.from_pylist([row], schema=_RANGE_SCHEMA)
 
         for part, number in _runs(batches):
@@ -133,7 +150,7 @@ def _noter(sep: str):
             if key != held:
                 if held:
                     yield noted()
-                held, sides, first = key, (_Assembly(quotes, False), _Assembly(quotes, True)), None
+                held, length, sides, first = key, part.column(3)[0].as_py(), (_Assembly(quotes, False), _Assembly(quotes, True)), None
             for i, (line, quoted) in enumerate(zip(*_texts(part, number), strict=True)):
                 whole = sides[0].take(block + number + i, line, quoted)
                 if first is None and block == 0 and whole and whole[1].strip():
@@ -146,7 +163,7 @@ def _noter(sep: str):
 
 
 _NOTE_SCHEMA = pa.struct([("ends", pa.bool_()), ("records", pa.int64()), ("head", pa.string()), ("closes", pa.bool_()), ("tail", pa.string()), ("tail_at", pa.int64())])
-_RANGE_SCHEMA = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("first", pa.string()), ("first_at", pa.int64()), ("start", _NOTE_SCHEMA), ("inside", _NOTE_SCHEMA)])
+_RANGE_SCHEMA = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("length", pa.int64()), ("first", pa.string()), ("first_at", pa.int64()), ("start", _NOTE_SCHEMA), ("inside", _NOTE_SCHEMA)])
 
 
 def _cutter(sep: str):
@@ -181,7 +198,7 @@ def _with_beginnings(ranges: DataFrame) -> DataFrame:
     within = W.partitionBy("file", "era").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     swaps = F.coalesce(F.sum((~alike & F.col("start.ends")).cast("int")).over(within), F.lit(0)) % 2 == 1
     x = x.withColumn("begins", F.coalesce("common", F.lit(False)) != swaps)
-    return x.select("file", "block", "first", "first_at", "begins", F.when(F.col("begins"), F.col("inside")).otherwise(F.col("start")).alias("note"))
+    return x.select("file", "block", "length", "first", "first_at", "begins", F.when(F.col("begins"), F.col("inside")).otherwise(F.col("start")).alias("note"))
 
 
 def _across(ranges: DataFrame) -> DataFrame:
@@ -209,7 +226,7 @@ def header_names(record: str, sep: str = ",") -> list[str]:
 
 
 def scan(spark: SparkSession, path: str, sep: str = ",", position: str | None = None) -> Delimited:
-    """Reads delimited files that begin with the same header.  All cells are text, empty ones null.
+    """Reads delimited files that begin with the same header.  All cells are text, empty ones null unless they are quoted.
 
     Lines end with a line feed, or a carriage return and a line feed; blank ones are left out, also in the count.  A byte order
     mark goes, bytes that aren't UTF-8 become U+FFFD.  Of columns of the same name the last counts; rows may be shorter than the header, and
@@ -233,8 +250,11 @@ def scan(spark: SparkSession, path: str, sep: str = ",", position: str | None =
     if ranges.where("block = 0 and first is null").limit(1).count():
         header = records.groupBy("file").agg(F.min("position").alias("_header"))
     body = records.join(F.broadcast(header), "file").where("position > _header")  # one row a file
-    schema = ", ".join(f"c{i} string" for i in range(len(names)))
-    cells = body.select("position", F.from_csv(F.regexp_replace("record", r"\r$", ""), schema, {"sep": sep, "escape": '"', "multiLine": "true"}).alias("r"))
+    schema = "_ string, " + ", ".join(f"c{i} string" for i in range(len(names)))
+    # No cell is the text that stands for null; the third option keeps U+0000 in quotes.  The parser takes U+FEFF away where a
+    # task's first record begins with it, so a cell goes before every record.
+    options = {"sep": sep, "escape": '"', "charToEscapeQuoteEscaping": '"', "multiLine": "true", "nullValue": f"null-{uuid.uuid4().hex}"}
+    cells = body.select("position", F.from_csv(F.concat(F.lit(sep), F.regexp_replace("record", r"\r$", "")), schema, options).alias("r"))
     places = {name: i for i, name in enumerate(names)}
     rows = cells.select(*([F.col("position").alias(position)] if position else []), *[F.col(f"r.c{i}").alias(name) for name, i in places.items()])
     return Delimited(rows, list(places), closed + unclosed - n_files)
@@ -248,6 +268,7 @@ def _counts(ranges: DataFrame) -> tuple[int, int, int]:
 
 def _records(lines: DataFrame, ranges: DataFrame, across: DataFrame, sep: str) -> DataFrame:
     """(file, position, record) of all records, the header and blank lines among them."""
-    begins = ranges.select("file", "block", "begins")
-    # One row a split: 24 bytes for every 128 MB of input.
-    return lines.join(F.broadcast(begins), ["file", "block"]).select("file", "block", "value", "begins").mapInArrow(_cutter(sep), "file long, position long, record string").unionByName(across)
+    begins = ranges.select("file", "block", "length", "begins")
+    # One row a split: 32 bytes for every 128 MB of input.  Lines of a split that the first pass didn't see must not get lost.
+    known = F.coalesce("begins", F.raise_error(F.lit("the files are split otherwise than in the first pass"))).alias("begins")
+    return lines.join(F.broadcast(begins), ["file", "block", "length"], "left").select("file", "block", "value", known).mapInArrow(_cutter(sep), "file long, position long, record string").unionByName(across)

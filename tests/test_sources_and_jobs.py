@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cataloom.operators import metrics as M, store as S
 from cataloom.plans.enrichment import _asked, answered, answered_or_failed
-from cataloom.sources.delimited import _Quotes, scan
+from cataloom.sources.delimited import _across, _lines, _noter, _Quotes, _records, _with_beginnings, RANGE, scan
 from cataloom.sources.readers import preflight_report, read_csv
 from cataloom.streaming.jobs import job_progress, job_results, run_batch_job
 
@@ -64,6 +64,42 @@ def test_scan_equals_duckdb_in_splits_of_a_kilobyte(spark, tmp_path, splits):
     assert sorted(map(tuple, scan(spark, str(tmp_path)).rows.collect())) == sorted(want)
 
 
+@pytest.mark.parametrize("first, then", [(1024, 5000), (5000, 1024), (1 << 27, 1024)])
+def test_scan_keeps_the_splits_it_began_with(spark, tmp_path, splits, first, then):
+    rows = [(str(i), f'line "{i}"\n' * (i % 5)) for i in range(1, 500)]
+    with open(tmp_path / "x.csv", "w", newline="") as file:
+        csv.writer(file).writerows([("k", "text"), *rows])
+    splits(first)
+    found = scan(spark, str(tmp_path)).rows
+    splits(then)
+    assert sorted((k, text or "") for k, text in found.collect()) == sorted(rows)
+    spark.conf.set("spark.sql.files.minPartitionNum", "50")  # as with more cores
+    try:
+        assert found.count() == len(rows)
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    found.createOrReplaceTempView("found_rows")  # the caller's session
+    assert spark.sql("select count(*) from found_rows").first()[0] == len(rows)
+
+
+def test_lines_of_unknown_splits_are_an_error(spark, tmp_path, splits):
+    (tmp_path / "x.csv").write_text("a,b\n" + "1,2\n" * 2000)
+    splits(2000)
+    ranges = _with_beginnings(_lines(spark, str(tmp_path)).mapInArrow(_noter(","), RANGE)).localCheckpoint()
+    splits(1000)
+    with pytest.raises(Exception, match="split otherwise"):
+        _records(_lines(spark, str(tmp_path)), ranges, _across(ranges), ",").collect()
+
+
+def test_scan_tells_empty_cells_from_missing_ones_and_keeps_odd_characters(spark, tmp_path, splits):
+    bom = "\ufeff"
+    (tmp_path / "x.csv").write_text(f'{bom}k,a\n1,""\n2,\n3\n4,"x\0,""\0"\n' + f"{bom}5,{bom}b\n" * 200, encoding="utf-8")
+    for size in (1 << 27, 100):
+        splits(size)
+        got = [tuple(r) for r in scan(spark, str(tmp_path)).rows.collect()]
+        assert sorted(got, key=str)[:4] == [("1", ""), ("2", None), ("3", None), ("4", 'x\0,"\0')] and got.count((f"{bom}5", f"{bom}b")) == 200
+
+
 def test_scan_of_odd_files(spark, tmp_path):
     def of(name, *texts):
         folder = tmp_path / name
@@ -202,3 +238,16 @@ def test_documents_are_written_by_as_many_tasks_as_read_them(spark, tmp_path, sp
     assert csv_preflight(spark, str(tmp_path)).first()["n_rows"] == 70
     got = csv_scan(spark, str(tmp_path)).collect()
     assert sorted((int(r.doc_id), r.text, r.part_number, r.note) for r in got) == [(i, t, s, f'{lang} 3/4" pipe, "{s}"') for i, t, lang, s in rows]
+
+
+def test_csv_scan_equals_its_sql_on_odd_texts(spark, tmp_path):
+    from cataloom.plans.items import csv_scan
+    from cataloom.plans.catalogue import ORACLE_SQL
+
+    odd = ["", None, " ", "\n", "\r\n", "a\rb", '"', '""', '","', "\0", '\0"\0', "a\n\0", "\ufeff", "\ufeffa\n", "#", "\\", "x" * 127 + '"\n']
+    rows = [(i, t, lang, s) for i, (t, lang, s) in enumerate([(t, "en", "s1") for t in odd] + [("t", lang, s) for lang in ("", None, '"') for s in ("", None, "a,b")])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(20).write.parquet(f"{tmp_path}/documents.parquet")
+    got = csv_scan(spark, str(tmp_path)).collect()
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted(map(tuple, got), key=str) == sorted(db.execute(ORACLE_SQL["csv_scan"]).fetchall(), key=str)
